@@ -29,12 +29,22 @@ def _floating_text(column: Column, digits: int) -> Column:
     """Shortest round-trip text without a trailing ``.0``.
 
     Plain notation for exponents from -4 up to ``digits - 1``, otherwise
-    ``d.dddE+XX``.
+    ``d.dddE+XX``. Text without an exponent only loses trailing zeros; the
+    rest sits in a lambda, which keeps the generated code of wide rows small
+    enough for the JIT compiler.
     """
     text = column.cast("string")
-    exponent = F.element_at(F.split(text, "E"), -1).try_cast("int")
-    mantissa = _without_zero_fraction(F.element_at(F.split(text, "E"), 1))
-    sign = F.when(column < 0, F.lit("-")).otherwise(F.lit(""))
+    rewritten = F.transform(F.array(text), lambda t: _exponent_text(t, digits))[0]
+    plain = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.when(F.contains(text, F.lit("E")), rewritten).otherwise(plain)
+
+
+def _exponent_text(text: Column, digits: int) -> Column:
+    """Text like ``-1.5E-7`` in the notation described above."""
+    parts = F.split(text, "E")
+    exponent = parts[1].cast("int")
+    mantissa = F.regexp_replace(parts[0], r"\.0$", "")
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     figures = F.regexp_replace(mantissa, "[-.]", "")
     fraction = F.substr(figures, exponent + F.lit(2))
     large = F.concat(
@@ -50,17 +60,22 @@ def _floating_text(column: Column, digits: int) -> Column:
         F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
     )
     return (
-        F.when(~F.contains(text, F.lit("E")), _without_zero_fraction(text))
-        .when((exponent >= 0) & (exponent < digits), large)
+        F.when((exponent >= 0) & (exponent < digits), large)
         .when((exponent < 0) & (exponent > -5), small)
         .otherwise(scientific)
     )
 
 
-def _without_zero_fraction(text: Column) -> Column:
-    return F.when(
-        F.endswith(text, F.lit(".0")), text.substr(F.lit(1), F.length(text) - 2)
-    ).otherwise(text)
+def _local_time_text(column: Column) -> Column:
+    """Text of a timestamp without zone, the same in every session time zone."""
+    text = column.cast("string")
+    return F.concat(
+        F.substring(text, 1, 10),
+        F.lit("T"),
+        F.substring(text, 12, 8),
+        F.lit("."),
+        F.rpad(F.substring(text, 21, 6), 7, "0"),
+    )
 
 
 def value_text(field: T.StructField, column: Column | None = None) -> Column:
@@ -74,11 +89,11 @@ def value_text(field: T.StructField, column: Column | None = None) -> Column:
     if isinstance(kind, T.FloatType):
         return _floating_text(column, 7)
     if isinstance(kind, T.TimestampNTZType):
-        return F.date_format(column, TIMESTAMP_FORMAT)
+        return _local_time_text(column)
     if isinstance(kind, T.TimestampType):
         return F.date_format(column, OFFSET_TIMESTAMP_FORMAT)
     if isinstance(kind, T.DateType):
-        return F.date_format(column.cast("timestamp_ntz"), TIMESTAMP_FORMAT)
+        return F.concat(column.cast("string"), F.lit("T00:00:00.0000000"))
     if isinstance(kind, T.BinaryType):
         return F.regexp_replace(F.base64(column), r"[\r\n]", "")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -128,14 +143,13 @@ def header_line(columns: Sequence[str], service: bool = False) -> str:
 
 def row_size(df: DataFrame, columns: Sequence[str], service: bool = False) -> Column:
     """Estimated size of a row: text lengths, separators and line end."""
-    size = F.lit(LINE_END_SIZE).cast("bigint")
-    for text in _texts(df, columns):
-        size = size + F.length(text) + SEPARATOR_SIZE
+    texts = [value_text(field) for field in _fields(df, columns) if field is not None]
+    fixed = len(columns) * SEPARATOR_SIZE + LINE_END_SIZE
     if service:
-        for name in ("_op", "_lsn", "_seqval"):
-            size = size + F.length(F.coalesce(F.col(name), F.lit("")))
-        size = size + SERVICE_SIZE
-    return size
+        texts += [F.col("_op"), F.col("_lsn"), F.col("_seqval")]
+        fixed += SERVICE_SIZE
+    # NULLs are left out, and one length is shorter code than many.
+    return (F.length(F.concat_ws("", *texts)) + fixed).cast("bigint")
 
 
 def csv_rows(
@@ -150,7 +164,6 @@ def csv_rows(
     With ``service`` the change columns come first. ``keep`` carries further
     columns along, ``size_name`` adds the estimated row size.
     """
-    names: list[str] = []
     projected: list[Column] = []
     quote: list[bool] = []
     if service:
@@ -167,14 +180,10 @@ def csv_rows(
     parts = [csv_field(F.col(n)) if q else F.col(n) for n, q in zip(names, quote)]
     output = [F.concat_ws(",", *parts).alias("line")]
     if size_name:
-        size = F.lit(LINE_END_SIZE).cast("bigint")
-        for position, name in enumerate(names):
-            if service and position == SERVICE_COLUMNS.index("_ts"):
-                continue
-            size = size + F.length(name)
-            if not (service and position < len(SERVICE_COLUMNS)):
-                size = size + SEPARATOR_SIZE
-        if service:
-            size = size + SERVICE_SIZE
-        output.append(size.alias(size_name))
+        # ``_ts`` counts with a fixed size, not with its text.
+        stamp_at = SERVICE_COLUMNS.index("_ts") if service else -1
+        counted = [name for position, name in enumerate(names) if position != stamp_at]
+        fixed = len(columns) * SEPARATOR_SIZE + LINE_END_SIZE + (SERVICE_SIZE if service else 0)
+        size = F.length(F.concat_ws("", *counted)) + fixed
+        output.append(size.cast("bigint").alias(size_name))
     return texts.select(*keep, *output)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.text import csv_rows, header_line
-from driftline.session import stage
+from driftline.session import qualified_uri, stage
 
 # Fixed value: default size limit of a chunk.
 MAX_CHUNK_BYTES = 10_485_760
@@ -72,14 +72,32 @@ def _running_size(size_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _spread_copies(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Tell rows apart that ``order_by`` does not, so that ranges can split them.
+
+    The number is staged with its row: once it is written, a repeated task
+    can not give it to another one.
+    """
+    marked = stage(df.withColumn("__copy", F.monotonically_increasing_id()), "copies")
+    return marked, [*order_by, "__copy"]
+
+
 def running_total(
-    df: DataFrame, order_by: Sequence[str], size_col: str, partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str],
+    size_col: str,
+    partitions: int | None = None,
+    copies: bool = False,
 ) -> DataFrame:
     """Add ``size_before``: the sum of ``size_col`` over all earlier rows.
 
     One shuffle by range; the ranges are staged so that both the totals and
-    the rows see the same ones. ``order_by`` has to identify a row.
+    the rows see the same ones. ``order_by`` has to identify a row; set
+    ``copies`` where it does not, else all rows of one value meet in one range.
     """
+    wanted = df.columns
+    if copies:
+        df, order_by = _spread_copies(df, order_by)
     schema = T.StructType(
         [*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__before", T.LongType())]
     )
@@ -92,7 +110,7 @@ def running_total(
     return (
         numbered.join(F.broadcast(offsets), "__part")
         .withColumn("size_before", F.col("__offset") + F.col("__before"))
-        .drop("__part", "__before", "__offset")
+        .select(*wanted, "size_before")
     )
 
 
@@ -102,9 +120,10 @@ def chunk_assign_offset(
     size_col: str,
     max_bytes: int = MAX_CHUNK_BYTES,
     partitions: int | None = None,
+    copies: bool = False,
 ) -> DataFrame:
     """Number chunks by ``1 + floor(size before the row / limit)``."""
-    return running_total(df, order_by, size_col, partitions).select(
+    return running_total(df, order_by, size_col, partitions, copies).select(
         *df.columns, (F.floor(F.col("size_before") / max_bytes) + 1).cast("int").alias("chunk_no")
     )
 
@@ -296,10 +315,6 @@ def _file_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def as_uri(folder: str) -> str:
-    return folder if ":/" in folder else "file://" + folder
-
-
 def write_chunks(
     df: DataFrame,
     folder: str,
@@ -317,7 +332,7 @@ def write_chunks(
     own rows. Result: ``chunk_no`` from 1, ``row_count``, ``estimated_size``,
     ``compressed_size``, ``oversize_rows``, ``path``; no row for empty input.
     """
-    folder = as_uri(folder)
+    folder = qualified_uri(df.sparkSession, folder)
     if order_by:
         df = _ranged(df, order_by, partitions)
     lines = csv_rows(df, columns, service, size_name="size").select(

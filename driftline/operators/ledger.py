@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.text import SERVICE_COLUMNS, TIMESTAMP_FORMAT
-from driftline.operators.keyed import latest_per_key
+from driftline.operators.keyed import latest_per_key, salted_lookup
 
 LEDGERS = {
     "table_state": (
@@ -205,7 +205,8 @@ def committed_chunks(spark: SparkSession, root: str, table: str | None = None) -
             F.lower(F.concat_ws(".", "table_schema", "table_name")) == table.lower()
         )
     chunks = read_ledger(spark, root, "chunk_manifest")
-    return chunks.join(datasets.select("dataset_id", "attempt"), ["dataset_id", "attempt"], "left_semi")
+    # A large dataset may own most of the chunks.
+    return salted_lookup(chunks, datasets.select("dataset_id", "attempt"), ["dataset_id", "attempt"])
 
 
 def read_committed(
@@ -224,9 +225,8 @@ def read_committed(
     chunks = committed_chunks(spark, root, table)
     if dataset_ids is not None:
         chunks = chunks.where(F.col("dataset_id").isin(list(dataset_ids)))
-    with_header = chunks.where(F.col("path").isNotNull()).select("path")
     # Spark's file sources keep the list of files on the driver in any case.
-    paths = [row.path for row in with_header.toLocalIterator()]
+    paths = [row.path for row in chunks.select("path").toLocalIterator()]
     fields = [T.StructField(name, T.StringType()) for name in SERVICE_COLUMNS] if service else []
     text = [T.StructField(f.name, _text_type(f.dataType)) for f in schema.fields]
     shape = T.StructType([*fields, *text])

@@ -42,14 +42,26 @@ class Source:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def high(self) -> str:
+        """Highest position of all tables, read eagerly."""
         feed = self.feed()
         return lsn_high(feed).first()[0] if feed is not None else ZERO_LSN
 
     def lows(self, spark: SparkSession) -> DataFrame:
-        feed = self.feed()
-        if feed is None:
+        """Lowest position of each table.
+
+        One grand total per table, which needs no sort as grouping by the
+        instance would; the few results then pass through ``lsn_low``.
+        """
+        if not self.changes:
             return spark.createDataFrame([], "capture_instance string, low_lsn string")
-        return lsn_low(feed, self.floor)
+        parts = [
+            ct.agg(F.min("_lsn").alias("_lsn")).select(
+                F.lit(capture_instance(table)).alias("capture_instance"), "_lsn"
+            )
+            for table, ct in self.changes.items()
+        ]
+        lowest = lsn_low(reduce(DataFrame.unionByName, parts), self.floor)
+        return lowest.withColumn("low_lsn", F.coalesce("low_lsn", F.lit(ZERO_LSN)))
 
 
 def utc_now() -> datetime:

@@ -55,6 +55,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified_uri(spark: SparkSession, path: str) -> str:
+    """Path with its scheme, a bare one resolved as Spark itself resolves it."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = filesystem.makeQualified(hadoop_path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") else uri
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
