@@ -11,6 +11,7 @@ import hashlib
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,15 @@ ALLOWED_STEPS = (
 )
 
 
+_ARROW_TYPES = {
+    "string": pa.string(),
+    "long": pa.int64(),
+    "integer": pa.int32(),
+    "boolean": pa.bool_(),
+    "timestamp_ntz": pa.timestamp("us"),
+}
+
+
 class LeaseConflict(RuntimeError):
     """A newer run of the same source exists; this one may not commit."""
 
@@ -83,7 +93,7 @@ def read_ledger(spark: SparkSession, root: str, name: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGERS[name])
+        return rows_frame(spark, [], LEDGERS[name])
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
@@ -91,11 +101,19 @@ def append(df: DataFrame, root: str, name: str) -> None:
     df.select(*columns).write.parquet(f"{root}/{name}/append-{uuid.uuid4().hex}")
 
 
+def rows_frame(spark: SparkSession, rows: Sequence[dict], ddl: str) -> DataFrame:
+    """A few rows the driver made itself, as one local partition."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = {
+        field.name: pa.array([row.get(field.name) for row in rows], _ARROW_TYPES[field.dataType.typeName()])
+        for field in schema.fields
+    }
+    return spark.createDataFrame(pa.table(columns), schema=schema)
+
+
 def append_rows(spark: SparkSession, root: str, name: str, rows: Sequence[dict]) -> None:
-    """Append a few rows the driver made itself (one run, one dataset, one state)."""
-    columns = [field.name for field in T.StructType.fromDDL(LEDGERS[name]).fields]
-    values = [tuple(row.get(column) for column in columns) for row in rows]
-    append(spark.createDataFrame(values, LEDGERS[name]).coalesce(1), root, name)
+    """Append rows of the control plane: one run, one dataset, one state."""
+    append(rows_frame(spark, rows, LEDGERS[name]), root, name)
 
 
 def current_states(spark: SparkSession, root: str) -> DataFrame:

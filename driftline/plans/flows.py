@@ -286,31 +286,22 @@ class _TableJob:
         return row
 
     def _move(self, plan: dict, outcome: str, lsn: str | None, message: str | None) -> None:
-        state = {k: plan[k] for k in plan if k in STATE_COLUMNS}
-        outcomes = self.spark.createDataFrame(
-            [
-                (
-                    plan["table_schema"],
-                    plan["table_name"],
-                    outcome,
-                    lsn,
-                    plan.get("manifest_hash"),
-                    message,
-                )
-            ],
-            "table_schema string, table_name string, outcome string, outcome_lsn string, "
-            "outcome_hash string, outcome_message string",
-        )
-        current = self.spark.createDataFrame(
-            [tuple(state[c] for c in STATE_COLUMNS)], ledger.LEDGERS["table_state"]
+        happened = {
+            "table_schema": plan["table_schema"],
+            "table_name": plan["table_name"],
+            "outcome": outcome,
+            "outcome_lsn": lsn,
+            "outcome_hash": plan.get("manifest_hash"),
+            "outcome_message": message,
+        }
+        outcomes = ledger.rows_frame(
+            self.spark, [happened], ", ".join(f"{name} string" for name in happened)
         )
+        current = ledger.rows_frame(self.spark, [plan], ledger.LEDGERS["table_state"])
         accepted, _ = state_transition(
             current, outcomes, F.lit(self.clock()).cast("timestamp_ntz")
         )
-        ledger.append(accepted.coalesce(1), self.root, "table_state")
-
-
-STATE_COLUMNS = [item.strip().split()[0] for item in ledger.LEDGERS["table_state"].split(",")]
+        ledger.append(accepted, self.root, "table_state")
 
 
 def start_run(
