@@ -8,6 +8,7 @@ from driftline.functions.lsn import (
     lsn_text,
 )
 from driftline.functions.text import csv_field, csv_rows, header_line, row_size, value_text
+from driftline.functions.times import local_time, millis_between
 
 __all__ = [
     "ZERO_LSN",
@@ -17,10 +18,12 @@ __all__ = [
     "header_line",
     "is_lsn",
     "level_rank",
+    "local_time",
     "lsn_format",
     "lsn_increment",
     "lsn_parse",
     "lsn_text",
+    "millis_between",
     "op_label",
     "row_size",
     "value_text",

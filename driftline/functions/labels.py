@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftline.functions.times import millis_between
+
 # Operation codes of a change row.
 DELETE, INSERT, UPDATE_OLD, UPDATE_NEW = 1, 2, 3, 4
 OP_LABELS = {DELETE: "D", INSERT: "I", UPDATE_OLD: "UO", UPDATE_NEW: "UN"}
@@ -62,7 +64,7 @@ def duration_text(started: Column, finished: Column) -> Column:
 
     Tenths are rounded half up in whole milliseconds.
     """
-    millis = F.timestamp_diff("MILLISECOND", started, finished)
+    millis = millis_between(started, finished)
 
     def tenths(unit_millis: int, suffix: str) -> Column:
         step = unit_millis // 10

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.times import local_time_text
+
 SERVICE_COLUMNS = ("_op", "_lsn", "_seqval", "_ts")
 
 # Text of a timestamp, and sizes counted per row.
@@ -66,18 +68,6 @@ def _exponent_text(text: Column, digits: int) -> Column:
     )
 
 
-def _local_time_text(column: Column) -> Column:
-    """Text of a timestamp without zone, the same in every session time zone."""
-    text = column.cast("string")
-    return F.concat(
-        F.substring(text, 1, 10),
-        F.lit("T"),
-        F.substring(text, 12, 8),
-        F.lit("."),
-        F.rpad(F.substring(text, 21, 6), 7, "0"),
-    )
-
-
 def value_text(field: T.StructField, column: Column | None = None) -> Column:
     """Text written for a value of ``field``; NULL stays NULL."""
     column = F.col(f"`{field.name}`") if column is None else column
@@ -89,7 +79,7 @@ def value_text(field: T.StructField, column: Column | None = None) -> Column:
     if isinstance(kind, T.FloatType):
         return _floating_text(column, 7)
     if isinstance(kind, T.TimestampNTZType):
-        return _local_time_text(column)
+        return local_time_text(column, "T", 7)
     if isinstance(kind, T.TimestampType):
         return F.date_format(column, OFFSET_TIMESTAMP_FORMAT)
     if isinstance(kind, T.DateType):

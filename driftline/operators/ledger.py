@@ -337,14 +337,15 @@ def step_check(history: DataFrame) -> DataFrame:
     """Status changes of a dataset that are not allowed, from its ledger versions.
 
     Versions are consecutive, so each row meets its successor by an equi-join
-    on the unique (dataset, version).
+    on (dataset, version). Repeated ledger rows collapse first.
     """
+    history = history.select("dataset_id", "version", "status").distinct()
     after = history.select(
         "dataset_id",
         (F.col("version") - 1).alias("version"),
         F.col("status").alias("next_status"),
     )
-    steps = history.select("dataset_id", "version", "status").join(after, ["dataset_id", "version"])
+    steps = history.join(after, ["dataset_id", "version"])
     allowed = F.concat_ws(">", "status", "next_status").isin(*(f"{a}>{b}" for a, b in ALLOWED_STEPS))
     return steps.where(~allowed)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.labels import level_rank, level_rank_of
+from driftline.functions.times import local_time_text
 
 # Properties with a column of their own, and the buffer size.
 KNOWN_PROPERTIES = {
@@ -58,7 +59,7 @@ def log_lines(logs: DataFrame) -> DataFrame:
     """Export form: ``yyyy-MM-dd HH:mm:ss.fff [Level] message``."""
     return logs.select(
         F.concat(
-            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"),
+            local_time_text(F.col("timestamp"), " ", 3),
             F.lit(" ["),
             F.col("level"),
             F.lit("] "),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.labels import duration_text
+from driftline.functions.times import millis_between
 from driftline.operators.keyed import salted_lookup
 
 # List lengths of the reports and the inactivity limit.
@@ -152,8 +153,8 @@ def changes_behind(state: DataFrame, feed: DataFrame) -> DataFrame:
 
 def lag_report(state: DataFrame, now: Column, feed: DataFrame | None = None) -> DataFrame:
     """State of each table with its lag in whole minutes and, with ``feed``, in changes."""
-    seconds = F.timestamp_diff("SECOND", F.col("last_sync_time"), now)
-    lag = F.when(F.col("last_sync_time").isNull(), F.lit(0)).otherwise(F.floor(seconds / 60))
+    millis = millis_between(F.col("last_sync_time"), now)
+    lag = F.when(F.col("last_sync_time").isNull(), F.lit(0)).otherwise(F.floor(millis / 60_000))
     columns = [
         F.concat_ws(".", "table_schema", "table_name").alias("table"),
         F.upper("extraction_mode").alias("mode"),

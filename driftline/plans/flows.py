@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.lsn import ZERO_LSN
+from driftline.functions.times import local_time
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
 from driftline.plans.routing import COMPLETE, GAP_CODE, PENDING, plan_tables, state_transition
@@ -177,7 +178,7 @@ def delta_dataset(
         (F.col("capture_instance") == plan["capture_instance"]) & F.col("_lsn").between(low, high)
     )
     if "_ts" not in ct.columns:
-        changes = changes.withColumn("_ts", F.lit(run["started_at"]).cast("timestamp_ntz"))
+        changes = changes.withColumn("_ts", local_time(run["started_at"]))
     dataset = new_dataset(run, plan, low, high, key)
     files = write_chunks(
         label_changes(changes, simple_ops),
@@ -299,7 +300,7 @@ class _TableJob:
         )
         current = ledger.rows_frame(self.spark, [plan], ledger.LEDGERS["table_state"])
         accepted, _ = state_transition(
-            current, outcomes, F.lit(self.clock()).cast("timestamp_ntz")
+            current, outcomes, local_time(self.clock())
         )
         ledger.append(accepted, self.root, "table_state")
 
@@ -355,7 +356,7 @@ def run(
     if manifests:
         union = reduce(DataFrame.unionByName, manifests)
         hashes = {r.table_name: r.schema_hash for r in union.select("table_name", "schema_hash").collect()}
-        ledger.upsert_schemas(union, root, F.lit(clock()).cast("timestamp_ntz"))
+        ledger.upsert_schemas(union, root, local_time(clock()))
         for plan in wanted:
             plan["manifest_hash"] = hashes[full_name(plan)]
     job = _TableJob(spark, source, root, current, clock, max_bytes, Event())

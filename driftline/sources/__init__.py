@@ -18,6 +18,7 @@ from driftline.sources.changes import (
     op_counts,
     retention_purge,
 )
+from driftline.sources.server import map_changes, server_changes, server_positions
 from driftline.sources.tables import jdbc_scan, snapshot_scan, snapshot_window_scan
 
 __all__ = [
@@ -33,10 +34,13 @@ __all__ = [
     "lsn_high",
     "lsn_low",
     "lsn_range",
+    "map_changes",
     "op_counts",
     "retention_purge",
     "schema_changed",
     "schema_manifest",
+    "server_changes",
+    "server_positions",
     "snapshot_scan",
     "snapshot_window_scan",
     "table_profile",

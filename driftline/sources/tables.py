@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftline.functions.times import local_time
 
 
 def snapshot_scan(
@@ -51,10 +55,16 @@ def snapshot_window_scan(
     known = {name.lower(): name for name in df.columns}
     if watermark_column.lower() not in known:
         raise ValueError(f"no column {watermark_column!r}")
-    column = F.col(f"`{known[watermark_column.lower()]}`")
     kind = df.schema[known[watermark_column.lower()]].dataType
+
+    def bound(value: Any) -> Column:
+        if isinstance(value, datetime) and isinstance(kind, T.TimestampNTZType):
+            return local_time(value)
+        return F.lit(value).cast(kind)
+
+    column = F.col(f"`{known[watermark_column.lower()]}`")
     if start is not None:
-        df = df.where(column >= F.lit(start).cast(kind))
+        df = df.where(column >= bound(start))
     if end is not None:
-        df = df.where(column < F.lit(end).cast(kind))
+        df = df.where(column < bound(end))
     return df

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from driftline.functions import ZERO_LSN
+from driftline.functions import ZERO_LSN, local_time
 from driftline.sources import (
     change_order,
     change_project,
@@ -119,7 +119,7 @@ def test_commit_time_falls_back_to_one_constant(spark):
     times = spark.createDataFrame(
         [(at(10), datetime(2024, 5, 5))], "_lsn string, commit_ts timestamp_ntz"
     )
-    default = F.lit(datetime(2024, 6, 6)).cast("timestamp_ntz")
+    default = local_time(datetime(2024, 6, 6))
     got = {r._lsn: r._ts for r in commit_time(ct, times, default).collect()}
     assert got == {at(10): datetime(2024, 5, 5), at(11): datetime(2024, 6, 6)}
 
@@ -134,7 +134,7 @@ def test_copies_collapse_to_the_first_read(spark):
 
 
 def test_purge_records_a_floor(spark):
-    now = F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")
+    now = local_time(datetime(2024, 1, 10))
     kept, floor = retention_purge(feed(spark, MIX), 60, 7, now)
     assert sorted(r._lsn for r in kept.collect()) == [at(13)] * 2 + [at(14)] * 2 + [at(15)]
     floors = {r.capture_instance: r.floor_lsn for r in floor.collect()}

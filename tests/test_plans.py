@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from driftline.functions import ZERO_LSN
+from driftline.functions import ZERO_LSN, local_time
 from driftline.operators.ledger import LEDGERS
 from driftline.plans import gap_detect, no_change_skip, plan_tables, state_transition
 
@@ -87,7 +87,7 @@ def transition(spark, status, outcome, lsn=HIGH):
         "outcome_hash string, outcome_message string",
     )
     accepted, rejected = state_transition(
-        state, outcomes, F.lit(NOW).cast("timestamp_ntz")
+        state, outcomes, local_time(NOW)
     )
     return accepted.first(), rejected.count()
 

@@ -30,3 +30,17 @@ def test_query_matches_sql(spark, sf, db, name):
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["commit_time", "run_summary", "lag_report", "state_transition", "log_lines", "value_text",
+     "retention_purge", "inactive_runs", "csv_rows_delta", "snapshot_window_scan", "delta_dataset"],
+)
+def test_session_zone_changes_nothing(spark, sf, db, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_matches_sql(spark, sf, db, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

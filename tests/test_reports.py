@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.functions import duration_text, level_rank
+from driftline.functions import duration_text, level_rank, local_time
 from driftline.operators import (
     inactive_runs,
     lag_report,
@@ -110,7 +110,7 @@ def test_superseded(spark):
 
 
 def test_inactive(spark):
-    now = F.lit(START).cast("timestamp_ntz")
+    now = local_time(START)
     events = spark.createDataFrame(
         [("old", START - timedelta(minutes=11)), ("edge", START - timedelta(minutes=10)),
          ("new", START - timedelta(minutes=20)), ("new", START)], "k string, ts timestamp_ntz")
@@ -128,7 +128,7 @@ def test_lag(spark):
         [("o", f"0x{i:020X}") for i in range(10)] + [("n", f"0x{i:020X}") for i in range(3)],
         "capture_instance string, _lsn string",
     )
-    now = F.lit(START).cast("timestamp_ntz")
+    now = local_time(START)
     got = {r.table: (r.mode, r.cdc_enabled, r.lag_minutes, r.changes_behind) for r in lag_report(state, now, feed).collect()}
     assert got == {"dbo.Orders": ("CDC", True, 10, 4), "dbo.Products": ("SNAP", False, 0, 0), "dbo.New": ("CDC", True, 0, 3)}
 

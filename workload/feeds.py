@@ -191,7 +191,9 @@ def datasets(spark: SparkSession, sf: str) -> DataFrame:
     )
     empty = (flag == "NF") & (F.col("l_quantity") < 50)
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("dataset_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day, F.floor("l_extendedprice")
+        ).alias("dataset_id"),
         F.concat(F.lit("run-"), F.col("l_orderkey")).alias("batch_id"),
         F.lit("dbo").alias("table_schema"),
         F.concat(F.lit("part_"), F.col("l_partkey")).alias("table_name"),

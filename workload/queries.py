@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import (
     csv_rows as csv_lines,
+    local_time,
     lsn_format,
     lsn_increment,
     lsn_parse,
@@ -41,7 +42,7 @@ def _columns(spark: SparkSession, sf: str, name: str) -> list[str]:
 
 
 def _now(value: datetime = NOW):
-    return F.lit(value).cast("timestamp_ntz")
+    return local_time(value)
 
 
 def _bounds(spark: SparkSession) -> DataFrame:

@@ -94,7 +94,8 @@ runs AS (
 
 DATASETS = f"""
 datasets AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS dataset_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {day_of('l_shipdate')},
+      floor(l_extendedprice)::BIGINT) AS dataset_id,
     'run-' || l_orderkey AS batch_id, 'dbo' AS table_schema,
     'part_' || l_partkey AS table_name,
     {lsn(day_of('l_shipdate'), 'l_orderkey * 16 + 1')} AS from_lsn,
