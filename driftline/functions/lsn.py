@@ -44,6 +44,11 @@ def lsn_parse(text: Column, strict: bool = False) -> Column:
     return F.unhex(F.substring(lsn_text(text, strict), 3, 20))
 
 
+def next_lsn(text: str) -> str:
+    """The next position of a single value the driver holds."""
+    return f"0x{min(int(text, 16) + 1, (1 << 80) - 1):020X}"
+
+
 def lsn_increment(text: Column) -> Column:
     """The next LSN, as an 80-bit number; NULL after the last one."""
     high = F.conv(F.substring(text, 3, 10), 16, 10).cast("bigint")

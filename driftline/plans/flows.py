@@ -18,7 +18,7 @@ from threading import Event
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.lsn import ZERO_LSN
+from driftline.functions.lsn import ZERO_LSN, next_lsn
 from driftline.functions.times import local_time
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
@@ -29,7 +29,11 @@ from driftline.sources.changes import DELIVERY_ORDER, label_changes, lsn_high, l
 
 @dataclass
 class Source:
-    """Tables of one source with their keys and change tables, by ``schema.table``."""
+    """Tables of one source with their keys and change tables, by ``schema.table``.
+
+    ``floor`` is what ``retention_purge`` recorded; keep one wherever changes
+    are purged.
+    """
 
     name: str
     tables: Mapping[str, DataFrame]
@@ -37,31 +41,47 @@ class Source:
     keys: Mapping[str, Sequence[str]] = field(default_factory=dict)
     floor: DataFrame | None = None
 
-    def feed(self) -> DataFrame | None:
-        """Position of every change of every table, and nothing else."""
-        parts = [ct.select("capture_instance", "_lsn") for ct in self.changes.values()]
-        return reduce(DataFrame.unionByName, parts) if parts else None
-
-    def high(self) -> str:
-        """Highest position of all tables, read eagerly."""
-        feed = self.feed()
-        return lsn_high(feed).first()[0] if feed is not None else ZERO_LSN
+    def high(self, since: str = ZERO_LSN) -> str:
+        """Highest position of all tables, read eagerly.
 
-    def lows(self, spark: SparkSession) -> DataFrame:
-        """Lowest position of each table.
-
-        One grand total per table, which needs no sort as grouping by the
-        instance would; the few results then pass through ``lsn_low``.
+        Looks at changes after ``since`` only, so a run costs what is new and
+        not what the retention holds.
+        """
+        parts = [ct.select("_lsn").where(F.col("_lsn") > since) for ct in self.changes.values()]
+        if not parts:
+            return since
+        return max(since, lsn_high(reduce(DataFrame.unionByName, parts)).first()[0])
+
+    def lows(self, spark: SparkSession, wanted: Mapping[str, str]) -> DataFrame:
+        """Lowest position available, as far as ``wanted`` needs it.
+
+        ``wanted`` has the next position to read by capture instance. Where a
+        purge keeps a floor, that is the answer. Else any one change at or
+        before the wanted position shows that nothing is missing; failing that
+        it is the first change after it. An empty change table misses nothing.
         """
-        if not self.changes:
+        floors = {}
+        if self.floor is not None:
+            mine = [capture_instance(table) for table in self.changes]
+            # One row per tracked table.
+            floors = {
+                row.capture_instance: row.floor_lsn
+                for row in self.floor.where(F.col("capture_instance").isin(mine)).collect()
+            }
+        parts = []
+        for table, ct in self.changes.items():
+            instance = capture_instance(table)
+            start = wanted.get(instance, ZERO_LSN)
+            if instance in floors:
+                found = spark.range(1).select(F.lit(floors[instance]).alias("_lsn"))
+            else:
+                before = ct.select("_lsn").where(F.col("_lsn") <= start).limit(1)
+                after = ct.where(F.col("_lsn") > start).agg(F.min("_lsn").alias("_lsn"))
+                found = before.unionByName(after)
+            parts.append(found.select(F.lit(instance).alias("capture_instance"), "_lsn"))
+        if not parts:
             return spark.createDataFrame([], "capture_instance string, low_lsn string")
-        parts = [
-            ct.agg(F.min("_lsn").alias("_lsn")).select(
-                F.lit(capture_instance(table)).alias("capture_instance"), "_lsn"
-            )
-            for table, ct in self.changes.items()
-        ]
-        lowest = lsn_low(reduce(DataFrame.unionByName, parts), self.floor)
+        lowest = lsn_low(reduce(DataFrame.unionByName, parts))
         return lowest.withColumn("low_lsn", F.coalesce("low_lsn", F.lit(ZERO_LSN)))
 
 
@@ -342,12 +362,17 @@ def run(
 ) -> dict:
     """Run a SNAPSHOT or DELTA over all tracked tables; returns the run's ledger row."""
     current = start_run(spark, source.name, root, kind, trigger, clock())
-    high = source.high()
-    states = ledger.current_states(spark, root)
     # One row per tracked table: the control plane, not the data.
-    plans = [
-        row.asDict() for row in plan_tables(states, high, source.lows(spark), kind).collect()
-    ]
+    tracked = [row.asDict() for row in ledger.current_states(spark, root).collect()]
+    last = {
+        row["capture_instance"]: row["last_processed_lsn"] or ZERO_LSN
+        for row in tracked
+        if row["capture_instance"]
+    }
+    high = source.high(max(last.values(), default=ZERO_LSN))
+    lows = source.lows(spark, {name: next_lsn(lsn) for name, lsn in last.items()})
+    states = ledger.rows_frame(spark, tracked, ledger.LEDGERS["table_state"])
+    plans = [row.asDict() for row in plan_tables(states, high, lows, kind).collect()]
     wanted = [p for p in plans if full_name(p) in source.tables]
     manifests = [
         schema_manifest(t, source.tables[t], source.keys.get(t, ()), verify=False)

@@ -64,21 +64,17 @@ def lsn_high(feed: DataFrame) -> DataFrame:
 def lsn_low(feed: DataFrame, floor: DataFrame | None = None) -> DataFrame:
     """Lowest LSN still available per capture instance.
 
-    ``floor`` (``capture_instance, floor_lsn``) holds what a purge recorded,
-    so that an instance without remaining rows still reports its gap.
+    ``floor`` (``capture_instance, floor_lsn``) holds what a purge recorded and
+    decides where it has an entry: an instance without remaining rows still
+    reports its gap, and one with rare changes reports none. Without an entry
+    the first row counts, which can only report too many gaps.
     """
     low = feed.groupBy("capture_instance").agg(F.min("_lsn").alias("low_lsn"))
     if floor is None:
         return low
-    zero = F.lit(ZERO_LSN)
     return low.join(
         floor.select("capture_instance", "floor_lsn"), "capture_instance", "full"
-    ).select(
-        "capture_instance",
-        F.greatest(
-            F.coalesce("low_lsn", zero), F.coalesce("floor_lsn", zero)
-        ).alias("low_lsn"),
-    )
+    ).select("capture_instance", F.coalesce("floor_lsn", "low_lsn").alias("low_lsn"))
 
 
 def change_project(ct: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -150,19 +146,30 @@ def effective_retention_minutes(current_minutes: int, min_days: int) -> int:
 
 
 def retention_purge(
-    ct: DataFrame, current_minutes: int, min_days: int, now: Column
+    ct: DataFrame,
+    current_minutes: int,
+    min_days: int,
+    now: Column,
+    floor: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Changes younger than the retention, and the new floor per instance.
 
     The floor is the LSN after the last purged one: a reader that has seen
-    all purged changes still finds its range complete.
+    all purged changes still finds its range complete. An earlier ``floor``
+    is carried on and never lowered.
     """
     minutes = effective_retention_minutes(current_minutes, min_days)
     cutoff = now - F.make_dt_interval(mins=F.lit(minutes))
     kept = ct.where(F.col("_ts") >= cutoff)
     purged_to = F.max(F.when(F.col("_ts") < cutoff, F.col("_lsn")))
-    floor = ct.groupBy("capture_instance").agg(purged_to.alias("__purged")).select(
+    reached = ct.groupBy("capture_instance").agg(purged_to.alias("__purged")).select(
         "capture_instance",
         F.coalesce(lsn_increment(F.col("__purged")), F.lit(ZERO_LSN)).alias("floor_lsn"),
     )
-    return kept, floor
+    if floor is not None:
+        before = floor.select("capture_instance", F.col("floor_lsn").alias("__before"))
+        # ``greatest`` skips NULLs.
+        reached = reached.join(before, "capture_instance", "full").select(
+            "capture_instance", F.greatest("floor_lsn", "__before").alias("floor_lsn")
+        )
+    return kept, reached

@@ -105,7 +105,9 @@ def test_bounds_of_positions(spark):
         [("a", at(12)), ("c", at(30)), ("b", at(2))], "capture_instance string, floor_lsn string"
     )
     lows = {r.capture_instance: r.low_lsn for r in lsn_low(ct, floor).collect()}
-    assert lows == {"a": at(12), "b": at(9), "c": at(30)}
+    assert lows == {"a": at(12), "b": at(2), "c": at(30)}
+    lows = {r.capture_instance: r.low_lsn for r in lsn_low(ct).collect()}
+    assert lows == {"a": at(10), "b": at(9)}
 
 
 def test_system_columns_go(spark):
@@ -139,6 +141,12 @@ def test_purge_records_a_floor(spark):
     assert sorted(r._lsn for r in kept.collect()) == [at(13)] * 2 + [at(14)] * 2 + [at(15)]
     floors = {r.capture_instance: r.floor_lsn for r in floor.collect()}
     assert floors == {"a": at(13), "b": at(10)}
+    earlier = spark.createDataFrame(
+        [("a", at(5)), ("b", at(12)), ("c", at(3))], "capture_instance string, floor_lsn string"
+    )
+    _, carried = retention_purge(feed(spark, MIX), 60, 7, now, earlier)
+    floors = {r.capture_instance: r.floor_lsn for r in carried.collect()}
+    assert floors == {"a": at(13), "b": at(12), "c": at(3)}
     longer, _ = retention_purge(feed(spark, MIX), 60 * 24 * 365, 7, now)
     assert longer.count() == len(MIX)
 

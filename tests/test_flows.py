@@ -117,6 +117,30 @@ def test_purged_empty_table_is_a_gap_by_its_floor(spark, root):
     assert state(spark, root).bootstrap_status == "REBOOTSTRAP"
 
 
+def test_rare_changes_are_no_gap_where_a_floor_is_kept(spark, root):
+    """The first change comes long after the snapshot; nothing was purged."""
+    def with_floor(changes):
+        src = source(spark, changes)
+        src.floor = spark.createDataFrame([("dbo_orders", at(0))], "capture_instance string, floor_lsn string")
+        other = spark.createDataFrame([change(20, 2, 1, "z")], CT)
+        src.changes = {**src.changes, "dbo.other": other.withColumn("capture_instance", F.lit("dbo_other"))}
+        return src
+
+    register_tables(spark, with_floor([]), root, START)
+    go(spark, with_floor([]), root, "SNAPSHOT")
+    assert state(spark, root).last_processed_lsn == at(20)
+    result = go(spark, with_floor([change(50, 2, 9, "first")]), root)
+    assert (result["status"], result["rows"]) == ("SUCCEEDED", 1)
+
+
+def test_bounds_read_what_is_new_only(spark, root):
+    src = source(spark, LATER)
+    assert src.high() == at(14) and src.high(at(12)) == at(14) and src.high(at(90)) == at(90)
+    low = {n: src.lows(spark, {"dbo_orders": at(n)}).first().low_lsn for n in (5, 10, 12, 99)}
+    assert low[5] == at(10) and all(low[n] <= at(n) for n in (10, 12, 99))
+    assert source(spark, []).lows(spark, {}).first().low_lsn == at(0)
+
+
 def test_one_failing_table_leaves_the_others(spark, root):
     bad = spark.createDataFrame([(1, 0)], "x int, y int").select((F.col("x") / F.col("y")).alias("z"))
     src = source(spark, FIRST, **{"dbo.bad": bad})
