@@ -142,15 +142,18 @@ def dataset_id_column(table: Column, from_lsn: Column, to_lsn: Column) -> Column
 
 
 def commit_once(candidates: DataFrame, committed: DataFrame) -> DataFrame:
-    """Candidates not committed before, each (table, from, to) once.
+    """Candidates not committed before, each (table, from, to) once, with their ids.
 
-    Repeated candidates collapse before the join, so both sides are unique.
+    Repeated candidates collapse before the join, so both sides are unique;
+    ids are computed for what is left.
     """
     keys = ["table_name", "from_lsn", "to_lsn"]
-    once = candidates.select(*keys).distinct().withColumn(
-        "dataset_id", dataset_id_column(*(F.col(k) for k in keys))
-    )
-    return once.join(committed.select("dataset_id").distinct(), "dataset_id", "left_anti")
+
+    def once(df: DataFrame) -> DataFrame:
+        return df.select(F.lower("table_name").alias("table_name"), *keys[1:]).distinct()
+
+    new = once(candidates).join(once(committed), keys, "left_anti")
+    return new.withColumn("dataset_id", dataset_id_column(*(F.col(k) for k in keys)))
 
 
 def is_superseded(spark: SparkSession, root: str, source: str, epoch: int) -> bool:

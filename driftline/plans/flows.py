@@ -23,7 +23,12 @@ from driftline.functions.times import local_time
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
 from driftline.plans.routing import COMPLETE, GAP_CODE, PENDING, plan_tables, state_transition
-from driftline.sources.catalog import extraction_mode, schema_manifest, table_profile
+from driftline.sources.catalog import (
+    SMALL_TABLE_ROWS,
+    extraction_mode,
+    schema_manifest,
+    table_profile,
+)
 from driftline.sources.changes import DELIVERY_ORDER, label_changes, lsn_high, lsn_low
 
 
@@ -103,11 +108,16 @@ def capture_instance(table: str) -> str:
 
 
 def register_tables(
-    spark: SparkSession, source: Source, root: str, now: datetime, small_table_rows: int = 1000
+    spark: SparkSession,
+    source: Source,
+    root: str,
+    now: datetime,
+    small_table_rows: int = SMALL_TABLE_ROWS,
+    verify_keys: bool = True,
 ) -> None:
     """Start to track the tables of a source, each in the mode its profile suggests."""
     profile = extraction_mode(
-        table_profile(source.tables, source.keys, source.changes), small_table_rows
+        table_profile(source.tables, source.keys, source.changes, verify_keys), small_table_rows
     )
     known = {full_name(r.asDict()).lower() for r in ledger.current_states(spark, root).collect()}
     rows = []

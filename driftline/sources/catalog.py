@@ -69,17 +69,19 @@ def table_profile(
     tables: Mapping[str, DataFrame],
     keys: Mapping[str, Sequence[str]],
     cdc_tables: Iterable[str] = (),
+    verify: bool = True,
 ) -> DataFrame:
     """One row per table: change capture, unique key and row count.
 
-    A key counts only when the data confirms it. Tables without a declared
-    key are just counted, which Parquet answers from its footers.
+    With ``verify`` a key counts only when the data confirms it, which
+    shuffles the keys of the whole table. Tables without a declared or
+    verified key are just counted, which Parquet answers from its footers.
     """
     tracked = {name.lower() for name in cdc_tables}
     parts = []
     for name, df in tables.items():
         columns = keys.get(name)
-        if columns:
+        if columns and verify:
             counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
             any_null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))
             part = counted.agg(
@@ -88,7 +90,7 @@ def table_profile(
             )
         else:
             part = df.agg(F.count(F.lit(1)).alias("estimated_rows")).select(
-                F.lit(False).alias("has_unique_key"), "estimated_rows"
+                F.lit(bool(columns)).alias("has_unique_key"), "estimated_rows"
             )
         parts.append(
             part.select(

@@ -78,3 +78,9 @@ def test_changed(spark):
     known = spark.createDataFrame([("A", "x1"), ("b", "other")], "table_name string, schema_hash string")
     got = {r.table_name: r.changed for r in schema_changed(now, known).collect()}
     assert got == {"a": False, "b": True, "c": True}
+
+
+def test_declared_keys_can_be_trusted(spark):
+    big = spark.range(1001).withColumn("x", F.lit(1))
+    row = table_profile({"t": big, "u": big}, {"t": ["x"]}, verify=False).orderBy("table_name").collect()
+    assert [(r.has_unique_key, r.estimated_rows) for r in row] == [(True, 1001), (False, 1001)]

@@ -286,3 +286,13 @@ def test_log_stream_filters(spark, root):
     )
     query.awaitTermination()
     assert sorted(r.message for r in spark.table("found").collect()) == ["Disk gone", "disk full"]
+
+
+def test_commit_once(spark):
+    names = "table_name string, from_lsn string, to_lsn string"
+    asked = spark.createDataFrame([("a", at(1), at(2))] * 300 + [("A", at(1), at(3)), ("b", at(1), at(2))], names)
+    done = spark.createDataFrame([("B", at(1), at(2)), ("b", at(1), at(2))], names)
+    got = ledger.commit_once(asked, done).collect()
+    assert {(r.table_name, r.to_lsn, r.dataset_id) for r in got} == {
+        ("a", at(n), ledger.dataset_id("A", at(1), at(n))) for n in (2, 3)}
+    assert len(got) == 2

@@ -343,11 +343,7 @@ def commit_once(spark, sf):
     """Ranges asked for (many times over) that no committed dataset covers."""
     datasets = feeds.datasets(spark, sf)
     wanted = datasets.select("table_name", "from_lsn", "to_lsn")
-    done = datasets.where(F.col("status") == "COMMITTED").select(
-        ledger.dataset_id_column(
-            F.col("table_name"), F.col("from_lsn"), F.col("to_lsn")
-        ).alias("dataset_id")
-    )
+    done = datasets.where(F.col("status") == "COMMITTED")
     return ledger.commit_once(wanted.unionByName(wanted), done)
 
 
