@@ -94,9 +94,14 @@ def run_details_nested(
     datasets); a larger run has several pages, so no list grows without bound.
     """
     sizes = datasets.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"))
-    pages = sizes.select("batch_id", F.ceil(F.col("__n") / page_rows).cast("bigint").alias("__pages"))
-    paged = salted_lookup(datasets, pages, ["batch_id"]).withColumn(
-        "page", F.pmod(F.xxhash64("dataset_id"), F.col("__pages"))
+    # Only large runs are looked up: there are few of them.
+    large = sizes.where(F.col("__n") > page_rows).select(
+        "batch_id", F.ceil(F.col("__n") / page_rows).cast("bigint").alias("__pages")
+    )
+    wanted = datasets.select("batch_id", *dict.fromkeys(["dataset_id", *columns]))
+    paged = salted_lookup(wanted, large, ["batch_id"], "left").withColumn(
+        "page",
+        F.coalesce(F.pmod(F.xxhash64("dataset_id"), F.col("__pages")), F.lit(0).cast("bigint")),
     )
     lists = paged.groupBy("batch_id", "page").agg(
         F.sort_array(F.collect_list(F.struct(*columns))).alias("datasets")
@@ -179,8 +184,14 @@ def lag_report(state: DataFrame, now: Column, feed: DataFrame | None = None) ->
 
 def superseded_runs(runs: DataFrame) -> DataFrame:
     """Running runs for whose source a newer run exists, and the newest one."""
-    newest = runs.groupBy("source").agg(
-        F.max(F.struct("started_at", "batch_id")).alias("__newest")
+    newest = (
+        runs.groupBy("source")
+        .agg(
+            F.max(F.struct("started_at", "batch_id")).alias("__newest"),
+            F.count(F.lit(1)).alias("__n"),
+        )
+        .where(F.col("__n") > 1)
+        .drop("__n")
     )
     running = runs.where(F.col("status") == "RUNNING").select("source", "batch_id", "started_at")
     return (

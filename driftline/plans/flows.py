@@ -372,6 +372,27 @@ def run(
 ) -> dict:
     """Run a SNAPSHOT or DELTA over all tracked tables; returns the run's ledger row."""
     current = start_run(spark, source.name, root, kind, trigger, clock())
+    try:
+        finished = _run_tables(spark, source, root, kind, current, clock, max_bytes, parallel_tables)
+    except Exception:
+        failed = {**current, "status": "FAILED", "finished_at": clock(), "version": 2}
+        ledger.append_rows(spark, root, "batch_history", [failed])
+        raise
+    ledger.append_rows(spark, root, "batch_history", [finished])
+    return finished
+
+
+def _run_tables(
+    spark: SparkSession,
+    source: Source,
+    root: str,
+    kind: str,
+    current: dict,
+    clock: Callable[[], datetime],
+    max_bytes: int,
+    parallel_tables: int,
+) -> dict:
+    """Plan all tables, run each, and sum up the run."""
     # One row per tracked table: the control plane, not the data.
     tracked = [row.asDict() for row in ledger.current_states(spark, root).collect()]
     last = {
@@ -403,7 +424,7 @@ def run(
         status = "ABORTED"
     else:
         status = "SUCCEEDED" if len(good) == len(plans) else "FAILED"
-    finished = {
+    return {
         **current,
         "status": status,
         "finished_at": clock(),
@@ -413,8 +434,6 @@ def run(
         "rows": sum(r["row_count"] for r in good),
         "bytes": sum(r["bytes_sent"] for r in good),
     }
-    ledger.append_rows(spark, root, "batch_history", [finished])
-    return finished
 
 
 __all__ = [

@@ -11,7 +11,6 @@ from driftline.operators import (
     running_total,
     write_chunks,
 )
-from driftline.operators.ledger import read_committed  # noqa: F401
 from driftline.session import new_folder
 
 COLUMNS = ["Id", "Name", "Amount"]

@@ -296,3 +296,13 @@ def test_commit_once(spark):
     assert {(r.table_name, r.to_lsn, r.dataset_id) for r in got} == {
         ("a", at(n), ledger.dataset_id("A", at(1), at(n))) for n in (2, 3)}
     assert len(got) == 2
+
+
+def test_a_run_that_can_not_plan_ends_failed(spark, root):
+    src = source(spark, FIRST)
+    register_tables(spark, src, root, START)
+    src.changes = {"dbo.orders": src.changes["dbo.orders"].drop("_lsn")}
+    with pytest.raises(Exception, match="_lsn"):
+        go(spark, src, root)
+    row = ledger.current_runs(spark, root).first()
+    assert (row.status, row.finished_at) == ("FAILED", clock())

@@ -1,6 +1,5 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from driftline.functions import ZERO_LSN, local_time
 from driftline.operators.ledger import LEDGERS
