@@ -29,8 +29,9 @@ from driftline.llm.common import PieceCache, list_array, once, slices, space_pie
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Entries kept of the pair test and of words, before they are made anew.
-KEPT_PAIRS = 1_000_000
-KEPT_WORDS = 500_000
+KEPT_PAIRS = 400_000
+KEPT_WORDS = 250_000
+KEPT_PIECES = 500_000
 NEVER = 1 << 40
 
 
@@ -82,7 +83,7 @@ class PrefixEncoder:
         self.left_edges = self._edges(0)
         self.pairs: dict[int, bool] = {}
         self.by_word: dict[str, bytes] = {}
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, KEPT_PIECES)
 
     def _edges(self, side: int) -> list[list[tuple[int, int]]]:
         """Per token the pieces at one of its ends, each with the rank that merged it away."""

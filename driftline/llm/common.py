@@ -42,7 +42,7 @@ class PieceCache:
     frequent ones come back soon.
     """
 
-    def __init__(self, work: Callable[[list[str]], list[bytes]], limit: int = 800_000):
+    def __init__(self, work: Callable[[list[str]], list[bytes]], limit: int):
         self.work = work
         self.limit = limit
         self.known: dict[str, bytes] = {}

@@ -196,3 +196,17 @@ def identify(docs: DataFrame, filters: LanguageFilters, key: str = "doc_id", tex
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame, filters: LanguageFilters, least: float, text: str = "text"
+) -> DataFrame:
+    """The rows, unchanged, whose text is in a learned language with ``least`` score."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [filters.predict(x) for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

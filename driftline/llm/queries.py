@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, language, packing, topk, urls, vectors
+from driftline.llm import bpe, chat, jaccard, language, packing, quality, topk, urls, vectors
+
+
+# Documents with a smaller chance of being good are rejected.
+LEAST_QUALITY = 0.2
+# Least share of known n-grams for a language to count as identified.
+LEAST_LANGUAGE = 0.2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +31,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -81,16 +91,24 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, urls.learn(pages, URL_RULES))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("keep", F.col("score") >= LEAST_QUALITY)
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_jaccard": op2_jaccard,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
     "op7_urls": op7_urls,
+    "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
 }
