@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, jaccard, language, packing, quality, topk, urls, vectors
+from driftline.llm import bpe, chat, extract, jaccard, language, packing, quality, topk, urls, vectors
 
 
 # Documents with a smaller chance of being good are rejected.
@@ -91,6 +91,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, urls.learn(pages, URL_RULES))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = extract.extract(pages, extract.learn(pages), keep=["url"])
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -109,6 +115,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
     "op7_urls": op7_urls,
+    "op8_extract": op8_extract,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
 }
