@@ -3,10 +3,9 @@
 A text's set is its five-word shingles (words: lower case, between white
 space), as 64-bit hashes. Texts with equal sets are one class. Every class is
 embedded as minhash tokens. A run starts with all classes in one bucket and
-splits buckets recursively: at each node two of the token positions are
-sampled, the same two for all members, and a class goes on to the two buckets
-that hold the classes with its tokens there. Classes alone in a bucket drop
-out. Small buckets are compared pair by pair on the tokens. A larger bucket is
+splits buckets recursively: at each node one or two of the token positions are
+sampled, the same for all members, and a class goes on to the buckets that
+hold the classes with its tokens there. Classes alone in a bucket drop out. Small buckets are compared pair by pair on the tokens. A larger bucket is
 first compared with one leader: classes near it are linked to it, and those so
 near that all their partners were linked as well leave; the others are split
 on. Runs are repeated until a pair at the threshold is found with the target
@@ -45,15 +44,19 @@ LEAST = 0.8
 RECALL = 0.999
 TOKENS = 64
 # Buckets up to this size are compared pair by pair.
-SMALL = 32
+SMALL = 200
 # Levels after which what is left of a bucket is one set of candidates.
 DEEPEST = 10
 # Levels that a pair usually passes, for the number of runs.
-USUAL_DEPTH = 3
+USUAL_DEPTH = 2
+# Share of the nodes below the roots that sample two tokens; the others sample
+# one. A bucket of classes that share less than 1 / (1 + TWICE) of their tokens
+# so shrinks with every level.
+TWICE = 0.5
 # Shares of equal tokens, lower than the similarity they stand for by several
 # standard deviations of the estimate: of a candidate pair, of a class that is
 # linked to a leader, and of one that may leave with it.
-NEAR, LINKED, LEAVES = 0.55, 0.40, 0.75
+NEAR, LINKED, LEAVES = 0.55, 0.35, 0.70
 # Characters of text in one block of a component.
 BLOCK_CHARACTERS = 6_000_000
 
@@ -160,16 +163,18 @@ def _token_matrix(column: pa.Array, tokens: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, tokens)
 
 
-def _sampled(paths: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two different token positions for each node."""
+def _sampled(paths: np.ndarray, tokens: int, twice: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and their token positions: one for each node, then another for some of the nodes."""
     drawn = _mix(paths + np.uint64(1))
     first = (drawn % np.uint64(tokens)).astype(np.int64)
-    other = ((drawn >> np.uint64(32)) % np.uint64(tokens - 1)).astype(np.int64)
-    return first, (first + 1 + other) % tokens
+    other = ((drawn >> np.uint64(16)) % np.uint64(tokens - 1)).astype(np.int64)
+    yield np.arange(len(paths)), first
+    again = np.flatnonzero((drawn >> np.uint64(40)) < np.uint64(int(twice * (1 << 24))))
+    yield again, ((first + 1 + other) % tokens)[again]
 
 
 def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
-    """(node, path) of the two buckets that each row goes on to; from ``roots`` runs at the start."""
+    """(node, path) of the buckets that each row goes on to; from ``roots`` runs at the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,17 +185,19 @@ def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
                 if roots else [np.asarray(batch.column(2)).view(np.uint64)]
             )
             for path in starts:
-                for position in _sampled(path, tokens):
-                    token = matrix[np.arange(len(node)), position].astype(np.uint64)
-                    onward = _mix(path * np.uint64(0x100000001B3) + (token << np.uint64(8)) + position.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(onward.view(np.int64))], names=["node", "path"])
+                for rows, position in _sampled(path, tokens, 1.0 if roots else TWICE):
+                    token = matrix[rows, position].astype(np.uint64)
+                    onward = _mix(path[rows] * np.uint64(0x100000001B3) + (token << np.uint64(8)) + position.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[rows]), pa.array(onward.view(np.int64))], names=["node", "path"]
+                    )
 
     columns = ["node", "tokens"] if roots else ["node", "tokens", "path"]
     return members.select(*columns).mapInArrow(run, "node bigint, path bigint")
 
 
 def _compare_small(buckets: DataFrame, tokens: int, near: float) -> DataFrame:
-    """Links between the near members of each bucket. The rows of a bucket are adjacent."""
+    """Spanning links between the near members of each bucket. Its rows are adjacent."""
     schema = "a bigint, b bigint"
 
     def links(path: np.ndarray, node: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
@@ -203,9 +210,12 @@ def _compare_small(buckets: DataFrame, tokens: int, near: float) -> DataFrame:
             left.append(at[equal >= near])
             right.append(at[equal >= near] + step)
             step += 1
-        a = node[np.concatenate(left)] if left else np.zeros(0, np.int64)
-        b = node[np.concatenate(right)] if right else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        none = np.zeros(0, np.int64)
+        root = local_components(len(node), np.concatenate([none, *left]), np.concatenate([none, *right]))
+        linked = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -244,8 +254,9 @@ def _compare_leader(led: DataFrame, tokens: int) -> DataFrame:
 
 def run_count(least: float, recall: float) -> int:
     """Runs after which a pair at the threshold was found with the target recall."""
-    both = 1 - (1 - least) ** 2  # at least one of two sampled tokens is equal
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - both**USUAL_DEPTH)))
+    root = 1 - (1 - least) ** 2  # at least one of the sampled tokens is equal
+    below = 1 - (1 - least) * (1 - TWICE * least)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - root * below ** (USUAL_DEPTH - 1))))
 
 
 def candidate_links(
@@ -261,7 +272,7 @@ def candidate_links(
         shared = stage(
             buckets.join(sizes, "path").join(classes, "node").select("node", "path", "n", "tokens"), f"level-{level}"
         )
-        found.append(stage(_compare_small(shared.where(F.col("n") <= small), tokens, NEAR * scale).distinct(), "links"))
+        found.append(_compare_small(shared.where(F.col("n") <= small), tokens, NEAR * scale))
         large = shared.where(F.col("n") > small)
         if large.isEmpty():
             break
