@@ -7,6 +7,8 @@ filters reach the Parquet scan, and files sorted by it prune by row group.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ ZERO_LSN = "0x" + "0" * 20
 LAST_LSN = "0x" + "F" * 20
 
 _HALF = (1 << 40) - 1
+_SPELLING = re.compile(r"(?:0[xX])?([0-9A-Fa-f]{20})")
+
+
+def canonical_lsn(text: str) -> str:
+    """Canonical text of a single value the driver holds, from any accepted spelling."""
+    match = _SPELLING.fullmatch(text)
+    if not match:
+        raise ValueError(f"not an LSN: {text!r}")
+    return "0x" + match[1].upper()
 
 
 def lsn_format(binary: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.functions.text import SERVICE_COLUMNS, TIMESTAMP_FORMAT
+from driftline.functions.text import SERVICE_COLUMNS
 from driftline.operators.keyed import latest_per_key, salted_lookup
 
 LEDGERS = {
@@ -47,6 +47,8 @@ LEDGERS = {
         "dataset_id string, severity string, code string, message string, "
         "is_retryable boolean, is_terminal boolean"
     ),
+    "stream_start": "stream string, table_name string, from_lsn string",
+    "floor": "capture_instance string, floor_lsn string, recorded_at timestamp_ntz",
     "schema_manifest": (
         "table_name string, captured_at timestamp_ntz, schema_hash string, manifest_json string"
     ),
@@ -65,6 +67,9 @@ ALLOWED_STEPS = (
 )
 
 
+# Tasks that read chunks, at most.
+MOST_READERS = 10_000
+
 _ARROW_TYPES = {
     "string": pa.string(),
     "long": pa.int64(),
@@ -156,24 +161,46 @@ def commit_once(candidates: DataFrame, committed: DataFrame) -> DataFrame:
     return new.withColumn("dataset_id", dataset_id_column(*(F.col(k) for k in keys)))
 
 
-def is_superseded(spark: SparkSession, root: str, source: str, epoch: int) -> bool:
+def is_superseded(spark: SparkSession, root: str, run: dict) -> bool:
+    """Whether a later run of the same source was opened.
+
+    Runs are ordered by (epoch, id). Two that were opened at once have equal
+    epochs and different ids, so one of them is the later one for both.
+    """
     newest = (
         read_ledger(spark, root, "batch_history")
-        .where(F.col("source") == source)
-        .agg(F.max("epoch"))
+        .where(F.col("source") == run["source"])
+        .agg(F.max(F.struct("epoch", "batch_id")))
         .first()[0]
     )
-    return newest is not None and newest > epoch
+    return newest is not None and tuple(newest) > (run["epoch"], run["batch_id"])
 
 
 def committed_row(spark: SparkSession, root: str, identity: str) -> dict | None:
+    """The dataset's newest row if that is a COMMITTED one."""
     rows = (
         read_ledger(spark, root, "dataset_history")
-        .where((F.col("dataset_id") == identity) & (F.col("status") == "COMMITTED"))
+        .where(F.col("dataset_id") == identity)
+        .orderBy(F.desc("version"))
         .limit(1)
         .collect()
     )
-    return rows[0].asDict() if rows else None
+    return rows[0].asDict() if rows and rows[0].status == "COMMITTED" else None
+
+
+def committed_ends(spark: SparkSession, root: str) -> DataFrame:
+    """Where the committed changes of each table end: ``table`` (lower case) and ``to_lsn``."""
+    return (
+        current_datasets(spark, root)
+        .where((F.col("status") == "COMMITTED") & F.col("from_lsn").isNotNull())
+        .groupBy(F.lower(F.concat_ws(".", "table_schema", "table_name")).alias("table"))
+        .agg(F.max("to_lsn").alias("to_lsn"))
+    )
+
+
+def recorded_floors(spark: SparkSession, root: str) -> DataFrame:
+    """Highest floor that purges recorded for each capture instance."""
+    return read_ledger(spark, root, "floor").groupBy("capture_instance").agg(F.max("floor_lsn").alias("floor_lsn"))
 
 
 def publish(
@@ -187,9 +214,11 @@ def publish(
 
     Chunk rows are appended first and the COMMITTED row last. A range that was
     committed before keeps its first result. A superseded run may not commit,
-    and neither may a dataset with a row above the chunk limit.
+    and neither may a dataset with a row above the chunk limit. The test is
+    made again after the COMMITTED row: a run that was superseded in between
+    takes it back, and readers look at the newest row only.
     """
-    if is_superseded(spark, root, run["source"], run["epoch"]):
+    if is_superseded(spark, root, run):
         raise LeaseConflict(f"run {run['batch_id']} was superseded")
     earlier = committed_row(spark, root, dataset["dataset_id"])
     if earlier:
@@ -215,6 +244,10 @@ def publish(
         "version": 2,
     }
     append_rows(spark, root, "dataset_history", [row])
+    if is_superseded(spark, root, run):
+        taken_back = {**row, "status": "ABORTED", "error_code": "LEASE_CONFLICT", "version": 3}
+        append_rows(spark, root, "dataset_history", [taken_back])
+        raise LeaseConflict(f"run {run['batch_id']} was superseded")
     return row
 
 
@@ -240,41 +273,50 @@ def read_committed(
 ) -> DataFrame:
     """Rows of a table's committed datasets, typed by ``schema``.
 
-    ``_chunk_file`` sorts in chunk order within a dataset. An empty field is
-    NULL: the format does not tell it from empty text.
+    Snapshots and deltas read together: columns are found by the name in each
+    chunk's header, and what a chunk does not have is NULL (the service columns
+    of a snapshot, columns added later). ``_chunk_file`` sorts in chunk order
+    within a dataset. An empty field is NULL: the format does not tell it from
+    empty text. Tasks open the chunks themselves, so no list of them is made on
+    the driver.
     """
     chunks = committed_chunks(spark, root, table)
     if dataset_ids is not None:
         chunks = chunks.where(F.col("dataset_id").isin(list(dataset_ids)))
-    # Spark's file sources keep the list of files on the driver in any case.
-    paths = [row.path for row in chunks.select("path").toLocalIterator()]
-    fields = [T.StructField(name, T.StringType()) for name in SERVICE_COLUMNS] if service else []
-    text = [T.StructField(f.name, _text_type(f.dataType)) for f in schema.fields]
-    shape = T.StructType([*fields, *text])
-    if not paths:
-        rows = spark.createDataFrame([], shape).withColumn("_chunk_file", F.lit(""))
-    else:
-        rows = (
-            spark.read.schema(shape)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "FAILFAST")
-            .option("enforceSchema", False)
-            .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-            .option("timestampFormat", TIMESTAMP_FORMAT + "xxx")
-            .csv(paths)
-            .withColumn("_chunk_file", F.col("_metadata.file_name"))
-        )
+    names = [*(SERVICE_COLUMNS if service else ()), *(f.name for f in schema.fields)]
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_chunk_file"]])
+    paths = chunks.select("path")
+    # Explicit, because sizes of paths say nothing of the sizes of files.
+    spread = max(1, min(paths.count(), MOST_READERS))
+    rows = paths.repartition(spread, "path").mapInArrow(_chunk_rows(names), text)
     return rows.select(
-        *(f.name for f in fields), *(_typed(f) for f in schema.fields), "_chunk_file"
+        *names[: len(names) - len(schema.fields)], *(_typed(f) for f in schema.fields), "_chunk_file"
     )
 
 
-def _text_type(kind: T.DataType) -> T.DataType:
-    plain = (T.BinaryType, T.DateType, T.ArrayType, T.MapType, T.StructType)
-    return T.StringType() if isinstance(kind, plain) else kind
+def _chunk_rows(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import csv
+        from pyarrow import fs as pafs
+
+        convert = csv.ConvertOptions(
+            column_types=dict.fromkeys(names, pa.string()),
+            include_columns=list(names),
+            include_missing_columns=True,
+            null_values=[""],
+            strings_can_be_null=True,
+        )
+        parse = csv.ParseOptions(newlines_in_values=True)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                filesystem, place = pafs.FileSystem.from_uri(path)
+                with filesystem.open_input_stream(place, compression="gzip") as stream:
+                    file = pa.array([place.rsplit("/", 1)[-1]])
+                    for part in csv.open_csv(stream, parse_options=parse, convert_options=convert):
+                        of = pa.repeat(file[0], part.num_rows)
+                        yield pa.RecordBatch.from_arrays([*part.columns, of], names=[*names, "_chunk_file"])
+
+    return run
 
 
 def _typed(field: T.StructField) -> Column:
@@ -285,7 +327,7 @@ def _typed(field: T.StructField) -> Column:
         return F.substring(column, 1, 10).cast("date").alias(field.name)
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         return F.from_json(column, field.dataType).alias(field.name)
-    return column
+    return column.cast(field.dataType).alias(field.name)
 
 
 def upsert_schemas(manifests: DataFrame, root: str, now: Column) -> None:

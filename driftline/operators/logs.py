@@ -21,14 +21,18 @@ RECENT_LOGS = 500
 def log_fields(df: DataFrame, json_col: str) -> DataFrame:
     """Lift the known properties to columns, keep the rest as a map.
 
-    The map is NULL when nothing else was logged.
+    The map is NULL when nothing else was logged. ``unparsed`` has the text
+    that is no JSON object, NULL otherwise.
     """
     parsed = df.withColumn("__all", F.from_json(F.col(json_col), "map<string,string>"))
     rest = F.map_filter("__all", lambda name, _: ~name.isin(list(KNOWN_PROPERTIES)))
     lifted = [F.col("__all").getItem(name).alias(to) for name, to in KNOWN_PROPERTIES.items()]
     kept = [name for name in df.columns if name != json_col]
     return parsed.select(
-        *kept, *lifted, F.when(F.size(rest) > 0, rest).alias("properties")
+        *kept,
+        *lifted,
+        F.when(F.size(rest) > 0, rest).alias("properties"),
+        F.when(F.col("__all").isNull(), F.col(json_col)).alias("unparsed"),
     )
 
 
@@ -56,13 +60,14 @@ def log_query(
 
 
 def log_lines(logs: DataFrame) -> DataFrame:
-    """Export form: ``yyyy-MM-dd HH:mm:ss.fff [Level] message``."""
+    """Export form: ``yyyy-MM-dd HH:mm:ss.fff [Level] message``. What is missing is empty."""
+    empty = F.lit("")
     return logs.select(
         F.concat(
-            local_time_text(F.col("timestamp"), " ", 3),
+            F.coalesce(local_time_text(F.col("timestamp"), " ", 3), empty),
             F.lit(" ["),
-            F.col("level"),
+            F.coalesce("level", empty),
             F.lit("] "),
-            F.col("message"),
+            F.coalesce("message", empty),
         ).alias("line")
     )

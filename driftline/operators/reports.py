@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.labels import duration_text
 from driftline.functions.times import millis_between
+from driftline.operators.chunks import running_total
 from driftline.operators.keyed import salted_lookup
 
 # List lengths of the reports and the inactivity limit.
@@ -88,35 +89,44 @@ def run_details(runs: DataFrame, datasets: DataFrame) -> DataFrame:
 def run_details_nested(
     runs: DataFrame, datasets: DataFrame, columns: Sequence[str], page_rows: int = 1000
 ) -> DataFrame:
-    """Datasets of each run as lists, in pages of about ``page_rows``.
+    """Datasets of each run as lists, in pages of ``page_rows`` in dataset order.
 
-    A run within the page size is one row with one list (an empty one without
-    datasets); a larger run has several pages, so no list grows without bound.
+    One shape for all runs: ``page`` counts from 0 to ``pages`` - 1, every page
+    but the last is full, and a run without datasets has one empty page. No
+    list grows without bound, and no run is numbered in one task.
     """
-    sizes = datasets.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"))
-    # Only large runs are looked up: there are few of them.
-    large = sizes.where(F.col("__n") > page_rows).select(
-        "batch_id", F.ceil(F.col("__n") / page_rows).cast("bigint").alias("__pages")
-    )
-    wanted = datasets.select("batch_id", *dict.fromkeys(["dataset_id", *columns]))
-    paged = salted_lookup(wanted, large, ["batch_id"], "left").withColumn(
-        "page",
-        F.coalesce(F.pmod(F.xxhash64("dataset_id"), F.col("__pages")), F.lit(0).cast("bigint")),
-    )
-    lists = paged.groupBy("batch_id", "page").agg(
-        F.sort_array(F.collect_list(F.struct(*columns))).alias("datasets")
+    wanted = datasets.select("batch_id", *dict.fromkeys(["dataset_id", *columns])).withColumn(
+        "__one", F.lit(1).cast("bigint")
+    )
+    placed = running_total(wanted, ["batch_id", "dataset_id"], "__one")
+    starts = placed.groupBy("batch_id").agg(
+        F.min("size_before").alias("__start"), F.ceil(F.count(F.lit(1)) / page_rows).cast("bigint").alias("pages")
+    )
+    page = F.floor((F.col("size_before") - F.col("__start")) / page_rows)
+    lists = (
+        salted_lookup(placed, starts, ["batch_id"])
+        .withColumn("page", page)
+        .groupBy("batch_id", "page")
+        .agg(
+            F.first("pages").alias("pages"),
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("dataset_id", F.struct(*columns).alias("__d")))),
+                lambda entry: entry["__d"],
+            ).alias("datasets"),
+        )
     )
     filled = runs.join(lists, "batch_id")
-    empty = runs.join(sizes, "batch_id", "left_anti").select(
+    empty = runs.join(starts, "batch_id", "left_anti").select(
         "*",
         F.lit(0).cast("bigint").alias("page"),
+        F.lit(1).cast("bigint").alias("pages"),
         F.array().cast(lists.schema["datasets"].dataType).alias("datasets"),
     )
     return filled.unionByName(empty)
 
 
-def run_status(datasets: DataFrame, events: DataFrame) -> DataFrame:
-    """Final status of each run from its datasets and events.
+def run_status(runs: DataFrame, datasets: DataFrame, events: DataFrame) -> DataFrame:
+    """Final status of each run from its datasets and events; without any it succeeded.
 
     A lease conflict aborts the run; an unreachable receiver or any aborted
     dataset fails it.
@@ -129,7 +139,8 @@ def run_status(datasets: DataFrame, events: DataFrame) -> DataFrame:
         F.bool_or(F.col("code") == DOWNSTREAM_UNAVAILABLE).alias("__unavailable"),
     )
     no = F.lit(False)
-    return failed.join(stopped, "batch_id", "full").select(
+    known = runs.select("batch_id").distinct().join(failed, "batch_id", "left")
+    return known.join(stopped, "batch_id", "left").select(
         "batch_id",
         F.when(F.coalesce("__conflict", no), "ABORTED")
         .when(F.coalesce("__unavailable", no) | F.coalesce("__failed", no), "FAILED")
@@ -141,18 +152,21 @@ def run_status(datasets: DataFrame, events: DataFrame) -> DataFrame:
 def changes_behind(state: DataFrame, feed: DataFrame) -> DataFrame:
     """Changes after the last processed LSN, per capture instance.
 
-    Changes are counted per instance and LSN first; an instance with most of
-    the changes is spread over several tasks.
+    The lowest of these positions is a literal filter on the scan, the rest a
+    join of the scan with one row per instance; only counts are shuffled when
+    Spark broadcasts that table, as it does with one of usual size.
     """
-    counted = feed.groupBy("capture_instance", "_lsn").agg(F.count(F.lit(1)).alias("__n"))
     last = state.where(F.col("capture_instance").isNotNull()).groupBy("capture_instance").agg(
-        F.min("last_processed_lsn").alias("__last")
+        F.min(F.coalesce("last_processed_lsn", F.lit(""))).alias("__last")
     )
-    joined = salted_lookup(counted, last, ["capture_instance"])
+    # One row: the lowest position of all.
+    lowest = last.agg(F.min("__last")).first()[0]
+    new = feed.select("capture_instance", "_lsn").where(F.col("_lsn") > (lowest or ""))
     return (
-        joined.where(F.col("__last").isNull() | (F.col("_lsn") > F.col("__last")))
+        new.join(last, "capture_instance")
+        .where(F.col("_lsn") > F.col("__last"))
         .groupBy("capture_instance")
-        .agg(F.sum("__n").cast("bigint").alias("changes_behind"))
+        .agg(F.count(F.lit(1)).alias("changes_behind"))
     )
 
 

@@ -6,19 +6,20 @@ several tables run at the same time. Progress moves after publication only.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
 from threading import Event
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftline.functions.lsn import ZERO_LSN, next_lsn
+from driftline.functions.lsn import ZERO_LSN, canonical_lsn, next_lsn
 from driftline.functions.times import local_time
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
@@ -29,15 +30,25 @@ from driftline.sources.catalog import (
     schema_manifest,
     table_profile,
 )
-from driftline.sources.changes import DELIVERY_ORDER, label_changes, lsn_high, lsn_low
+from driftline.sources.changes import (
+    DELIVERY_ORDER,
+    change_scan,
+    label_changes,
+    lsn_high,
+    retention_purge,
+)
+from driftline.sources.tables import snapshot_window_scan
 
 
 @dataclass
 class Source:
     """Tables of one source with their keys and change tables, by ``schema.table``.
 
-    ``floor`` is what ``retention_purge`` recorded; keep one wherever changes
-    are purged.
+    Names ignore case. ``floor`` is what ``retention_purge`` recorded; keep one
+    wherever changes are purged by other means than :func:`purge`.
+    ``instances`` names the capture instance of a table whose change table
+    holds several. ``windows`` bounds snapshots: watermark column, start and
+    end (either may be None) by table.
     """
 
     name: str
@@ -45,9 +56,27 @@ class Source:
     changes: Mapping[str, DataFrame] = field(default_factory=dict)
     keys: Mapping[str, Sequence[str]] = field(default_factory=dict)
     floor: DataFrame | None = None
+    instances: Mapping[str, str] = field(default_factory=dict)
+    windows: Mapping[str, tuple] = field(default_factory=dict)
+
+    def instance(self, table: str) -> str | None:
+        """Capture instance of a table: as stated, or the only one in its change table."""
+        ct = find(self.changes, table)
+        stated = find(self.instances, table)
+        if ct is None or stated:
+            return stated
+        found = [row[0] for row in ct.select("capture_instance").distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise ValueError(f"{table} has several capture instances; state one in instances")
+        return found[0] if found else capture_instance(table)
+
+    def captured(self, table: str, instance: str | None) -> DataFrame:
+        """Changes of one capture instance, of all where none is given."""
+        ct = find(self.changes, table)
+        return ct if instance is None else ct.where(F.col("capture_instance") == instance)
 
     def high(self, since: str = ZERO_LSN) -> str:
-        """Highest position of all tables, read eagerly.
+        """Highest position of the source, over all its change tables, read eagerly.
 
         Looks at changes after ``since`` only, so a run costs what is new and
         not what the retention holds.
@@ -57,25 +86,37 @@ class Source:
             return since
         return max(since, lsn_high(reduce(DataFrame.unionByName, parts)).first()[0])
 
-    def lows(self, spark: SparkSession, wanted: Mapping[str, str]) -> DataFrame:
+    def lows(
+        self,
+        spark: SparkSession,
+        wanted: Mapping[str, str],
+        instances: Mapping[str, str] | None = None,
+        recorded: DataFrame | None = None,
+    ) -> DataFrame:
         """Lowest position available, as far as ``wanted`` needs it.
 
         ``wanted`` has the next position to read by capture instance. Where a
-        purge keeps a floor, that is the answer. Else any one change at or
-        before the wanted position shows that nothing is missing; failing that
-        it is the first change after it. An empty change table misses nothing.
+        purge keeps a floor (``recorded``, or the source's own), that is the
+        answer. Else any one change at or before the wanted position shows that
+        nothing is missing; failing that it is the first change after it. An
+        empty change table without a floor tells nothing: from the start on
+        nothing is missing, from any later position the answer is NULL.
         """
-        floors = {}
-        if self.floor is not None:
-            mine = [capture_instance(table) for table in self.changes]
-            # One row per tracked table.
-            floors = {
-                row.capture_instance: row.floor_lsn
-                for row in self.floor.where(F.col("capture_instance").isin(mine)).collect()
-            }
+        if instances is None:
+            instances = {table: capture_instance(table) for table in self.changes}
+        floors: dict[str, str] = {}
+        for known in (recorded, self.floor):
+            if known is not None:
+                # One row per tracked table.
+                mine = known.where(F.col("capture_instance").isin(list(instances.values())))
+                for row in mine.collect():
+                    floor = canonical_lsn(row.floor_lsn)
+                    floors[row.capture_instance] = max(floor, floors.get(row.capture_instance, floor))
         parts = []
-        for table, ct in self.changes.items():
-            instance = capture_instance(table)
+        for table, instance in instances.items():
+            if find(self.changes, table) is None:
+                continue
+            ct = self.captured(table, instance)
             start = wanted.get(instance, ZERO_LSN)
             if instance in floors:
                 found = spark.range(1).select(F.lit(floors[instance]).alias("_lsn"))
@@ -83,11 +124,15 @@ class Source:
                 before = ct.select("_lsn").where(F.col("_lsn") <= start).limit(1)
                 after = ct.where(F.col("_lsn") > start).agg(F.min("_lsn").alias("_lsn"))
                 found = before.unionByName(after)
-            parts.append(found.select(F.lit(instance).alias("capture_instance"), "_lsn"))
+            empty = ZERO_LSN if start <= next_lsn(ZERO_LSN) else None
+            parts.append(
+                found.agg(F.coalesce(F.min("_lsn"), F.lit(empty)).alias("low_lsn")).select(
+                    F.lit(instance).alias("capture_instance"), "low_lsn"
+                )
+            )
         if not parts:
             return spark.createDataFrame([], "capture_instance string, low_lsn string")
-        lowest = lsn_low(reduce(DataFrame.unionByName, parts))
-        return lowest.withColumn("low_lsn", F.coalesce("low_lsn", F.lit(ZERO_LSN)))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def utc_now() -> datetime:
@@ -99,6 +144,12 @@ def split_name(table: str) -> tuple[str, str]:
     return schema or "dbo", name
 
 
+def find(values: Mapping[str, Any], table: str) -> Any:
+    """Entry of a table whose name may be spelled in another case, or None."""
+    wanted = table.lower()
+    return next((value for name, value in values.items() if name.lower() == wanted), None)
+
+
 def full_name(row: dict) -> str:
     return f"{row['table_schema']}.{row['table_name']}"
 
@@ -114,19 +165,25 @@ def register_tables(
     now: datetime,
     small_table_rows: int = SMALL_TABLE_ROWS,
     verify_keys: bool = True,
-) -> None:
-    """Start to track the tables of a source, each in the mode its profile suggests."""
+) -> dict[str, str]:
+    """Start to track the tables of a source, each in the mode its profile suggests.
+
+    Returns the tables that can not be tracked, with the reason.
+    """
     profile = extraction_mode(
         table_profile(source.tables, source.keys, source.changes, verify_keys), small_table_rows
     )
     known = {full_name(r.asDict()).lower() for r in ledger.current_states(spark, root).collect()}
-    rows = []
+    rows, refused = [], {}
     for row in profile.collect():
         if row.table_name.lower() in known:
             continue
+        if row["mode"] == "BLOCK":
+            refused[row.table_name] = row.reason
+            continue
         schema, name = split_name(row.table_name)
         # A keyed table without a change table can only be copied whole.
-        tracked = row.table_name in source.changes
+        tracked = find(source.changes, row.table_name) is not None
         mode = "SNAP" if row["mode"] == "CDC" and not tracked else row["mode"]
         rows.append(
             {
@@ -134,7 +191,7 @@ def register_tables(
                 "table_name": name,
                 "extraction_mode": mode,
                 "bootstrap_status": PENDING,
-                "capture_instance": capture_instance(row.table_name) if tracked else None,
+                "capture_instance": source.instance(row.table_name) if tracked else None,
                 "updated_at": now,
                 "version": 1,
                 "deleted": False,
@@ -142,6 +199,53 @@ def register_tables(
         )
     if rows:
         ledger.append_rows(spark, root, "table_state", rows)
+    return refused
+
+
+def untrack(spark: SparkSession, root: str, table: str, now: datetime) -> bool:
+    """Stop to track a table; whether it was tracked. Its datasets stay readable."""
+    states = ledger.current_states(spark, root).where(
+        F.lower(F.concat_ws(".", "table_schema", "table_name")) == table.lower()
+    )
+    rows = [row.asDict() for row in states.collect()]
+    for row in rows:
+        row |= {"deleted": True, "updated_at": now, "version": row["version"] + 1}
+    if rows:
+        ledger.append_rows(spark, root, "table_state", rows)
+    return bool(rows)
+
+
+def purge(
+    spark: SparkSession,
+    source: Source,
+    root: str,
+    current_minutes: int,
+    min_days: int,
+    now: datetime,
+) -> Source:
+    """Drop changes beyond the retention, for all change tables of a source.
+
+    What is left is written below ``root``, one folder per capture instance,
+    and the floor of each goes to the ledger that :func:`run` reads. Returns
+    the source over the new change tables; the old ones are left alone. The
+    floor is recorded first: a crash between the two can only report a gap.
+    """
+    kept_tables = {}
+    for table, ct in source.changes.items():
+        before = ledger.recorded_floors(spark, root)
+        if source.floor is not None:
+            before = before.union(source.floor.select("capture_instance", "floor_lsn")).groupBy(
+                "capture_instance"
+            ).agg(F.max("floor_lsn").alias("floor_lsn"))
+        mine = before.join(ct.select("capture_instance").distinct(), "capture_instance", "left_semi")
+        kept, floor = retention_purge(ct, current_minutes, min_days, local_time(now), mine)
+        ledger.append(floor.withColumn("recorded_at", local_time(now)), root, "floor")
+        folder = f"{root}/changes/{capture_instance(table)}/{uuid.uuid4().hex}"
+        ordered = kept.repartitionByRange("capture_instance", "_lsn").sortWithinPartitions("_lsn")
+        ordered.write.partitionBy("capture_instance").parquet(folder)
+        schema = T.StructType([*(f for f in ct.schema if f.name != "capture_instance"), ct.schema["capture_instance"]])
+        kept_tables[table] = spark.read.schema(schema).parquet(folder).select(*ct.columns)
+    return replace(source, changes=kept_tables, floor=None)
 
 
 def new_dataset(run: dict, plan: dict, from_lsn: str | None, to_lsn: str | None, key: str) -> dict:
@@ -166,6 +270,13 @@ def data_folder(root: str, dataset: dict) -> str:
     return f"{root}/data/{dataset['dataset_id']}/{dataset['attempt']}"
 
 
+def table_of(source: Source, plan: dict) -> DataFrame:
+    df = find(source.tables, full_name(plan))
+    if df is None:
+        raise ledger.DatasetError("TABLE_MISSING", f"the source has no table {full_name(plan)}")
+    return df
+
+
 def snapshot_dataset(
     spark: SparkSession,
     source: Source,
@@ -180,7 +291,10 @@ def snapshot_dataset(
     was read before, so a change made meanwhile comes again with the next
     delta; none is lost.
     """
-    df = source.tables[full_name(plan)]
+    df = table_of(source, plan)
+    window = find(source.windows, full_name(plan))
+    if window:
+        df = snapshot_window_scan(df, *window)
     key = ledger.dataset_id(full_name(plan), f"snapshot {run['batch_id']}", plan["to_lsn"])
     dataset = new_dataset(run, plan, None, None, key)
     files = write_chunks(df, data_folder(root, dataset), df.columns, max_bytes)
@@ -203,17 +317,15 @@ def delta_dataset(
     earlier = ledger.committed_row(spark, root, key)
     if earlier:
         return earlier
-    ct = source.changes[table]
-    changes = ct.where(
-        (F.col("capture_instance") == plan["capture_instance"]) & F.col("_lsn").between(low, high)
-    )
-    if "_ts" not in ct.columns:
+    columns = table_of(source, plan).columns
+    changes = change_scan(source.captured(table, plan["capture_instance"]), low, high)
+    if "_ts" not in changes.columns:
         changes = changes.withColumn("_ts", local_time(run["started_at"]))
     dataset = new_dataset(run, plan, low, high, key)
     files = write_chunks(
         label_changes(changes, simple_ops),
         data_folder(root, dataset),
-        source.tables[table].columns,
+        columns,
         max_bytes,
         service=True,
         order_by=DELIVERY_ORDER,
@@ -269,8 +381,16 @@ class _TableJob:
             code = getattr(error, "code", None) or (
                 "DELTA_FAILED" if plan["action"] == "DELTA" else "SNAPSHOT_FAILED"
             )
-            message = f"{code} for table {full_name(plan)}: {error}"
+            return self._guarded(plan, code, f"{code} for table {full_name(plan)}: {_brief(error)}")
+
+    def _guarded(self, plan: dict, code: str, message: str) -> dict | None:
+        """Record a failure, unless a later run has taken over."""
+        try:
             return self._fail(plan, code, message)
+        except ledger.LeaseConflict:
+            self.conflict = True
+            self.stop.set()
+            return None
 
     def _execute(self, plan: dict) -> dict:
         action = plan["action"]
@@ -317,6 +437,8 @@ class _TableJob:
         return row
 
     def _move(self, plan: dict, outcome: str, lsn: str | None, message: str | None) -> None:
+        if ledger.is_superseded(self.spark, self.root, self.run):
+            raise ledger.LeaseConflict(f"run {self.run['batch_id']} was superseded")
         happened = {
             "table_schema": plan["table_schema"],
             "table_name": plan["table_name"],
@@ -335,10 +457,16 @@ class _TableJob:
         ledger.append(accepted, self.root, "table_state")
 
 
+def _brief(error: Exception) -> str:
+    """Class and first line of an error, without stack traces."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    return f"{type(error).__name__}: {lines[0][:500]}" if lines else type(error).__name__
+
+
 def start_run(
     spark: SparkSession, source_name: str, root: str, kind: str, trigger: str, now: datetime
 ) -> dict:
-    """Open a run. Its epoch is above all earlier ones, which it supersedes."""
+    """Open a run. It comes after all earlier ones, by (epoch, id), and supersedes them."""
     last = (
         ledger.read_ledger(spark, root, "batch_history")
         .where(F.col("source") == source_name)
@@ -347,7 +475,7 @@ def start_run(
     )
     epoch = (last or 0) + 1
     row = {
-        "batch_id": hashlib.sha256(f"{source_name}|{epoch}|{root}".encode()).hexdigest()[:32],
+        "batch_id": uuid.uuid4().hex,
         "source": source_name,
         "batch_type": kind,
         "trigger": trigger,
@@ -395,18 +523,27 @@ def _run_tables(
     """Plan all tables, run each, and sum up the run."""
     # One row per tracked table: the control plane, not the data.
     tracked = [row.asDict() for row in ledger.current_states(spark, root).collect()]
-    last = {
-        row["capture_instance"]: row["last_processed_lsn"] or ZERO_LSN
-        for row in tracked
-        if row["capture_instance"]
-    }
+    # A crash between publication and the move of the state must not publish twice.
+    ends = {row.table: row.to_lsn for row in ledger.committed_ends(spark, root).collect()}
+    for row in tracked:
+        end = ends.get(full_name(row).lower())
+        if end and row["bootstrap_status"] == COMPLETE:
+            row["last_processed_lsn"] = max(end, row["last_processed_lsn"] or ZERO_LSN)
+    captured = [row for row in tracked if row["capture_instance"]]
+    last = {row["capture_instance"]: row["last_processed_lsn"] or ZERO_LSN for row in captured}
+    instances = {full_name(row): row["capture_instance"] for row in captured}
     high = source.high(max(last.values(), default=ZERO_LSN))
-    lows = source.lows(spark, {name: next_lsn(lsn) for name, lsn in last.items()})
+    lows = source.lows(
+        spark,
+        {name: next_lsn(lsn) for name, lsn in last.items()},
+        instances,
+        ledger.recorded_floors(spark, root),
+    )
     states = ledger.rows_frame(spark, tracked, ledger.LEDGERS["table_state"])
     plans = [row.asDict() for row in plan_tables(states, high, lows, kind).collect()]
-    wanted = [p for p in plans if full_name(p) in source.tables]
+    wanted = [p for p in plans if find(source.tables, full_name(p)) is not None]
     manifests = [
-        schema_manifest(t, source.tables[t], source.keys.get(t, ()), verify=False)
+        schema_manifest(t, find(source.tables, t), find(source.keys, t) or (), verify=False)
         for t in (full_name(p) for p in wanted)
     ]
     if manifests:
@@ -440,8 +577,10 @@ __all__ = [
     "COMPLETE",
     "Source",
     "delta_dataset",
+    "purge",
     "register_tables",
     "run",
     "snapshot_dataset",
     "start_run",
+    "untrack",
 ]

@@ -23,7 +23,9 @@ def _with_bounds(state: DataFrame, high_lsn: str, lows: DataFrame) -> DataFrame:
     meet in one task.
     """
     own = F.concat(F.lit("table "), F.concat_ws(".", "table_schema", "table_name"))
-    available = lows.select(F.col("capture_instance").alias("__key"), "low_lsn")
+    available = lows.select(
+        F.col("capture_instance").alias("__key"), "low_lsn", F.lit(True).alias("__known")
+    )
     return (
         state.withColumn("__key", F.coalesce("capture_instance", own))
         .join(available, "__key", "left")
@@ -49,7 +51,7 @@ def no_change_skip(state: DataFrame, high_lsn: str) -> DataFrame:
 
 def gap_detect(state: DataFrame, high_lsn: str, lows: DataFrame) -> DataFrame:
     """Tables with changes to read whose history no longer reaches back far enough."""
-    return _with_bounds(state, high_lsn, lows).where(~_nothing_new() & _history_missing())
+    return _with_bounds(state, high_lsn, lows).where(~_nothing_new() & _history_missing()).drop("__known")
 
 
 def plan_tables(
@@ -71,8 +73,9 @@ def plan_tables(
             (mode == "SNAP", "SNAPSHOT", "snapshot on every run"),
             (status == PENDING, "SNAPSHOT", "first load"),
             (F.col("capture_instance").isNull(), "ERROR", "no capture instance"),
-            (F.col("low_lsn").isNull(), "ERROR", "unknown capture instance"),
+            (F.col("__known").isNull(), "ERROR", "unknown capture instance"),
             (_nothing_new(), "SKIP", "no new changes"),
+            (F.col("low_lsn").isNull(), "ERROR", "unknown change history"),
             (_history_missing(), "GAP", "history gap"),
             (F.lit(True), "DELTA", "changes"),
         ]
@@ -80,7 +83,7 @@ def plan_tables(
     for test, name, why in rules:
         action = F.when(test, name) if action is None else action.when(test, name)
         reason = F.when(test, why) if reason is None else reason.when(test, why)
-    return bounded.withColumn("action", action).withColumn("reason", reason)
+    return bounded.withColumn("action", action).withColumn("reason", reason).drop("__known")
 
 
 def state_transition(
@@ -93,7 +96,11 @@ def state_transition(
     ``outcome_hash``, ``outcome_message``.
     """
     keys = ["table_schema", "table_name"]
-    joined = state.join(outcomes, keys)
+    # Names ignore case; the state's spelling stays.
+    named = outcomes
+    for key in keys:
+        named = named.withColumn(f"__{key}", F.lower(key)).drop(key)
+    joined = state.join(named, [F.lower(state[key]) == named[f"__{key}"] for key in keys])
     outcome, status = F.col("outcome"), F.col("bootstrap_status")
     complete = status == COMPLETE
     legal = (

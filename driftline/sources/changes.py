@@ -9,51 +9,54 @@ row groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.labels import UPDATE_OLD, op_label
-from driftline.functions.lsn import ZERO_LSN, lsn_increment
+from driftline.functions.lsn import ZERO_LSN, canonical_lsn, lsn_increment, lsn_text
 
 SYSTEM_PREFIX = "__$"
 CHANGE_COLUMNS = ("capture_instance", "_lsn", "_seqval", "_op_code", "_ts")
 EVENT_KEY = ("capture_instance", "_lsn", "_seqval", "_op_code")
+# So many capture instances at most are named to the scan.
+PRUNED_INSTANCES = 64
 DELIVERY_ORDER = ("_lsn", "_seqval", "_op_code")
 
-# Up to this many tables, ranges become literal filters that reach the scan.
-LITERAL_RANGES = 64
-# Up to this many tables, the range table is broadcast.
-BROADCAST_RANGES = 100_000
-
 
 def change_scan(ct: DataFrame, from_lsn: str, to_lsn: str) -> DataFrame:
-    """Changes of the closed range, old images included."""
-    return ct.where(F.col("_lsn").between(from_lsn, to_lsn))
+    """Changes of the closed range, old images included. Bounds in any accepted spelling."""
+    return ct.where(F.col("_lsn").between(canonical_lsn(from_lsn), canonical_lsn(to_lsn)))
 
 
 def lsn_range(ct: DataFrame, bounds: DataFrame) -> DataFrame:
     """Changes in ``(last_lsn, to_lsn]`` of each capture instance in ``bounds``.
 
-    ``bounds`` has one row per tracked table: ``capture_instance``,
-    ``last_lsn``, ``to_lsn``. Its size is checked before it is turned into
-    filters or broadcast; larger ones join without a hint.
+    ``bounds`` has ``capture_instance``, ``last_lsn``, ``to_lsn``; a change
+    inside several ranges counts once. A missing ``last_lsn`` is the start, and
+    text that is no LSN is an error. One literal range around all of them
+    reaches the scan; which join follows is Spark's choice and changes no row.
     """
-    bounds = bounds.select("capture_instance", "last_lsn", "to_lsn")
-    rows = bounds.limit(LITERAL_RANGES + 1).collect()
-    if len(rows) <= LITERAL_RANGES:
-        tests = [
-            (F.col("capture_instance") == row.capture_instance)
-            & (F.col("_lsn") > row.last_lsn)
-            & (F.col("_lsn") <= row.to_lsn)
-            for row in rows
-        ]
-        return ct.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
-    if bounds.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        bounds = F.broadcast(bounds)
-    inside = (F.col("_lsn") > F.col("last_lsn")) & (F.col("_lsn") <= F.col("to_lsn"))
-    return ct.join(bounds, "capture_instance").where(inside).select(*ct.columns)
+    last = F.coalesce("last_lsn", F.lit(ZERO_LSN))
+    ranges = bounds.select(
+        F.col("capture_instance").alias("__instance"),
+        lsn_text(last, strict=True).alias("__last"),
+        lsn_text(F.col("to_lsn"), strict=True).alias("__to"),
+    ).distinct()
+    around = ranges.agg(F.min("__last").alias("low"), F.max("__to").alias("high")).first()
+    if around.low is None:
+        return ct.where(F.lit(False))
+    inside = (
+        (F.col("capture_instance") == F.col("__instance"))
+        & (F.col("_lsn") > F.col("__last"))
+        & (F.col("_lsn") <= F.col("__to"))
+    )
+    near = ct.where((F.col("_lsn") > around.low) & (F.col("_lsn") <= around.high))
+    # A short list of instances also prunes folders; the join decides in any case.
+    some = ranges.select("__instance").distinct().limit(PRUNED_INSTANCES + 1).collect()
+    if len(some) <= PRUNED_INSTANCES:
+        near = near.where(F.col("capture_instance").isin([row[0] for row in some]))
+    return near.join(ranges, inside, "left_semi")
 
 
 def lsn_high(feed: DataFrame) -> DataFrame:
@@ -72,8 +75,9 @@ def lsn_low(feed: DataFrame, floor: DataFrame | None = None) -> DataFrame:
     low = feed.groupBy("capture_instance").agg(F.min("_lsn").alias("low_lsn"))
     if floor is None:
         return low
+    floors = floor.select("capture_instance", lsn_text(F.col("floor_lsn"), strict=True).alias("floor_lsn"))
     return low.join(
-        floor.select("capture_instance", "floor_lsn"), "capture_instance", "full"
+        floors, "capture_instance", "full"
     ).select("capture_instance", F.coalesce("floor_lsn", "low_lsn").alias("low_lsn"))
 
 
@@ -120,12 +124,15 @@ def commit_time(ct: DataFrame, lsn_times: DataFrame, default_ts: Column) -> Data
 def event_dedup(ct: DataFrame) -> DataFrame:
     """One row per event when ranges were delivered more than once.
 
-    Keeps the copy read first. Copies collapse before the shuffle.
+    Keeps the copy read first: the one with the lowest ``_ts``, a missing one
+    counting as latest; copies with equal times are told apart by their other
+    columns, so the result is one and the same. Copies collapse before the
+    shuffle.
     """
     keys = [name for name in EVENT_KEY if name in ct.columns]
     rest = [name for name in ct.columns if name not in keys]
-    first = F.min_by(F.struct(*rest), F.col("_ts")).alias("__row")
-    picked = ct.groupBy(*keys).agg(first)
+    row = F.struct(F.col("_ts").isNull().alias("__late"), "_ts", *(n for n in rest if n != "_ts"))
+    picked = ct.groupBy(*keys).agg(F.min(row).alias("__row"))
     return picked.select(
         *(F.col(name) if name in keys else F.col(f"__row.`{name}`") for name in ct.columns)
     )
@@ -154,13 +161,15 @@ def retention_purge(
 ) -> tuple[DataFrame, DataFrame]:
     """Changes younger than the retention, and the new floor per instance.
 
+    A change without a time is kept.
+
     The floor is the LSN after the last purged one: a reader that has seen
     all purged changes still finds its range complete. An earlier ``floor``
     is carried on and never lowered.
     """
     minutes = effective_retention_minutes(current_minutes, min_days)
     cutoff = now - F.make_dt_interval(mins=F.lit(minutes))
-    kept = ct.where(F.col("_ts") >= cutoff)
+    kept = ct.where((F.col("_ts") >= cutoff) | F.col("_ts").isNull())
     purged_to = F.max(F.when(F.col("_ts") < cutoff, F.col("_lsn")))
     reached = ct.groupBy("capture_instance").agg(purged_to.alias("__purged")).select(
         "capture_instance",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +10,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from driftline.functions.lsn import lsn_increment
+from driftline.functions.lsn import ZERO_LSN, canonical_lsn, lsn_increment
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
-from driftline.plans.flows import data_folder, new_dataset, split_name, start_run
-from driftline.plans.routing import GAP_CODE
+from driftline.plans.flows import (
+    capture_instance,
+    data_folder,
+    new_dataset,
+    split_name,
+    start_run,
+)
+from driftline.plans.routing import COMPLETE, GAP_CODE
 from driftline.sources.changes import DELIVERY_ORDER, label_changes
 
 
+class DeltaStream:
+    """A running stream that closes its run in the ledger when it ends."""
+
+    def __init__(self, query: StreamingQuery, close: Callable[[str], None]):
+        self._query, self._close = query, close
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802
+        """Wait for the end as the query itself does, then close the run."""
+        try:
+            ended = self._query.awaitTermination(timeout)
+        except Exception:
+            self._close("FAILED")
+            raise
+        if timeout is None or ended:
+            self._close("SUCCEEDED")
+        return ended
+
+    def stop(self) -> None:
+        self._query.stop()
+        self._close("FAILED" if self._query.exception() else "SUCCEEDED")
+
+    def __getattr__(self, name: str):
+        return getattr(self._query, name)
+
+
 def stream_delta(
     spark: SparkSession,
     ct_path: str,
@@ -31,51 +62,110 @@ def stream_delta(
     floor_lsn: str | None = None,
     max_files: int | None = None,
     trigger: dict | None = None,
-) -> StreamingQuery:
+) -> DeltaStream:
     """Publish new change files of one table as datasets.
 
     By default takes what is there and ends; a later start continues after it.
     A micro-batch is one dataset whose id follows from the stream and the
-    batch number: after a crash the repeated batch finds it committed. With
-    ``floor_lsn`` (lowest position still available) the start fails when
-    history between the last dataset and the floor is missing.
+    batch number: after a crash the repeated batch finds it committed. Changes
+    that the table had processed before the stream's first start are passed
+    over, and each commit moves the table's state. With ``floor_lsn`` (lowest
+    position still available) the start fails when history between the last
+    dataset and the floor is missing. Wait for the end or stop it through what
+    is returned: that closes the run.
     """
     table_schema, table_name = split_name(table)
     if floor_lsn:
-        _check_gap(spark, root, table, floor_lsn)
+        _check_gap(spark, root, table, canonical_lsn(floor_lsn))
     run = start_run(spark, f"stream {table}", root, "DELTA", "SCHEDULED", now)
     plan = {"table_schema": table_schema, "table_name": table_name}
+    start = _start(spark, root, table, checkpoint)
+    totals = {"tables_total": 1, "tables_succeeded": 1, "rows": 0, "bytes": 0}
 
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         identity = ledger.dataset_id(table, checkpoint, str(number))
-        if ledger.committed_row(session, root, identity):
+        done = ledger.committed_row(session, root, identity)
+        if done:
+            _move(session, root, table, done["to_lsn"], now)
             return
+        new = batch.where(F.col("_lsn") > start)
         # Reads the position column only.
-        ends = batch.agg(F.min("_lsn").alias("low"), F.max("_lsn").alias("high")).first()
+        ends = new.agg(F.min("_lsn").alias("low"), F.max("_lsn").alias("high")).first()
         if ends.low is None:
             return
         dataset = new_dataset(run, plan, ends.low, ends.high, identity)
         files = write_chunks(
-            label_changes(batch),
+            label_changes(new),
             data_folder(root, dataset),
             columns,
             max_bytes,
             service=True,
             order_by=DELIVERY_ORDER,
         )
-        ledger.publish(session, root, run, dataset, files)
+        row = ledger.publish(session, root, run, dataset, files)
+        totals["rows"] += row["row_count"]
+        totals["bytes"] += row["bytes_sent"]
+        _move(session, root, table, ends.high, now)
+
+    closed = []
+
+    def close(status: str) -> None:
+        if not closed:
+            closed.append(status)
+            good = int(status == "SUCCEEDED")
+            row = {**run, **totals, "tables_succeeded": good, "status": status, "finished_at": now, "version": 2}
+            ledger.append_rows(spark, root, "batch_history", [row])
 
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
+    query = (
         reader.parquet(ct_path)
         .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+    return DeltaStream(query, close)
+
+
+def _state(spark: SparkSession, root: str, table: str) -> dict | None:
+    named = F.lower(F.concat_ws(".", "table_schema", "table_name")) == ".".join(split_name(table)).lower()
+    rows = ledger.current_states(spark, root).where(named).collect()
+    return rows[0].asDict() if rows else None
+
+
+def _start(spark: SparkSession, root: str, table: str, checkpoint: str) -> str:
+    """Position after which the stream takes changes: fixed at its first start."""
+    known = ledger.read_ledger(spark, root, "stream_start").where(F.col("stream") == checkpoint)
+    first = known.agg(F.min("from_lsn")).first()[0]
+    if first is None:
+        state = _state(spark, root, table) or {}
+        first = state.get("last_processed_lsn") or ZERO_LSN
+        row = {"stream": checkpoint, "table_name": table, "from_lsn": first}
+        ledger.append_rows(spark, root, "stream_start", [row])
+    return first
+
+
+def _move(spark: SparkSession, root: str, table: str, lsn: str, now: datetime) -> None:
+    """Advance the table's state; a table met for the first time counts as complete."""
+    schema, name = split_name(table)
+    state = _state(spark, root, table) or {
+        "table_schema": schema,
+        "table_name": name,
+        "extraction_mode": "CDC",
+        "bootstrap_status": COMPLETE,
+        "capture_instance": capture_instance(table),
+        "version": 0,
+        "deleted": False,
+    }
+    if (state.get("last_processed_lsn") or ZERO_LSN) >= lsn:
+        return
+    state |= {
+        "last_processed_lsn": lsn, "last_sync_time": now, "updated_at": now, "version": state["version"] + 1
+    }
+    ledger.append_rows(spark, root, "table_state", [state])
 
 
 def _check_gap(spark: SparkSession, root: str, table: str, floor_lsn: str) -> None:

@@ -158,7 +158,8 @@ def test_one_failing_table_leaves_the_others(spark, root):
     datasets = ledger.current_datasets(spark, root)
     assert {(r.table_name, r.status) for r in datasets.collect()} == {("orders", "COMMITTED"), ("bad", "ABORTED")}
     events = ledger.read_ledger(spark, root, "error_event")
-    assert run_status(datasets, events).first().status == "FAILED"
+    assert run_status(ledger.current_runs(spark, root), datasets, events).first().status == "FAILED"
+    assert "\n" not in row.error_message and "at org.apache" not in row.error_message
 
 
 def test_row_above_the_limit_fails_its_dataset(spark, root):
@@ -306,3 +307,128 @@ def test_a_run_that_can_not_plan_ends_failed(spark, root):
         go(spark, src, root)
     row = ledger.current_runs(spark, root).first()
     assert (row.status, row.finished_at) == ("FAILED", clock())
+
+
+def renamed(spark, changes, name="orders_v2"):
+    src = source(spark, changes)
+    src.changes = {"DBO.ORDERS": src.changes["dbo.orders"].withColumn("capture_instance", F.lit(name))}
+    return src
+
+
+def test_instance_name_comes_from_the_change_table(spark, root):
+    register_tables(spark, renamed(spark, FIRST), root, START)
+    assert state(spark, root).capture_instance == "orders_v2"
+    go(spark, renamed(spark, FIRST), root, "SNAPSHOT")
+    assert go(spark, renamed(spark, LATER), root)["rows"] == 4
+    assert len(delivered(spark, root, source(spark, []))) == 4
+
+
+def test_several_instances_have_to_be_told_apart(spark, root):
+    src = renamed(spark, FIRST)
+    both = src.changes["DBO.ORDERS"].union(source(spark, FIRST).changes["dbo.orders"])
+    src.changes = {"dbo.orders": both}
+    with pytest.raises(ValueError, match="several capture instances"):
+        register_tables(spark, src, root, START)
+    src.instances = {"Dbo.Orders": "orders_v2"}
+    register_tables(spark, src, root, START)
+    assert state(spark, root).capture_instance == "orders_v2"
+
+
+def test_crash_before_the_state_moves_publishes_nothing_twice(spark, root):
+    register_tables(spark, source(spark, FIRST), root, START)
+    go(spark, source(spark, FIRST), root, "SNAPSHOT")
+    before = state(spark, root).asDict()
+    go(spark, source(spark, LATER), root)
+    ledger.append_rows(spark, root, "table_state", [{**before, "version": 50}])
+    more = LATER + [change(15, 2, 4, "d")]
+    assert go(spark, source(spark, more), root)["rows"] == 1
+    got = delivered(spark, root, source(spark, []))
+    assert len(got) == len(set(got)) == 5 and state(spark, root).last_processed_lsn == at(15)
+
+
+def test_runs_opened_at_once_have_one_winner(spark, root):
+    first, second = (start_run(spark, "srv/db", root, "DELTA", "MANUAL", START) for _ in range(2))
+    second_row = {**second, "epoch": first["epoch"]}
+    ledger.append_rows(spark, root, "batch_history", [second_row])
+    assert first["batch_id"] != second["batch_id"]
+    lost = [ledger.is_superseded(spark, root, r) for r in (first, second)]
+    assert lost == [True, False]
+    with pytest.raises(ledger.LeaseConflict):
+        flows.snapshot_dataset(
+            spark, source(spark, FIRST), {"table_schema": "dbo", "table_name": "orders", "to_lsn": at(11)}, first, root
+        )
+    assert ledger.committed_chunks(spark, root).count() == 0
+
+
+def test_emptied_table_without_floor_is_an_error(spark, root):
+    register_tables(spark, source(spark, FIRST), root, START)
+    go(spark, source(spark, FIRST), root, "SNAPSHOT")
+    src = source(spark, [])
+    other = spark.createDataFrame([change(40, 2, 1, "z")], CT)
+    src.changes = {**src.changes, "dbo.other": other.withColumn("capture_instance", F.lit("dbo_other"))}
+    assert go(spark, src, root)["status"] == "FAILED"
+    assert "unknown change history" in state(spark, root).error_message
+    assert state(spark, root).last_processed_lsn == at(11)
+
+
+def test_purge_keeps_a_floor_that_runs_read(spark, root):
+    src = source(spark, LATER)
+    register_tables(spark, src, root, START)
+    left = flows.purge(spark, src, root, 1, 0, START + timedelta(minutes=14))
+    assert [r._lsn for r in left.changes["dbo.orders"].orderBy("_lsn").collect()] == [at(13), at(13), at(14)]
+    assert ledger.recorded_floors(spark, root).first().floor_lsn == at(13)
+    ledger.append_rows(
+        spark, root, "table_state",
+        [{**state(spark, root).asDict(), "bootstrap_status": "COMPLETE", "last_processed_lsn": at(10), "version": 9}],
+    )
+    assert go(spark, left, root)["status"] == "FAILED"
+    assert state(spark, root).bootstrap_status == "REBOOTSTRAP"
+
+
+def test_untracked_and_refused_tables(spark, root):
+    many = spark.range(5).withColumn("x", F.lit(1)).drop("id")
+    src = source(spark, FIRST, **{"dbo.keyless": many})
+    assert list(register_tables(spark, src, root, START, small_table_rows=2)) == ["dbo.keyless"]
+    assert state(spark, root, "keyless") is None
+    assert flows.untrack(spark, root, "DBO.Orders", START) and state(spark, root) is None
+    assert not flows.untrack(spark, root, "dbo.orders", START)
+
+
+def test_missing_table_says_so(spark, root):
+    register_tables(spark, source(spark, FIRST), root, START)
+    src = source(spark, FIRST)
+    src.tables = {}
+    assert go(spark, src, root, "SNAPSHOT")["status"] == "FAILED"
+    assert "the source has no table dbo.orders" in state(spark, root).error_message
+
+
+def test_mixed_datasets_and_new_columns_read_together(spark, root):
+    register_tables(spark, source(spark, FIRST), root, START)
+    go(spark, source(spark, FIRST), root, "SNAPSHOT")
+    go(spark, source(spark, LATER), root)
+    wider = source(spark, LATER).tables["dbo.orders"].withColumn("Extra", F.lit("x,\n\"y\""))
+    src = source(spark, LATER)
+    src.tables = {"dbo.orders": wider}
+    go(spark, src, root, "SNAPSHOT")
+    rows = ledger.read_committed(spark, root, "dbo.orders", wider.schema, service=True).collect()
+    assert sorted((r._op or "", r.Id, r.Extra or "") for r in rows) == sorted(
+        [("", i, "") for i in (1, 2, 3)] + [("", i, 'x,\n"y"') for i in (1, 2, 3)]
+        + [("I", 3, ""), ("UN", 1, ""), ("UO", 1, ""), ("D", 2, "")]
+    )
+    plain = ledger.read_committed(spark, root, "dbo.orders", wider.schema)
+    assert plain.count() == 10 and "_op" not in plain.columns
+
+
+def test_stream_closes_its_run_and_moves_the_state(spark, root):
+    register_tables(spark, source(spark, FIRST), root, START)
+    go(spark, source(spark, FIRST), root, "SNAPSHOT")
+    files, checkpoint = new_folder(spark, "ct"), new_folder(spark, "cp")
+    spark.createDataFrame(LATER, CT).coalesce(1).write.parquet(files)
+    stream_delta(
+        spark, files, spark.createDataFrame([], CT).schema, root, "dbo.orders", ["Id", "Name"], checkpoint, START
+    ).awaitTermination()
+    runs = {r.source: r.status for r in ledger.current_runs(spark, root).collect()}
+    assert runs["stream dbo.orders"] == "SUCCEEDED"
+    assert state(spark, root).last_processed_lsn == at(14)
+    assert len(delivered(spark, root, source(spark, []))) == 4  # those after the snapshot
+    assert go(spark, source(spark, LATER), root)["rows"] == 0

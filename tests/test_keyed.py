@@ -45,3 +45,22 @@ def test_salted_lookup_equals_join(spark, how):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         map(tuple, facts.join(lookup, "k", how).collect()), key=repr
     )
+
+
+def test_missing_and_equal_versions(spark):
+    rows = [(1, "a", None, False), (1, "b", 1, False), (2, "z", None, False), (3, "p", 4, False), (3, "q", 4, False)]
+    got = {r.k: r.v for r in latest_per_key(changes(spark, rows), ["k"], "version").collect()}
+    assert got == {1: "b", 2: "z", 3: "q"}
+    current = spark.createDataFrame([(1, "one"), (2, "two")], "k int, v string")
+    merged = keyed_merge(current, changes(spark, rows), ["k"], "version")
+    assert sorted(map(tuple, merged.collect())) == [(1, "b"), (2, "two"), (3, "q")]
+
+
+def test_few_changes_leave_the_table_in_place(spark, root):
+    spark.range(100_000).withColumn("v", F.col("id").cast("string")).write.parquet(root)
+    few = spark.createDataFrame([(5, "x", 1, False)], "id bigint, v string, version int, deleted boolean")
+    few.write.parquet(f"{root}-few")
+    merged = keyed_merge(spark.read.parquet(root), spark.read.parquet(f"{root}-few"), ["id"], "version")
+    assert merged.count() == 100_000
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and "SortMergeJoin" not in plan

@@ -100,9 +100,11 @@ def test_final_status(spark):
     events = spark.createDataFrame(
         [("r1", "LEASE_CONFLICT"), ("r5", "DOWNSTREAM_UNAVAILABLE"), ("r2", "OTHER")], "batch_id string, code string"
     )
-    got = {r.batch_id: r.status for r in run_status(sets(spark), events).collect()}
-    assert got == {"r1": "ABORTED", "r2": "SUCCEEDED", "r5": "FAILED"}
-    assert run_status(sets(spark), events.where("false")).where("batch_id = 'r1'").first().status == "FAILED"
+    known = runs(spark).select("batch_id").union(spark.createDataFrame([("r5",)], "batch_id string"))
+    got = {r.batch_id: r.status for r in run_status(known, sets(spark), events).collect()}
+    assert got == {"r1": "ABORTED", "r2": "SUCCEEDED", "r3": "SUCCEEDED", "r4": "SUCCEEDED", "r5": "FAILED"}
+    alone = run_status(known, sets(spark), events.where("false"))
+    assert alone.where("batch_id = 'r1'").first().status == "FAILED"
 
 
 def test_superseded(spark):

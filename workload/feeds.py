@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "1990-01-01"
-ORDERS, CUSTOMER = "dbo_orders", "dbo_customer"
+ORDERS, CUSTOMER, LINEITEM = "dbo_orders", "dbo_customer", "dbo_lineitem"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def _positions(df: DataFrame, instance: Column) -> list[Column]:
     ]
 
 
+def lineitem_ct(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as inserts on the day they were shipped."""
+    lines = table(spark, sf, "lineitem")
+    day, number = day_of(F.col("l_shipdate")), F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    return lines.select(
+        F.lit(LINEITEM).alias("capture_instance"),
+        lsn(day, number).alias("_lsn"),
+        lsn(day, number + 1).alias("_seqval"),
+        F.lit(2).alias("_op_code"),
+        _day_start(day).alias("_ts"),
+        *lines.columns,
+    )
+
+
 def orders_ct(spark: SparkSession, sf: str, instance: Column | None = None) -> DataFrame:
     orders = table(spark, sf, "orders")
     pending, low = F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "5-LOW"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from workload.sqlfeeds import (
     DATASETS,
+    ALL_FEED,
     FEED,
+    LINEITEM_CT,
     LOGS,
     ORDERS_CT,
     RUN_EVENTS,
@@ -299,20 +301,25 @@ ORACLES = {
         d.table_name, d.from_lsn, d.to_lsn, d.status AS dataset_status, d.row_count, d.error_code
       FROM runs r LEFT JOIN datasets d ON r.batch_id = d.batch_id""",
     "run_details_nested": f"""WITH {RUNS}, {DATASETS}
-      SELECT r.batch_id, count(d.dataset_id) AS datasets,
-        coalesce(string_agg(d.dataset_id, '|' ORDER BY d.dataset_id), '') AS ids
-      FROM runs r LEFT JOIN datasets d ON r.batch_id = d.batch_id GROUP BY 1""",
+      , placed AS (SELECT r.batch_id, d.dataset_id,
+          (row_number() OVER (PARTITION BY r.batch_id ORDER BY d.dataset_id) - 1) // 2 AS page,
+          greatest(1, (count(d.dataset_id) OVER (PARTITION BY r.batch_id) + 1) // 2) AS pages
+        FROM runs r LEFT JOIN datasets d ON r.batch_id = d.batch_id)
+      SELECT batch_id, page::BIGINT AS page, pages::BIGINT AS pages, count(dataset_id) AS datasets,
+        coalesce(string_agg(dataset_id, '|' ORDER BY dataset_id), '') AS ids
+      FROM placed GROUP BY 1, 2, 3""",
     "dataset_totals": """SELECT 'set-' || l_orderkey AS dataset_id,
       sum(l_quantity::BIGINT)::BIGINT AS row_count, count(*) AS chunk_count,
       sum(floor(l_extendedprice)::BIGINT)::BIGINT AS bytes_sent FROM lineitem GROUP BY 1""",
     "recent_runs": f"""WITH {RUNS} SELECT * FROM runs
       ORDER BY started_at DESC, batch_id DESC LIMIT 50""",
-    "run_status": f"""WITH {DATASETS}, {RUN_EVENTS},
+    "run_status": f"""WITH {RUNS}, {DATASETS}, {RUN_EVENTS},
       d AS (SELECT batch_id, bool_or(status = 'ABORTED') AS failed FROM datasets GROUP BY 1),
       e AS (SELECT batch_id, bool_or(code = 'LEASE_CONFLICT') AS conflict,
         bool_or(code = 'DOWNSTREAM_UNAVAILABLE') AS unavailable FROM run_events GROUP BY 1)
       SELECT batch_id, CASE WHEN conflict THEN 'ABORTED' WHEN unavailable OR failed THEN 'FAILED'
-        ELSE 'SUCCEEDED' END AS status FROM d FULL JOIN e USING (batch_id)""",
+        ELSE 'SUCCEEDED' END AS status
+      FROM runs LEFT JOIN d USING (batch_id) LEFT JOIN e USING (batch_id)""",
     "lag_report": f"""WITH {TENANT_CT}, {STATES}
       SELECT table_schema || '.' || table_name AS "table", extraction_mode AS mode,
         capture_instance IS NOT NULL AS cdc_enabled, last_processed_lsn AS last_lsn,
@@ -356,7 +363,8 @@ ORACLES = {
     "log_fields": f"""WITH {LOGS} SELECT event_id, timestamp, level, message,
       NULL::VARCHAR AS correlation_id, json_extract_string(properties_json, '$.BatchId') AS batch_id,
       json_extract_string(properties_json, '$.Table') AS "table", NULL::VARCHAR AS dataset_id,
-      '{{"k":"' || json_extract_string(properties_json, '$.k') || '"}}' AS properties FROM logs""",
+      '{{"k":"' || json_extract_string(properties_json, '$.k') || '"}}' AS properties,
+      NULL::VARCHAR AS unparsed FROM logs""",
     "log_query": f"""WITH {LOGS} SELECT event_id, timestamp, level, message FROM logs
       WHERE {_LEVEL_RANK} >= 2 AND contains(lower(message), 'user 1')
       ORDER BY timestamp DESC, event_id DESC LIMIT 500""",
@@ -385,28 +393,66 @@ def _dataset(epoch, kind, run, table, status, source=None, code="NULL::VARCHAR",
     return f"SELECT {row}" + (f" FROM {source} WHERE {where}" if source else "")
 
 
-_TRACKED = ("orders", "customer", "nation", "region")
+_TRACKED = ("orders", "customer", "nation", "region", "lineitem")
+_CAPTURED = ("orders", "customer", "lineitem")
 ORACLES["snapshot_tables"] = " UNION ALL ".join(
-    [_dataset(1, "SNAPSHOT", "FAILED", t, "COMMITTED", t) for t in _TRACKED]
-    + [_dataset(1, "SNAPSHOT", "FAILED", "lineitem", "ABORTED", code="'TABLE_BLOCKED'")]
+    _dataset(1, "SNAPSHOT", "SUCCEEDED", t, "COMMITTED", t) for t in _TRACKED
 )
-_SEEN = f"(SELECT max(_lsn) FROM feed WHERE _lsn <= {HIGH})"
-ORACLES["delta_tables"] = f"WITH {FEED} " + " UNION ALL ".join(
+_SEEN = f"(SELECT max(_lsn) FROM all_feed WHERE _lsn <= {HIGH})"
+ORACLES["delta_tables"] = f"WITH {ALL_FEED} " + " UNION ALL ".join(
     [_dataset(1, "SNAPSHOT", "SUCCEEDED", t, "COMMITTED", t) for t in _TRACKED]
     + [
-        _dataset(2, "DELTA", "SUCCEEDED", t, "COMMITTED", "feed",
+        _dataset(2, "DELTA", "SUCCEEDED", t, "COMMITTED", "all_feed",
                  where=f"capture_instance = 'dbo_{t}' AND _lsn > {_SEEN}")
-        for t in ("orders", "customer")
+        for t in _CAPTURED
     ]
     + [_dataset(e, "DELTA", "SUCCEEDED", t, "COMMITTED", t)
        for e in (2, 3) for t in ("nation", "region")]
-    + [_dataset(3, "DELTA", "SUCCEEDED", t, "SKIPPED") for t in ("orders", "customer")]
+    + [_dataset(3, "DELTA", "SUCCEEDED", t, "SKIPPED") for t in _CAPTURED]
 )
 ORACLES["rebootstrap"] = " UNION ALL ".join(
-    [
-        _dataset(1, "SNAPSHOT", "SUCCEEDED", "orders", "COMMITTED", "orders"),
-        _dataset(2, "DELTA", "FAILED", "orders", "ABORTED", code="'CDC_GAP_DETECTED'"),
-        _dataset(3, "DELTA", "SUCCEEDED", "orders", "COMMITTED", "orders"),
-        _dataset(4, "DELTA", "SUCCEEDED", "orders", "SKIPPED"),
-    ]
+    [_dataset(1, "SNAPSHOT", "SUCCEEDED", t, "COMMITTED", t) for t in _TRACKED]
+    + [_dataset(2, "DELTA", "FAILED", t, "ABORTED", code="'CDC_GAP_DETECTED'") for t in ("orders", "lineitem")]
+    + [_dataset(3, "DELTA", "FAILED", t, "COMMITTED", t) for t in ("orders", "lineitem")]
+    + [_dataset(4, "DELTA", "FAILED", t, "SKIPPED") for t in ("orders", "lineitem")]
+    + [_dataset(e, "DELTA", "FAILED", "customer", "ABORTED", code="'DELTA_FAILED'") for e in (2, 3, 4)]
+    + [_dataset(e, "DELTA", "FAILED", t, "COMMITTED", t) for e in (2, 3, 4) for t in ("nation", "region")]
 )
+_LOADED = f"(SELECT max(_lsn) FROM all_feed WHERE _lsn <= {LOW})"
+ORACLES["delta_resume"] = f"""WITH {ALL_FEED} SELECT substr(capture_instance, 5) AS table_name,
+  count(*) FILTER (WHERE _lsn > {_LOADED})::BIGINT AS published FROM all_feed GROUP BY 1"""
+ORACLES["delta_named_instance"] = f"""WITH {ORDERS_CT} SELECT {_DELTA_OUT} FROM orders_ct
+  WHERE _lsn > (SELECT max(_lsn) FROM orders_ct WHERE _lsn <= {LOW}) AND _lsn <= {HIGH}"""
+ORACLES["committed_mixed_read"] = f"""WITH {ORDERS_CT} SELECT {_DELTA_OUT} FROM orders_ct
+  WHERE _lsn BETWEEN {LOW} AND {HIGH}
+  UNION ALL SELECT NULL, NULL, NULL, NULL, {_ORDER_COLUMNS} FROM orders"""
+ORACLES["window_snapshot"] = ORACLES["snapshot_window_scan"]
+ORACLES["purge_flow"] = f"""WITH {FEED}, {LINEITEM_CT},
+  timed AS (SELECT capture_instance, _lsn, _ts FROM feed
+    UNION ALL SELECT capture_instance, _lsn,
+      TIMESTAMP '1990-01-01' + to_days(('0x' || _lsn[3:10])::INTEGER) FROM lineitem_ct),
+  cut AS (SELECT *, _ts < TIMESTAMP '2002-01-01' - to_days(2555) AS purged FROM timed),
+  parts AS (SELECT capture_instance, max(_lsn) FILTER (WHERE purged) AS last,
+    count(*) FILTER (WHERE NOT purged) AS kept FROM cut GROUP BY 1)
+  SELECT capture_instance, coalesce({next_lsn('last')}, {ZERO}) AS floor_lsn, kept FROM parts"""
+ORACLES["lsn_range_many"] = f"""WITH {TENANT_CT} SELECT * FROM tenant_ct
+  WHERE _lsn > {LOW} AND _lsn <= {HIGH}"""
+ORACLES["event_dedup_hard"] = f"""WITH {FEED} SELECT capture_instance, _lsn, _seqval, _op_code,
+  CASE WHEN _lsn <= {HIGH} THEN _ts END AS _ts FROM feed"""
+ORACLES["latest_per_key_hard"] = f"""WITH {ORDERS_CT}, ranked AS (SELECT o_custkey,
+    nullif(date_diff('day', DATE '1990-01-01', o_orderdate::DATE) % 7, 0)::INTEGER AS version,
+    o_orderkey, _op_code FROM orders_ct)
+  SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY o_custkey
+    ORDER BY version DESC NULLS LAST, o_orderkey DESC, _op_code DESC) = 1"""
+ORACLES["keyed_merge_hard"] = """SELECT o_orderkey, o_custkey,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 <> 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 <> 0 THEN o_totalprice + 1 ELSE o_totalprice END
+      AS o_totalprice, o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderkey % 3 = 0"""
+ORACLES["log_fields_hard"] = f"""WITH {LOGS} SELECT event_id,
+    CASE WHEN event_id % 3 = 1 THEN json_extract_string(properties_json, '$.BatchId') END AS batch_id,
+    CASE WHEN event_id % 3 = 1 THEN json_extract_string(properties_json, '$.Table') END AS "table",
+    CASE WHEN event_id % 3 = 0 THEN '{{broken ' || properties_json END AS unparsed FROM logs"""
+ORACLES["log_lines_hard"] = f"""WITH {LOGS} SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S.%g') || ' ['
+  || CASE WHEN event_id % 2 = 0 THEN level ELSE '' END || '] '
+  || CASE WHEN event_id % 3 = 0 THEN message ELSE '' END AS line FROM logs"""

@@ -84,6 +84,16 @@ def lsn_range(spark, sf):
     return changes.lsn_range(feeds.feed(spark, sf), _bounds(spark))
 
 
+def lsn_range_many(spark, sf):
+    """Repeated and overlapping ranges, in other spellings, of every instance of many."""
+    ct = feeds.tenant_ct(spark, sf)
+    ranges = spark.createDataFrame(
+        [(LOW_LSN, HIGH_LSN), (LOW_LSN, HIGH_LSN), (LOW_LSN[2:].lower(), "0x00000ce4000000000000")],
+        "last_lsn string, to_lsn string",
+    )
+    return changes.lsn_range(ct, ct.select("capture_instance").distinct().crossJoin(F.broadcast(ranges)))
+
+
 def lsn_high(spark, sf):
     return changes.lsn_high(feeds.feed(spark, sf))
 
@@ -129,6 +139,14 @@ def event_dedup(spark, sf):
     return changes.event_dedup(ct.unionByName(again))
 
 
+def event_dedup_hard(spark, sf):
+    """Copies without a time and copies with equal times."""
+    ct = feeds.feed(spark, sf)
+    late = ct.withColumn("_ts", F.when(F.col("_lsn") <= HIGH_LSN, F.col("_ts")))
+    timeless = ct.withColumn("_ts", F.lit(None).cast("timestamp_ntz"))
+    return changes.event_dedup(late.unionByName(late).unionByName(timeless))
+
+
 def op_counts(spark, sf):
     return changes.op_counts(feeds.tenant_ct(spark, sf))
 
@@ -332,6 +350,24 @@ def latest_per_key(spark, sf):
     )
 
 
+def latest_per_key_hard(spark, sf):
+    """Newest order change of each customer by a version that is often equal or missing."""
+    ct = feeds.orders_ct(spark, sf)
+    week = F.nullif(feeds.day_of(F.col("o_orderdate")) % 7, F.lit(0))
+    return keyed.latest_per_key(
+        ct.select("o_custkey", week.alias("version"), "o_orderkey", "_op_code"), ["o_custkey"], "version"
+    )
+
+
+def keyed_merge_hard(spark, sf):
+    """Changes of which some have no version and say nothing, and each comes twice."""
+    ct = feeds.orders_ct(spark, sf).where(F.col("_op_code").isin(1, 4))
+    later = ct.withColumn("deleted", F.col("_op_code") == 1).withColumn(
+        "_lsn", F.when(F.col("o_orderkey") % 3 != 0, F.col("_lsn"))
+    )
+    return keyed.keyed_merge(feeds.table(spark, sf, "orders"), later.unionByName(later), ["o_orderkey"], "_lsn")
+
+
 def keyed_merge(spark, sf):
     """Orders as first inserted, brought up to date with all later changes."""
     ct = feeds.orders_ct(spark, sf)
@@ -441,13 +477,15 @@ def run_details(spark, sf):
 
 
 def run_details_nested(spark, sf):
-    """The lists of each run, counted and flattened to text."""
+    """The pages of each run, small ones so that runs have several, flattened to text."""
     columns = ["dataset_id", "status", "row_count"]
     nested = reports.run_details_nested(
-        feeds.runs(spark, sf), feeds.datasets(spark, sf), columns
+        feeds.runs(spark, sf), feeds.datasets(spark, sf), columns, page_rows=2
     )
     return nested.select(
         "batch_id",
+        "page",
+        "pages",
         F.size("datasets").cast("bigint").alias("datasets"),
         F.array_join(F.transform("datasets", lambda d: d["dataset_id"]), "|").alias("ids"),
     )
@@ -462,7 +500,9 @@ def recent_runs(spark, sf):
 
 
 def run_status(spark, sf):
-    return reports.run_status(feeds.datasets(spark, sf), feeds.run_events(spark, sf))
+    return reports.run_status(
+        feeds.runs(spark, sf), feeds.datasets(spark, sf), feeds.run_events(spark, sf)
+    )
 
 
 def lag_report(spark, sf):
@@ -506,6 +546,23 @@ def log_fields(spark, sf):
     return fields.withColumn("properties", F.to_json("properties"))
 
 
+def log_fields_hard(spark, sf):
+    """Properties that are no JSON, or missing."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{broken "), F.col("properties_json"))).when(
+        F.col("event_id") % 3 == 1, F.col("properties_json")
+    )
+    broken = _logs(spark, sf).withColumn("properties_json", text)
+    return logs.log_fields(broken, "properties_json").select("event_id", "batch_id", "table", "unparsed")
+
+
+def log_lines_hard(spark, sf):
+    """Entries without level or message."""
+    some = _logs(spark, sf)
+    level = F.when(F.col("event_id") % 2 == 0, F.col("level"))
+    message = F.when(F.col("event_id") % 3 == 0, F.col("message"))
+    return logs.log_lines(some.withColumn("level", level).withColumn("message", message))
+
+
 def log_query(spark, sf):
     return logs.log_query(_logs(spark, sf).drop("properties_json"), "warn", "  USER 1 ", 500)
 
@@ -539,6 +596,7 @@ def _source(spark, sf, until: str | None = None, since: str | None = None, floor
     cts = {
         "dbo.orders": feeds.orders_ct(spark, sf),
         "dbo.customer": feeds.customer_ct(spark, sf),
+        "dbo.lineitem": feeds.lineitem_ct(spark, sf),
     }
     if until:
         cts = {name: ct.where(F.col("_lsn") <= until) for name, ct in cts.items()}
@@ -647,18 +705,20 @@ def delta_tables(spark, sf):
     """First load at a position, then two delta runs: changes, and nothing new."""
     root = _root(spark)
     early = _source(spark, sf, until=HIGH_LSN)
-    del early.tables["dbo.lineitem"]
     flows.register_tables(spark, early, root, START)
     _run(spark, early, root, "SNAPSHOT")
     late = _source(spark, sf)
-    del late.tables["dbo.lineitem"]
     _run(spark, late, root, "DELTA")
     _run(spark, late, root, "DELTA")
     return _dataset_rows(spark, root)
 
 
 def rebootstrap(spark, sf):
-    """Load, lose history, notice the gap, load again, go on with changes."""
+    """Load, lose history, notice the gap, load again, go on with changes.
+
+    The customer changes are all old, so nothing of them is left: without a
+    floor it is not known whether any were missed, which is an error.
+    """
     root = _root(spark)
     steps = [
         (_source(spark, sf, until=LOW_LSN), "SNAPSHOT"),
@@ -667,14 +727,82 @@ def rebootstrap(spark, sf):
         (_source(spark, sf, since=HIGH_LSN), "DELTA"),
     ]
     for source, kind in steps:
-        source.tables = {"dbo.orders": source.tables["dbo.orders"]}
-        source.changes = {"dbo.orders": source.changes["dbo.orders"]}
         if kind == "SNAPSHOT":
             flows.register_tables(spark, source, root, START)
         _run(spark, source, root, kind)
     return _dataset_rows(spark, root)
 
 
+def delta_resume(spark, sf):
+    """A run that dies between publication and the move of the state; the next one goes on after it."""
+    root = _root(spark)
+    early = _source(spark, sf, until=HIGH_LSN)
+    flows.register_tables(spark, early, root, START)
+    _run(spark, _source(spark, sf, until=LOW_LSN), root, "SNAPSHOT")
+    states = ledger.rows_frame(
+        spark, [r.asDict() for r in ledger.current_states(spark, root).collect()], ledger.LEDGERS["table_state"]
+    )
+    _run(spark, early, root, "DELTA")
+    # The states as they were before the second run, as newest version.
+    ledger.append(states.withColumn("version", F.lit(99).cast("bigint")), root, "table_state")
+    _run(spark, _source(spark, sf), root, "DELTA")
+    sets = ledger.current_datasets(spark, root).where("status = 'COMMITTED' AND from_lsn IS NOT NULL")
+    return sets.groupBy("table_name").agg(F.sum("row_count").alias("published"))
+
+
+def delta_named_instance(spark, sf):
+    """Changes of a capture instance whose name follows no convention."""
+    root = _root(spark)
+
+    def source(until=None):
+        found = _source(spark, sf, until)
+        named = found.changes["dbo.orders"].withColumn("capture_instance", F.lit("orders_v2"))
+        return flows.Source("server/sales", {"DBO.Orders": found.tables["dbo.orders"]}, {"dbo.orders": named}, KEYS)
+
+    flows.register_tables(spark, source(), root, START)
+    _run(spark, source(LOW_LSN), root, "SNAPSHOT")
+    _run(spark, source(HIGH_LSN), root, "DELTA")
+    deltas = ledger.current_datasets(spark, root).where("status = 'COMMITTED' AND from_lsn IS NOT NULL")
+    schema = feeds.table(spark, sf, "orders").schema
+    ids = [row.dataset_id for row in deltas.collect()]
+    return ledger.read_committed(spark, root, "dbo.orders", schema, service=True, dataset_ids=ids).drop("_chunk_file")
+
+
+def committed_mixed_read(spark, sf):
+    """A snapshot and a delta of one table, read together."""
+    root = _root(spark)
+    flows.snapshot_dataset(
+        spark, _source(spark, sf), _plan_row("orders", to_lsn=LOW_LSN), _open(spark, root, "SNAPSHOT"), root
+    )
+    plan = _plan_row("orders", from_lsn=LOW_LSN, to_lsn=HIGH_LSN, capture_instance=feeds.ORDERS)
+    flows.delta_dataset(spark, _source(spark, sf), plan, _open(spark, root), root)
+    schema = feeds.table(spark, sf, "orders").schema
+    return ledger.read_committed(spark, root, "DBO.ORDERS", schema, service=True).drop("_chunk_file")
+
+
+def window_snapshot(spark, sf):
+    """A first load bounded by a watermark."""
+    source, root = _source(spark, sf), _root(spark)
+    source.windows = {"dbo.Orders": ("O_OrderDate", datetime(1997, 1, 1), datetime(1998, 7, 1))}
+    flows.snapshot_dataset(
+        spark, source, _plan_row("orders", to_lsn=LOW_LSN), _open(spark, root, "SNAPSHOT"), root
+    )
+    schema = source.tables["dbo.orders"].schema
+    return ledger.read_committed(spark, root, "dbo.orders", schema).drop("_chunk_file")
+
+
+def purge_flow(spark, sf):
+    """Changes beyond the retention go and leave a floor: what is kept, by instance."""
+    source, root = _source(spark, sf), _root(spark)
+    kept = flows.purge(spark, source, root, 1440, 7 * 365, datetime(2002, 1, 1))
+    floors = ledger.recorded_floors(spark, root)
+    counts = [ct.groupBy("capture_instance").agg(F.count(F.lit(1)).alias("kept")) for ct in kept.changes.values()]
+    left = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return floors.join(left, "capture_instance", "left").select(
+        "capture_instance", "floor_lsn", F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept")
+    )
+
+
 def stream_delta(spark, sf):
     """The order changes as files, taken in by two runs of the stream; the second finds none."""
     root, checkpoint = _root(spark), new_folder(spark, "streams")
@@ -701,6 +829,17 @@ QUERIES = {
     "snapshot_window_scan": snapshot_window_scan,
     "change_scan": change_scan,
     "lsn_range": lsn_range,
+    "lsn_range_many": lsn_range_many,
+    "event_dedup_hard": event_dedup_hard,
+    "latest_per_key_hard": latest_per_key_hard,
+    "keyed_merge_hard": keyed_merge_hard,
+    "log_fields_hard": log_fields_hard,
+    "log_lines_hard": log_lines_hard,
+    "delta_resume": delta_resume,
+    "delta_named_instance": delta_named_instance,
+    "committed_mixed_read": committed_mixed_read,
+    "window_snapshot": window_snapshot,
+    "purge_flow": purge_flow,
     "lsn_high": lsn_high,
     "lsn_low": lsn_low,
     "change_project": change_project,

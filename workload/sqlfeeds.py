@@ -146,3 +146,10 @@ def next_lsn(text: str) -> str:
         f"{high} + CASE WHEN {low} = {full} THEN 1 ELSE 0 END, "
         f"CASE WHEN {low} = {full} THEN 0 ELSE {low} + 1 END) END"
     )
+
+LINEITEM_CT = f"""lineitem_ct AS (
+  SELECT 'dbo_lineitem' AS capture_instance,
+    {lsn(day_of("l_shipdate"), "l_orderkey * 16 + l_linenumber")} AS _lsn FROM lineitem)"""
+ALL_FEED = f"""{FEED}, {LINEITEM_CT},
+all_feed AS (
+  SELECT capture_instance, _lsn FROM feed UNION ALL SELECT capture_instance, _lsn FROM lineitem_ct)"""
