@@ -44,7 +44,7 @@ LEAST = 0.8
 RECALL = 0.999
 TOKENS = 64
 # Buckets up to this size are compared pair by pair.
-SMALL = 200
+SMALL = 1000
 # Levels after which what is left of a bucket is one set of candidates.
 DEEPEST = 10
 # Levels that a pair usually passes, for the number of runs.
@@ -174,7 +174,10 @@ def _sampled(paths: np.ndarray, tokens: int, twice: float) -> Iterator[tuple[np.
 
 
 def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
-    """(node, path) of the buckets that each row goes on to; from ``roots`` runs at the start."""
+    """(node, path) of the buckets that each row goes on to; from ``roots`` runs at the start.
+
+    Below the roots the few rows left take their tokens along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +191,15 @@ def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
                 for rows, position in _sampled(path, tokens, 1.0 if roots else TWICE):
                     token = matrix[rows, position].astype(np.uint64)
                     onward = _mix(path[rows] * np.uint64(0x100000001B3) + (token << np.uint64(8)) + position.astype(np.uint64))
+                    carried = [] if roots else [batch.column(1).take(pa.array(rows))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[rows]), pa.array(onward.view(np.int64))], names=["node", "path"]
+                        [pa.array(node[rows]), pa.array(onward.view(np.int64)), *carried],
+                        names=["node", "path", "tokens"][: 2 + len(carried)],
                     )
 
     columns = ["node", "tokens"] if roots else ["node", "tokens", "path"]
-    return members.select(*columns).mapInArrow(run, "node bigint, path bigint")
+    schema = "node bigint, path bigint" if roots else "node bigint, path bigint, tokens binary"
+    return members.select(*columns).mapInArrow(run, schema)
 
 
 def _compare_small(buckets: DataFrame, tokens: int, near: float) -> DataFrame:
@@ -236,19 +242,19 @@ def _compare_small(buckets: DataFrame, tokens: int, near: float) -> DataFrame:
 
 
 def _compare_leader(led: DataFrame, tokens: int) -> DataFrame:
-    """node, path and the share of tokens equal to the leader's."""
+    """node, path, leader, the share of tokens equal to the leader's, and the own tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, leader = _token_matrix(batch.column(2), tokens), _token_matrix(batch.column(3), tokens)
             equal = (own == leader).mean(axis=1) if len(own) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), pa.array(equal)],
-                names=["node", "path", "leader", "equal"],
+                [batch.column(0), batch.column(1), batch.column(4), pa.array(equal), batch.column(2)],
+                names=["node", "path", "leader", "equal", "tokens"],
             )
 
     return led.select("node", "path", "tokens", "leader_tokens", "leader").mapInArrow(
-        run, "node bigint, path bigint, leader bigint, equal double"
+        run, "node bigint, path bigint, leader bigint, equal double, tokens binary"
     )
 
 
@@ -269,9 +275,9 @@ def candidate_links(
     buckets = _split(classes, tokens, roots=run_count(least, recall))
     for level in range(1, deepest + 1):
         sizes = buckets.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stage(
-            buckets.join(sizes, "path").join(classes, "node").select("node", "path", "n", "tokens"), f"level-{level}"
-        )
+        met = buckets.join(sizes, "path")
+        met = met.join(classes, "node") if level == 1 else met
+        shared = stage(met.select("node", "path", "n", "tokens"), f"level-{level}")
         found.append(_compare_small(shared.where(F.col("n") <= small), tokens, NEAR * scale))
         large = shared.where(F.col("n") > small)
         if large.isEmpty():
@@ -284,8 +290,7 @@ def candidate_links(
             (F.col("equal") >= LINKED * scale) | F.lit(level == deepest)
         ).select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
         found.append(linked)
-        going = compared.where(F.col("equal") < LEAVES * scale).select("node", "path")
-        buckets = _split(going.join(classes, "node"), tokens)
+        buckets = _split(compared.where(F.col("equal") < LEAVES * scale), tokens)
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
