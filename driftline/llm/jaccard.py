@@ -318,7 +318,8 @@ def _exact(pairs: DataFrame, words: int, least: float) -> DataFrame:
             first = np.flatnonzero(side == 0)
             second = first if within else np.flatnonzero(side == 1)
             links = np.zeros(len(node), dtype=np.int64)
-            left, right = [], []
+            # A block of a small component may have no members.
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             width = int(seen.size and (seen > 1).sum())
             for start in range(0, len(first), 1024):
                 rows = first[start : start + 1024]

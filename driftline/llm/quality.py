@@ -14,7 +14,7 @@ chosen by a hash of their keys; scoring reads all rows.
 
 Null and empty texts have no trigrams and are scored by their metadata; null
 metadata is a value of its own. A key with several labels has their majority,
-a tie counts as good. Without labels of both kinds every score is the share of
+a tie counts as good. Without two labels of either kind every score is the share of
 good labels (1 without any). Null keys and repeated rows are kept, an empty
 table gives an empty result, and other columns are ignored.
 """
@@ -27,6 +27,7 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -230,11 +231,12 @@ def learn(
     total = own.count()
     spare = own.where(spread < int(min(1.0, pool / max(1, total)) * (1 << 20)) + 1).join(known, "key", "left_anti")
     more = _features(spare, *columns, []).toPandas()
-    rows = rows.sort_values("key", kind="stable")
+    rows = rows.iloc[np.lexsort((pd.util.hash_array(rows["key"].to_numpy()), rows["y"].to_numpy()))]
     y = rows["y"].to_numpy(dtype=float)
-    aside = np.arange(len(rows)) % 5 == 0
-    both_kinds = all((y[part] == k).any() for part in (aside, ~aside) for k in (0, 1)) if len(y) else False
-    if not both_kinds:
+    # One in five of either kind only calibrates, in an order that keys do not tell.
+    place = np.arange(len(y)) - np.searchsorted(y, y)
+    aside = place % 5 == 0
+    if not all((y[part] == kind).any() for part in (aside, ~aside) for kind in (0, 1)):
         none = np.zeros(0)
         return QualityModel(none, none, none, none, none, float(y.mean()) if len(y) else 1.0)
     return co_train(*_arrays(rows), y, aside, *_arrays(more), rounds=rounds)
