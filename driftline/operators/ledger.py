@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from driftline.functions.text import SERVICE_COLUMNS
 from driftline.operators.keyed import latest_per_key, salted_lookup
+from driftline.session import delete_folder
 
 LEDGERS = {
     "table_state": (
@@ -92,15 +93,73 @@ class DatasetError(RuntimeError):
 
 
 def read_ledger(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows of a ledger: its newest compaction and what was appended since."""
     reader = spark.read.schema(LEDGERS[name]).option("recursiveFileLookup", "true")
+    covered, snapshot = _compaction(spark, root, name)
     try:
-        return reader.parquet(f"{root}/{name}")
+        if not snapshot:
+            return reader.parquet(f"{root}/{name}")
+        later = [f for f in _folders(spark, f"{root}/{name}", "append-") if f not in covered]
+        return reader.parquet(*(f"{root}/{name}/{f}" for f in [snapshot, *later]))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return rows_frame(spark, [], LEDGERS[name])
 
 
+def _folders(spark: SparkSession, path: str, prefix: str, finished: bool = False) -> list[str]:
+    """Names of the folders in ``path``, on demand only those whose write has ended."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not filesystem.exists(hadoop_path):
+        return []
+    names = [status.getPath().getName() for status in filesystem.listStatus(hadoop_path)]
+    done = context._jvm.org.apache.hadoop.fs.Path
+    return sorted(
+        name
+        for name in names
+        if name.startswith(prefix) and (not finished or filesystem.exists(done(f"{path}/{name}/_SUCCESS")))
+    )
+
+
+def _compaction(spark: SparkSession, root: str, name: str) -> tuple[set[str], str | None]:
+    """Folders that the newest compaction covers, and its own folder."""
+    marks = _folders(spark, f"{root}/_compacted", f"{name}-", finished=True)
+    if not marks:
+        return set(), None
+    rows = spark.read.parquet(f"{root}/_compacted/{marks[-1]}").collect()
+    return {row.folder for row in rows if not row.made}, next(row.folder for row in rows if row.made)
+
+
+def compact(spark: SparkSession, root: str, name: str) -> int:
+    """Write a ledger's rows as one table; returns how many folders it covers.
+
+    One compaction at a time. The new table counts from the moment its mark is
+    written whole; the folders it covers are deleted after the next one, so
+    readers that listed them before still find them.
+    """
+    before, old = _compaction(spark, root, name)
+    # An append that is not finished is left for the next compaction.
+    present = _folders(spark, f"{root}/{name}", "append-", finished=True)
+    later = [folder for folder in present if folder not in before]
+    if not later:
+        return 0
+    made = f"table-{uuid.uuid4().hex}"
+    parts = [*([old] if old else []), *later]
+    reader = spark.read.schema(LEDGERS[name]).option("recursiveFileLookup", "true")
+    rows = reader.parquet(*(f"{root}/{name}/{part}" for part in parts))
+    rows.repartition(1 + len(parts) // 1000).write.parquet(f"{root}/{name}/{made}")
+    number = 1 + len(_folders(spark, f"{root}/_compacted", f"{name}-"))
+    marks = [{"folder": made, "made": True}, *({"folder": folder, "made": False} for folder in later)]
+    rows_frame(spark, marks, "folder string, made boolean").coalesce(1).write.parquet(
+        f"{root}/_compacted/{name}-{number:09d}"
+    )
+    for folder in [*(f for f in present if f in before), *(f for f in _folders(spark, f"{root}/{name}", "table-") if f not in (made, old))]:
+        delete_folder(spark, f"{root}/{name}/{folder}")
+    return len(later)
+
+
 def append(df: DataFrame, root: str, name: str) -> None:
     columns = [field.name for field in T.StructType.fromDDL(LEDGERS[name]).fields]
     df.select(*columns).write.parquet(f"{root}/{name}/append-{uuid.uuid4().hex}")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ RECOMMENDED_CONF = {
 }
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_OPEN_STAGES: list[list[str]] = []
 
 
 def session(app_name: str = "driftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,6 +67,27 @@ def qualified_uri(spark: SparkSession, path: str) -> str:
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") else uri
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside; results must be written by then.
+
+    Without it staged tables stay for the life of the shared folder, since a
+    lazy result may still read them.
+    """
+    _OPEN_STAGES.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_STAGES.pop():
+            delete_folder(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -72,5 +96,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, f"stage/{name}")
+    for opened in _OPEN_STAGES[-1:]:
+        opened.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

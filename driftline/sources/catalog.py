@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -39,6 +40,7 @@ COLUMN_SCHEMA = T.ArrayType(
             T.StructField("name", T.StringType()),
             T.StructField("sqlType", T.StringType()),
             T.StructField("isNullable", T.BooleanType()),
+            T.StructField("maxLength", T.IntegerType()),
             T.StructField("precision", T.IntegerType()),
             T.StructField("scale", T.IntegerType()),
             T.StructField("ordinalPosition", T.IntegerType()),
@@ -117,6 +119,20 @@ def extraction_mode(profile: DataFrame, small_table_rows: int = SMALL_TABLE_ROWS
     return profile.withColumn("mode", mode).withColumn("reason", reason)
 
 
+def _max_length(field: T.StructField) -> int | None:
+    """Declared length of a text column, from its type or its metadata.
+
+    Spark keeps the declaration of a char or varchar column it reads as text
+    under the second key; ``maxLength`` is for sources that state it themselves.
+    """
+    if isinstance(field.dataType, (T.CharType, T.VarcharType)):
+        return field.dataType.length
+    if "maxLength" in field.metadata:
+        return int(field.metadata["maxLength"])
+    declared = re.fullmatch(r"(?:var)?char\((\d+)\)", field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", ""))
+    return int(declared[1]) if declared else None
+
+
 def column_details(schema: T.StructType) -> list[dict]:
     """Column descriptions in ordinal order, from the schema alone."""
     details = []
@@ -133,6 +149,7 @@ def column_details(schema: T.StructType) -> list[dict]:
                 "name": field.name,
                 "sqlType": sql_type,
                 "isNullable": field.nullable,
+                "maxLength": _max_length(field),
                 "precision": precision,
                 "scale": scale,
                 "ordinalPosition": position,

@@ -84,3 +84,15 @@ def test_declared_keys_can_be_trusted(spark):
     big = spark.range(1001).withColumn("x", F.lit(1))
     row = table_profile({"t": big, "u": big}, {"t": ["x"]}, verify=False).orderBy("table_name").collect()
     assert [(r.has_unique_key, r.estimated_rows) for r in row] == [(True, 1001), (False, 1001)]
+
+
+def test_length_of_a_text_column_is_part_of_the_hash(spark):
+    def hashed(metadata):
+        schema = T.StructType([T.StructField("name", T.StringType(), True, metadata)])
+        row = schema_manifest("t", spark.createDataFrame([("x",)], schema)).first()
+        return row.schema_hash, row.columns[0].maxLength
+
+    plain, short, long = hashed({}), hashed({"maxLength": 100}), hashed({"maxLength": 200})
+    assert (plain[1], short[1], long[1]) == (None, 100, 200)
+    assert len({plain[0], short[0], long[0]}) == 3
+    assert hashed({"__CHAR_VARCHAR_TYPE_STRING": "varchar(100)"})[0] == short[0]

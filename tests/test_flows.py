@@ -432,3 +432,34 @@ def test_stream_closes_its_run_and_moves_the_state(spark, root):
     assert state(spark, root).last_processed_lsn == at(14)
     assert len(delivered(spark, root, source(spark, []))) == 4  # those after the snapshot
     assert go(spark, source(spark, LATER), root)["rows"] == 0
+
+
+def test_compacted_ledger_reads_the_same_from_few_files(spark, root):
+    for number in range(12):
+        ledger.append_rows(spark, root, "floor", [{"capture_instance": "a", "floor_lsn": at(number)}])
+    want = sorted(map(str, ledger.read_ledger(spark, root, "floor").collect()))
+    assert ledger.compact(spark, root, "floor") == 12 and ledger.compact(spark, root, "floor") == 0
+    ledger.append_rows(spark, root, "floor", [{"capture_instance": "b", "floor_lsn": at(1)}])
+    got = ledger.read_ledger(spark, root, "floor")
+    assert len(got.inputFiles()) <= 2 and got.count() == 13
+    assert ledger.compact(spark, root, "floor") == 1
+    again = ledger.read_ledger(spark, root, "floor")
+    assert len(again.inputFiles()) == 1
+    assert sorted(map(str, again.where("capture_instance = 'a'").collect())) == want
+    assert len(ledger._folders(spark, f"{root}/floor", "append-")) == 1
+    assert ledger.read_ledger(spark, root, "stream_start").count() == 0
+
+
+def test_staged_tables_go_with_their_block(spark):
+    import os
+
+    from driftline.operators.chunks import running_total
+    from driftline.session import shared_dir, staging
+
+    folder = f"{shared_dir(spark)}/stage".removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with staging(spark):
+        df = spark.range(50).selectExpr("id", "id AS size")
+        assert running_total(df, ["id"], "size").agg({"size_before": "max"}).first()[0] == 48 * 49 // 2
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
