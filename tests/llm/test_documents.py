@@ -182,7 +182,7 @@ def test_pipeline_keeps_clean_documents_and_packs_all_of_them(spark, sf):
             assert after.count() == judged.select("component_id").distinct().count()
         if name == "packing":
             assert after.select("doc_id").distinct().count() == docs.count()
-            assert after.agg(F.count_if("start = 0")).first()[0] == docs.count()
+            assert after.agg(F.count_if(F.col("start") == 0)).first()[0] == docs.count()
         else:
             assert after.columns == docs.columns
         docs = after
