@@ -416,15 +416,17 @@ def keep_first(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, recall: float = RECALL
 ) -> DataFrame:
     """One row of each component, unchanged, and all rows with an empty set."""
-    judged = stage(jaccard_join(docs, key, text, least, recall).select(F.col(key).alias("id"), "mark", "kept"), "judged")
+    found = jaccard_join(docs, key, text, least, recall)
+    judged = stage(found.select(F.col(key).alias("id"), "mark", "kept", "n_links"), "judged")
     dropped = judged.where(~F.col("kept")).select("id", "mark")
     marked = docs.withColumn("__mark", text_mark(F.col(text)))
 
     def same(marks: DataFrame) -> Column:
         return marked[key].eqNullSafe(marks["id"]) & marked["__mark"].eqNullSafe(marks["mark"])
 
-    # Equal keys with equal texts are one name, so repetitions are thinned apart.
-    repeated = judged.where("kept AND mark IS NOT NULL").groupBy("id", "mark").count().where("count > 1").select("id", "mark")
+    # Equal keys with equal texts are one name, so repetitions are thinned apart;
+    # those of empty sets link with nothing and all stay.
+    repeated = judged.where("kept AND n_links > 0").groupBy("id", "mark").count().where("count > 1").select("id", "mark")
     if repeated.isEmpty():
         return marked.join(dropped, same(dropped), "left_anti").drop("__mark")
     others = dropped.union(repeated)

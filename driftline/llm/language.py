@@ -15,7 +15,9 @@ Null text and text without letters give ``und`` with score 0. Other texts get
 a learned language, also if none of their n-grams is known (then the most
 frequent language, score 0). Null keys and repeated rows are kept, texts of
 any length are read whole, an empty table gives an empty result, and other
-columns are ignored. Learning needs at least one labelled text.
+columns are ignored. Where nothing can be learned (no labelled text with a
+letter), every text gets ``und``. Up to 64 languages fit into a bitmask; more
+are an error.
 """
 
 from __future__ import annotations
@@ -110,6 +112,8 @@ class LanguageFilters:
         return total, np.clip((counts / max(total, 1) - wrong) / (1 - wrong), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        if not self.languages:
+            return UNKNOWN, 0.0
         total, shares = self.shares(text or "")
         if not total:
             return UNKNOWN, 0.0
@@ -139,10 +143,8 @@ def learn(
         F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(key)
     ).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     total = known.count()
-    if not total:
-        raise ValueError("no text with a language to learn from")
     spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    known = known.where(spread < int(min(1.0, most / total) * (1 << 20)) + 1)
+    known = known.where(spread < int(min(1.0, most / max(1, total)) * (1 << 20)) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[np.ndarray]] = {}
@@ -164,9 +166,11 @@ def learn(
     )
     # One hashed row per language and share of its n-grams; languages are few.
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        raise ValueError("no letters to learn from")
     languages = sorted(totals)
+    if len(languages) > 64:
+        raise ValueError(f"{len(languages)} languages do not fit into a bitmask of 64")
+    if not languages:
+        return LanguageFilters([], np.zeros(cells, dtype=np.uint8), probes, 0, np.zeros(0))
     least = F.create_map(*[F.lit(x) for name in languages for x in (name, max(1.0, totals[name] * least_share))])
     frequent = grams.where(F.col("n") >= least[F.col("lang")]).toPandas()
     kind = next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if bits >= len(languages))

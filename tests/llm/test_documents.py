@@ -39,8 +39,9 @@ def test_language_edges(spark):
     assert language.identify(table(spark, []), filters).count() == 0
     kept = language.keep_identified(table(spark, odd), filters, 0.2)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 5, 6] and kept.columns == table(spark, []).columns
-    with pytest.raises(ValueError, match="learn from"):
-        language.learn(table(spark, []))
+    for nothing in ([], [(1, "123", "en"), (2, None, "en"), (3, "abc", None)]):
+        unlearned = language.learn(table(spark, nothing))
+        assert {(r.lang_pred, r.score) for r in language.identify(table(spark, odd), unlearned).collect()} == {("und", 0.0)}
 
 
 def test_parts_of_a_long_text_give_the_same_ngrams(monkeypatch):
@@ -162,6 +163,19 @@ def test_quality_without_labels_of_both_kinds(spark):
     assert {r.score for r in quality.score(docs, quality.learn(docs, zero)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None, None), (1, None, None), (None, "", "en"), (2, "12 34", "en")]])
+def test_stages_on_next_to_nothing(spark, sf, rows):
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, sf).collect()
+        if name in ("near_copies", "quality"):
+            assert len(out) == len(rows)
+        if name == "packing":
+            assert sum(r.start == 0 for r in out) == len(rows)
+        if name == "language_id":
+            assert out == []
+
+
 def test_pipeline_keeps_clean_documents_and_packs_all_of_them(spark, sf):
     docs = queries.table(spark, sf, "documents")
     labels = queries.table(spark, sf, "labels")
