@@ -30,7 +30,7 @@ from driftline.llm.common import PieceCache, list_array, once, slices, space_pie
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Entries kept of the pair test and of words, before they are made anew.
 KEPT_PAIRS = 400_000
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 KEPT_PIECES = 500_000
 NEVER = 1 << 40
 
@@ -42,6 +42,25 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def read_tokenizer(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def token_bytes(described: dict) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary and its special tokens."""
+    to_byte = byte_characters()
+    vocabulary = described["model"]["vocab"]
+    added = {x["content"]: x["id"] for x in described["added_tokens"]}
+    contents = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
+    for token, number in vocabulary.items():
+        if token not in added:
+            contents[number] = bytes(to_byte[c] for c in token)
+    for token, number in added.items():
+        contents[number] = token.encode()
+    return contents
+
+
 class PrefixEncoder:
     """Vocabulary, automaton and pair test of one tokenizer file."""
 
@@ -49,10 +68,8 @@ class PrefixEncoder:
         import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as file:
-            described = json.load(file)
+        described = read_tokenizer(path)
         vocabulary = described["model"]["vocab"]
-        to_byte = byte_characters()
         added = {x["content"]: x["id"] for x in described["added_tokens"]}
         self.special = added
         self.special_pattern = (
@@ -60,12 +77,7 @@ class PrefixEncoder:
             if added else None
         )
         self.words = regex.compile(WORDS)
-        self.token_bytes: list[bytes] = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
-        for token, number in vocabulary.items():
-            if token not in added:
-                self.token_bytes[number] = bytes(to_byte[c] for c in token)
-        for token, number in added.items():
-            self.token_bytes[number] = token.encode()
+        self.token_bytes = token_bytes(described)
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(described["model"]["merges"]):
@@ -213,7 +225,7 @@ def decode(
     """Key, ids and ``decoded`` text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = once(f"bpe decoder {tokenizer}", lambda: Decoder(_encoder(tokenizer).token_bytes))
+        decoder = once(f"bpe decoder {tokenizer}", lambda: Decoder(token_bytes(read_tokenizer(tokenizer))))
         for batch in slices(batches):
             lists = batch.column(1)
             counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
