@@ -3,8 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
-
-ORACLES = contract.oracle_sql()
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 
 def comparable(names, rows):
@@ -16,7 +16,8 @@ def comparable(names, rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
