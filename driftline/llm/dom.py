@@ -112,10 +112,8 @@ class Page:
                 at = end.start() if end else size
                 close = source.find(">", at)
                 at = size if close < 0 else close + 1
-            elif tag not in VOID and not match[3].endswith("/"):
+            elif tag not in VOID:  # a closing slash means nothing on an HTML element
                 open_now.append(number)
-            elif tag not in VOID:
-                open_now.append(number)  # a slash means nothing on an HTML element
 
     def _close(self, open_now: list[int], closed, limits) -> None:
         for place in range(len(open_now) - 1, 0, -1):
