@@ -29,9 +29,9 @@ from driftline.llm.common import PieceCache, list_array, once, slices, space_pie
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Entries kept of the pair test and of words, before they are made anew.
-KEPT_PAIRS = 400_000
-KEPT_WORDS = 600_000
-KEPT_PIECES = 500_000
+KEPT_PAIRS = 300_000
+KEPT_WORDS = 250_000
+KEPT_PIECES = 400_000
 NEVER = 1 << 40
 
 
