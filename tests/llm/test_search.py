@@ -92,6 +92,40 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert found == order(want)
 
 
+@pytest.mark.parametrize("by_passes", [False, True])
+def test_near_vectors_of_a_one_sided_label(spark, monkeypatch, by_passes):
+    """Vectors with a mean cosine of 0.85 to each other, where signs alone tell little."""
+    random = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    one = unit(np.sqrt(0.85) * unit(random.normal(size=64)) + np.sqrt(0.15) * unit(random.normal(size=(6000, 64))))
+    side = random.normal(size=(400, 64))
+    side = unit(side - (side * one[:400]).sum(axis=1, keepdims=True) * one[:400])
+    v = np.concatenate([one, 0.932 * one[:400] + np.sqrt(1 - 0.932**2) * side]).astype(np.float32)
+    wide = unit(v.astype(np.float64))
+    want = (wide @ wide.T >= vectors.LEAST).sum(axis=1) - 1
+    if by_passes:  # as in a table too large to compare all pairs
+        monkeypatch.setattr(vectors, "ALL_PAIRS", 500)
+        monkeypatch.setattr(vectors, "OVERHEAD", -8)
+    got = vectors.near_vectors(table(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)]), window=24)
+    found = np.array([r.n_links for r in got.orderBy("vec_id").collect()])
+    assert want.sum() >= 800 and (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum() if by_passes else (found == want).all()
+
+
+def test_passes_follow_the_size_and_the_spread_of_a_label():
+    random = np.random.default_rng(9)
+    even = vectors._unit(random.normal(size=(2000, 64)))
+    sided = vectors._unit(even + 1.5 * even[0])
+    number = {
+        (name, n): vectors._passes(vectors._hit_rates(x, n, 0.93, 1024, 48, 1), 10**6)
+        for name, x in (("even", even), ("sided", sided)) for n in (50_000, 1_600_000, 100_000_000)
+    }
+    for name in ("even", "sided"):
+        assert 1 < number[name, 50_000] < number[name, 1_600_000] < number[name, 100_000_000]
+    assert number["sided", 1_600_000] > number["even", 1_600_000]
+    assert vectors._passes(np.full(10, 0.001), 50) == 0
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(table(spark, [])).count() == 0
     row = vectors.near_vectors(table(spark, [(4, [1.0, 2.0], 1)])).first()
