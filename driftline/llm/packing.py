@@ -57,6 +57,29 @@ def _encoding(path: str):
     return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _ids(text: str, tokenizer: str) -> np.ndarray:
+    """Token ids of a text.
+
+    The faster library's pattern gives up on about a million white-space
+    characters in a row; such a text goes to the tokenizers library.
+    """
+    encoding = once(f"packing {tokenizer}", lambda: _encoding(tokenizer))
+    try:
+        return encoding.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        library = once(f"packing library {tokenizer}", lambda: _library(tokenizer))
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     length: int = LENGTH, end_id: int = END_ID,
@@ -65,11 +88,10 @@ def token_pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = once(f"packing {tokenizer}", lambda: _encoding(tokenizer))
         for batch in slices(batches):
             rows, pieces, starts, lengths, sums = [], [], [], [], []
             for row, text_of in enumerate(batch.column(1).to_pylist()):
-                ids = encoding.encode_to_numpy(text_of or "", allowed_special="all")
+                ids = _ids(text_of or "", tokenizer)
                 ids = ids.astype("<u4", copy=False).tobytes() + end
                 total = len(ids) // 4
                 first = total % length or length

@@ -94,6 +94,20 @@ def test_packing_is_gapless_and_holds_every_piece(spark, library):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
 
 
+def test_packing_of_very_long_white_space(spark, library):
+    texts = ["a " + c * 1_200_000 + " b<|endoftext|>" for c in (" ", "\n", "\t")]
+    with pytest.raises(ValueError):
+        packing._encoding(tokenizer_path()).encode_to_numpy(texts[0], allowed_special="all")
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    got = packing.token_pieces(spark.createDataFrame(rows, DOCS), tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.collect_list(F.struct("piece", "ids_crc32")).alias("sums")).collect()
+    for r in got:
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        cut = len(ids) % 1024 or 1024
+        parts = [ids[:cut], *(ids[start : start + 1024] for start in range(cut, len(ids), 1024))]
+        assert r.n == len(ids) and [x.ids_crc32 for x in sorted(r.sums)] == [zlib.crc32(np.array(p, "<u4").tobytes()) for p in parts]
+    assert len(got) == 3
+
+
 def test_best_fit_rule():
     bins, offsets = packing.best_fit([6, 5, 4, 3, 2, 10], 10, 8)
     assert (bins, offsets) == ([0, 1, 0, 1, 1, 2], [0, 0, 6, 5, 8, 0])
