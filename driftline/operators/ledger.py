@@ -70,6 +70,10 @@ ALLOWED_STEPS = (
 
 # Tasks that read chunks, at most.
 MOST_READERS = 10_000
+# Bytes that a reader parses at a time; twice as many while a row is longer, up
+# to what the parser can count.
+READ_BLOCK = 1 << 20
+MOST_BLOCK = (1 << 31) - 1
 
 _ARROW_TYPES = {
     "string": pa.string(),
@@ -366,14 +370,35 @@ def _chunk_rows(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], It
             strings_can_be_null=True,
         )
         parse = csv.ParseOptions(newlines_in_values=True)
+
+        def parts(path: str, block: int, done: int) -> Iterator[pa.RecordBatch]:
+            """Rows after the first ``done`` ones, read in blocks of ``block`` bytes."""
+            filesystem, place = pafs.FileSystem.from_uri(path)
+            read = csv.ReadOptions(block_size=block)
+            with filesystem.open_input_stream(place, compression="gzip") as stream:
+                file = pa.scalar(place.rsplit("/", 1)[-1])
+                for part in csv.open_csv(stream, read_options=read, parse_options=parse, convert_options=convert):
+                    skipped = min(done, part.num_rows)
+                    done -= skipped
+                    part = part.slice(skipped)
+                    if part.num_rows:
+                        of = pa.repeat(file, part.num_rows)
+                        yield pa.RecordBatch.from_arrays([*part.columns, of], names=[*names, "_chunk_file"])
+
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                filesystem, place = pafs.FileSystem.from_uri(path)
-                with filesystem.open_input_stream(place, compression="gzip") as stream:
-                    file = pa.array([place.rsplit("/", 1)[-1]])
-                    for part in csv.open_csv(stream, parse_options=parse, convert_options=convert):
-                        of = pa.repeat(file[0], part.num_rows)
-                        yield pa.RecordBatch.from_arrays([*part.columns, of], names=[*names, "_chunk_file"])
+                block, done = READ_BLOCK, 0
+                while True:
+                    try:
+                        for part in parts(path, block, done):
+                            done += part.num_rows
+                            yield part
+                        break
+                    except pa.ArrowInvalid as error:
+                        # A row has to fit a block: go on after the rows read so far, in larger blocks.
+                        if "straddl" not in str(error) or block == MOST_BLOCK:
+                            raise
+                        block = min(2 * block, MOST_BLOCK)
 
     return run
 

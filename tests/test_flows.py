@@ -218,6 +218,19 @@ def test_read_back_types(spark, root):
     assert back.collect() == rows.collect()
 
 
+def test_read_back_rows_up_to_the_chunk_limit(spark, root):
+    numbers = [3, 3_000_000, 4, 10_485_000, 1_100_000, 5]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "Id int, n int").coalesce(1).select(
+        "Id", F.expr("repeat(CASE WHEN Id = 1 THEN 'é\"\n,' ELSE 'x' END, IF(Id = 1, n DIV 6, n))").alias("s")
+    )
+    src = Source("srv/db", {"dbo.long": rows})
+    current = start_run(spark, src.name, root, "SNAPSHOT", "MANUAL", START)
+    flows.snapshot_dataset(spark, src, {"table_schema": "dbo", "table_name": "long", "to_lsn": at(0)}, current, root)
+    back = ledger.read_committed(spark, root, "dbo.long", rows.schema).drop("_chunk_file")
+    told = lambda df: sorted(map(tuple, df.select("Id", F.length("s"), F.sha2("s", 256)).collect()))
+    assert told(back) == told(rows) and back.count() == len(numbers)
+
+
 def test_names_ignore_case_and_deleted_tables_go(spark, root):
     base = {"table_schema": "dbo", "extraction_mode": "SNAP", "bootstrap_status": "PENDING", "updated_at": START}
     ledger.append_rows(spark, root, "table_state", [
