@@ -7,8 +7,12 @@ probability is interpolated from the longest context that was seen down to no
 context, and the difference of the mean log-likelihoods is compared with a
 threshold that was calibrated on urls the models had not seen.
 
-Counts cover all urls that a rule decides. They are kept in a fixed number of
-hashed cells, so the models that reach the tasks have a fixed size.
+Counts cover all urls that a rule decides. A character and the longest context
+before it, one gram, tell all shorter contexts, so both models are one table of
+grams that grows with the urls; counts of every order are sums over it. Grams
+of the urls that are judged get their log-likelihood difference by joins, each
+distinct gram once, and urls the sum over their grams. Nothing is hashed into
+shared cells and no model is sent to the tasks.
 
 A null url and one without ``://`` have an empty host and path, no rule, and a
 score of 0. Urls of any length are read whole. Null keys and repeated rows are
@@ -18,6 +22,7 @@ Without urls of one kind that kind's model is uniform and the threshold is 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,9 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import slices
+from driftline.operators.keyed import salted_lookup
+from driftline.session import stage
 
 ALLOW, BLOCK = "allow", "block"
 ORDER = 5
+# Cells of the in-memory form for a few urls.
 CELLS = 1 << 20
 # Weight of the shorter context in characters, and the number of characters.
 SHORTER = 2.0
@@ -38,6 +46,8 @@ ALPHABET = 256.0
 CALIBRATION = 5
 BINS = 400
 START, STOP = 1, 2
+# Keys of up to so many characters are few and hot, so joins by them are salted.
+HOT_CHARACTERS = 3
 
 
 @dataclass(frozen=True)
@@ -108,7 +118,7 @@ def _log_likelihood(counts: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np
 
 
 def _ratio(urls: Sequence[str], accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood difference per character of each url."""
+    """Mean log-likelihood difference per character of a few urls, from hashed cells in memory."""
     codes, at, owner = _codes(urls)
     difference = _log_likelihood(accepted, codes, at) - _log_likelihood(rejected, codes, at)
     number = np.bincount(owner, minlength=len(urls))
@@ -119,24 +129,108 @@ def _ratio(urls: Sequence[str], accepted: np.ndarray, rejected: np.ndarray) -> n
 
 @dataclass(frozen=True)
 class UrlModel:
-    accepted: np.ndarray
-    rejected: np.ndarray
+    """``grams``: each gram's number in allowed and blocked urls, apart and set aside."""
+
+    grams: DataFrame
     threshold: float
 
 
-def _scored(df: DataFrame, url: str, accepted: np.ndarray, rejected: np.ndarray) -> DataFrame:
-    """All columns and ``url_score``. The two tables have a fixed size."""
+def _grams(url: str) -> Counter[str]:
+    """Each character of a url with the ``ORDER`` before it, and how often."""
+    padded = chr(START) * ORDER + url + chr(STOP)
+    return Counter(padded[at : at + ORDER + 1] for at in range(len(url) + 1))
+
+
+def _count_grams(ruled: DataFrame) -> DataFrame:
+    """gram and its numbers by verdict and set aside or not, of urls that a rule decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            urls = batch.column(batch.schema.get_field_index(url)).to_pylist()
-            scores = pa.array(_ratio([x or "" for x in urls], accepted, rejected), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "url_score"])
+        for batch in slices(batches, 8192):
+            counts: dict[tuple[str, bool], Counter[str]] = {}
+            for url, *kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                counts.setdefault(tuple(kind), Counter()).update(_grams(url))
+            for (verdict, aside), found in counts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([verdict] * len(found)), pa.array([aside] * len(found)),
+                        pa.array(list(found)), pa.array(list(found.values()), pa.int64()),
+                    ],
+                    names=["verdict", "aside", "gram", "n"],
+                )
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", url_score double")
+    def number(verdict: str, aside: bool) -> Column:
+        return F.sum(F.when((F.col("verdict") == verdict) & (F.col("aside") == F.lit(aside)), F.col("n")).otherwise(0))
 
+    return ruled.select("after", "verdict", "aside").mapInArrow(
+        run, "verdict string, aside boolean, gram string, n bigint"
+    ).groupBy("gram").agg(
+        *(number(v, a).alias(f"{v}_{'aside' if a else 'apart'}") for v in (ALLOW, BLOCK) for a in (False, True))
+    )
+
+
+def _differences(wanted: DataFrame, grams: DataFrame, whole: bool) -> DataFrame:
+    """``difference``: log-likelihood allowed less blocked of each distinct gram in ``wanted``."""
+    counts = grams.select(
+        "gram", *((F.col(f"{v}_apart") + (F.col(f"{v}_aside") if whole else 0)).alias(v) for v in (ALLOW, BLOCK))
+    )
+
+    def joined(df: DataFrame, name: str, start: int, size: int) -> DataFrame:
+        key = F.substring("gram", start, size)
+        sums = counts.groupBy(key.alias("key")).agg(*(F.sum(v).alias(f"{name}_{v}") for v in (ALLOW, BLOCK)))
+        keyed = df.withColumn("key", key)
+        if size <= HOT_CHARACTERS:
+            return salted_lookup(keyed, sums, ["key"], "left").drop("key")
+        return keyed.join(sums, "key", "left").drop("key")
+
+    chance = {v: F.lit(1 / ALPHABET) for v in (ALLOW, BLOCK)}
+    for order in range(ORDER + 1):
+        wanted = joined(joined(wanted, "context", ORDER + 1 - order, order), "seen", ORDER + 1 - order, order + 1)
+        wanted = wanted.select(
+            "gram",
+            *(
+                (
+                    (F.coalesce(f"seen_{v}", F.lit(0)) + SHORTER * (F.col(f"chance_{v}") if order else chance[v]))
+                    / (F.coalesce(f"context_{v}", F.lit(0)) + SHORTER)
+                ).alias(f"chance_{v}")
+                for v in (ALLOW, BLOCK)
+            ),
+        )
+    return wanted.select("gram", (F.log(f"chance_{ALLOW}") - F.log(f"chance_{BLOCK}")).alias("difference"))
 
-def learn(pages: DataFrame, rules: Sequence[Rule], url: str = "url", cells: int = CELLS) -> UrlModel:
+
+def _scored(df: DataFrame, grams: DataFrame, whole: bool) -> DataFrame:
+    """All columns and ``url_score``, the mean difference per character of ``after``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_grams(url) for url in batch.column(2).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(owner), batch.column(1).take(owner),
+                    pa.array([gram for x in found for gram in x], pa.string()),
+                    pa.array([n for x in found for n in x.values()], pa.int64()),
+                ],
+                names=["k1", "k2", "gram", "n"],
+            )
+
+    # A url is known by two 64-bit hashes of its text.
+    keyed = df.withColumn("k1", F.xxhash64("after")).withColumn("k2", F.xxhash64(F.lit(ORDER), "after"))
+    urls = keyed.where("after <> ''").groupBy("k1", "k2").agg(F.first("after").alias("after"))
+    facts = stage(urls.mapInArrow(run, "k1 bigint, k2 bigint, gram string, n bigint"), "url_grams")
+    differences = stage(_differences(facts.select("gram").distinct(), grams, whole), "differences")
+    # Few grams are in nearly every url.
+    scores = salted_lookup(facts, differences, ["gram"]).groupBy("k1", "k2").agg(
+        (F.sum(F.col("n") * F.col("difference")) / F.sum("n")).alias("url_score")
+    )
+    # Copies of a row are told apart by a number, so that those of one url spread.
+    copies = keyed.withColumn("__copy", F.monotonically_increasing_id())
+    return salted_lookup(copies, scores, ["k1", "k2"], "left").drop("k1", "k2", "__copy").withColumn(
+        "url_score", F.coalesce("url_score", F.lit(0.0))
+    )
+
+
+def learn(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> UrlModel:
     """Count the characters of all urls that a rule decides, and calibrate the threshold."""
     host, path, after = url_parts(F.col(url))
     ruled = pages.select(after.alias("after"), rule_column(rules, host, path, lambda r: r.verdict).alias("verdict"))
@@ -144,35 +238,9 @@ def learn(pages: DataFrame, rules: Sequence[Rule], url: str = "url", cells: int
         "aside", F.pmod(F.xxhash64("after"), F.lit(CALIBRATION)) == 0
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8192):
-            urls, verdicts, aside = (batch.column(i).to_pylist() for i in range(3))
-            for kind in sorted(set(zip(verdicts, aside, strict=True))):
-                own = [u for u, *k in zip(urls, verdicts, aside, strict=True) if tuple(k) == kind]
-                codes, at, _ = _codes(own)
-                found = [x for pair in _cells(codes, at, cells) for x in pair]
-                cell, number = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind[0]] * len(cell)), pa.array([kind[1]] * len(cell)), pa.array(cell), pa.array(number)],
-                    names=["verdict", "aside", "cell", "n"],
-                )
-
-    counted = (
-        ruled.mapInArrow(count, "verdict string, aside boolean, cell bigint, n bigint")
-        .groupBy("cell").agg(
-            *[
-                F.sum(F.when((F.col("verdict") == v) & (F.col("aside") == F.lit(a)), F.col("n")).otherwise(0)).alias(f"{v}_{a}")
-                for v in (ALLOW, BLOCK) for a in (False, True)
-            ]
-        )
-        .toPandas()  # at most one row per cell
-    )
-    tables = {name: np.zeros(cells) for name in counted.columns if name != "cell"}
-    for name, values in tables.items():
-        values[counted["cell"].to_numpy(dtype=np.int64)] = counted[name].to_numpy(dtype=float)
-    seen = {v: tables[f"{v}_False"].astype(np.float32) for v in (ALLOW, BLOCK)}
+    grams = stage(_count_grams(ruled), "grams")
     bins = (
-        _scored(ruled.where("aside").select("after", "verdict"), "after", seen[ALLOW], seen[BLOCK])
+        _scored(ruled.where("aside").select("after", "verdict"), grams, whole=False)
         .groupBy("verdict", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("url_score") * 100))).alias("bin"))
         .count().collect()  # at most one row per verdict and bin
     )
@@ -186,8 +254,7 @@ def learn(pages: DataFrame, rules: Sequence[Rule], url: str = "url", cells: int
         cuts = (np.arange(2 * BINS + 2) - BINS) / 100
         best = np.flatnonzero(np.isclose(kept + stopped, (kept + stopped).max()))
         threshold = float(cuts[best[np.argmin(np.abs(cuts[best]))]])
-    whole = {v: (tables[f"{v}_False"] + tables[f"{v}_True"]).astype(np.float32) for v in (ALLOW, BLOCK)}
-    return UrlModel(whole[ALLOW], whole[BLOCK], threshold)
+    return UrlModel(grams, threshold)
 
 
 def judge(
@@ -200,7 +267,7 @@ def judge(
         rule_column(rules, host, path, lambda r: r.name).alias("rule"),
         rule_column(rules, host, path, lambda r: r.verdict).alias("verdict"),
     )
-    scored = _scored(parts, "after", model.accepted, model.rejected)
+    scored = _scored(parts, model.grams, whole=True)
     by_score = F.when(F.col("url_score") >= model.threshold, ALLOW).otherwise(BLOCK)
     return scored.select(
         key, "host", "path", "rule", F.coalesce("verdict", by_score).alias("verdict"),

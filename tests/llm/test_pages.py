@@ -72,6 +72,30 @@ def test_scores_equal_counts_by_hand(spark):
     assert abs(got[0] - total / 9) < 1e-4 and got[1] == 0
 
 
+def test_url_model_grows_with_the_urls(spark, monkeypatch):
+    """Scores stay those of exact counts, however few hashed cells there would be."""
+    allowed = [f"a{i % 5}.com/n{i * 7919 % 1000}" for i in range(120)] + ["é.com/😀"]
+    blocked = [f"b{i % 5}.net/es/w{i * 104729 % 1000}" for i in range(120)]
+    others = ["x.org/n123", "x.org/n123", "b1.org/es/w77", "", "é.org/😀"]
+    tables = []
+    for seen in (allowed, blocked):
+        counts = np.zeros(1 << 24, np.float32)
+        codes, at, _ = urls._codes(seen)
+        for pair in urls._cells(codes, at, len(counts)):
+            for cells in pair:
+                np.add.at(counts, cells, 1)
+        tables.append(counts)
+    every = allowed + blocked + others
+    want = urls._ratio(every, *tables)
+    monkeypatch.setattr(urls, "CELLS", 64)
+    df = pages(spark, [(i, f"http://{u}", None) for i, u in enumerate(every)])
+    model = urls.learn(df, queries.URL_RULES)
+    got = {r.page_id: r.score for r in urls.judge(df, queries.URL_RULES, model).collect()}
+    assert len(got) == len(every) and max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-4
+    grams = {("\x01" * 5 + u + "\x02")[i : i + 6] for u in allowed + blocked for i in range(len(u) + 1)}
+    assert model.grams.count() == len(grams)
+
+
 def test_main_text_of_the_given_pages(spark, sf):
     import html
     import re
