@@ -36,4 +36,75 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES = {"op3_chat": _CHAT, "op6_topk": _TOPK}
+# CRC-32 of a list of bytes, bit by bit.
+_CRC32 = """
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, {bytes}), lambda c, b:
+        list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, x:
+            CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::UBIGINT) ELSE r // 2 END)), 4294967295::UBIGINT)
+"""
+
+
+def _field(text: str) -> str:
+    return f"CASE WHEN {text} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return f"sha256({' || '.join(map(_field, fields))})"
+
+
+_MERKLE = f"""
+WITH RECURSIVE marked AS (
+    SELECT *, CASE WHEN {_CRC32.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))")} % 2 = 0
+        THEN replace(text, chr(10), '') ELSE text END AS claimed
+    FROM documents
+),
+leaves AS (
+    SELECT doc_id, coalesce('+' || source, '') AS g, {_leaf("text")} AS h, {_leaf("claimed")} AS presented FROM marked
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+    FROM leaves
+),
+up AS (
+    SELECT 0 AS level, g, pos, n, h FROM placed
+    UNION ALL
+    SELECT level + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+    FROM up WHERE n > 1 GROUP BY level, g, pos // 3, (n + 2) // 3
+),
+subroots AS (
+    SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1
+),
+top AS (
+    SELECT 0 AS level, place AS pos, n, subroot AS h FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+    FROM top WHERE n > 1 GROUP BY level, pos // 3, (n + 2) // 3
+),
+steps AS (
+    SELECT p.g, p.pos, u.level, u.g IS NULL AS none,
+        coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < p.pos // CAST(3 ** u.level AS BIGINT)), '') AS l,
+        coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > p.pos // CAST(3 ** u.level AS BIGINT)), '') AS r
+    FROM placed p JOIN up u ON u.g = p.g AND u.n > 1 AND u.pos // 3 = p.pos // CAST(3 ** (u.level + 1) AS BIGINT)
+    GROUP BY ALL
+    UNION ALL
+    SELECT p.g, p.pos, 1000 + t.level, false,
+        coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.place // CAST(3 ** t.level AS BIGINT)), ''),
+        coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.place // CAST(3 ** t.level AS BIGINT)), '')
+    FROM placed p JOIN subroots s USING (g) JOIN top t ON t.n > 1 AND t.pos // 3 = s.place // CAST(3 ** (t.level + 1) AS BIGINT)
+    GROUP BY ALL
+),
+proofs AS (
+    SELECT g, pos, list(l || '|' || r ORDER BY level) AS proof FROM steps GROUP BY g, pos
+),
+folded AS (
+    SELECT p.doc_id, p.h AS leaf, s.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+        sha256(replace(array_to_string(coalesce(f.proof, []), ''), '|', '')) AS proof_sha256,
+        list_reduce(list_prepend(p.presented, coalesce(f.proof, [])),
+            lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+    FROM placed p JOIN subroots s USING (g) LEFT JOIN proofs f ON f.g = p.g AND f.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLES = {"op3_chat": _CHAT, "op6_topk": _TOPK, "op13_merkle": _MERKLE}

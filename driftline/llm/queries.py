@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, extract, jaccard, language, packing, quality, topk, urls, vectors
+from driftline.llm import bpe, chat, extract, jaccard, language, merkle, packing, quality, topk, urls, vectors
 
 
 # Documents with a smaller chance of being good are rejected.
@@ -107,6 +107,17 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    claimed = F.when(F.coalesce(tampered, F.lit(False)), without).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), claimed)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_jaccard": op2_jaccard,
@@ -118,4 +129,5 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
+    "op13_merkle": op13_merkle,
 }
