@@ -107,4 +107,57 @@ folded AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
-ORACLES = {"op3_chat": _CHAT, "op6_topk": _TOPK, "op13_merkle": _MERKLE}
+# UTF-8 bytes of a text of code points up to U+00FF.
+_BYTES = """flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS UBIGINT)]
+    ELSE [CAST(192 + unicode(x) // 64 AS UBIGINT), CAST(128 + unicode(x) % 64 AS UBIGINT)] END))"""
+
+_SPELLING = f"""
+WITH RECURSIVE found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents
+),
+counted AS (
+    SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY doc_id, run
+),
+hashed AS (
+    SELECT *, {_CRC32.format(bytes=_BYTES.format(text="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM counted
+),
+words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word,
+        CAST(sum(n) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+),
+variants AS (
+    SELECT word, n, unnest(range(length(word))) AS i FROM words
+),
+opened AS (
+    SELECT word, n, i, left(word, i) || '*' || substr(word, i + 2) AS open, left(word, i) || substr(word, i + 2) AS less FROM variants
+),
+near AS (
+    SELECT a.word, b.word AS near, b.n FROM opened a JOIN opened b USING (i, open) WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM opened a JOIN words b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM opened a JOIN words b ON a.less = b.word
+),
+best AS (
+    SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+),
+named AS (
+    SELECT b.word, b.n_near, b.most, min(near.near) AS name FROM best b JOIN near ON near.word = b.word AND near.n = b.most GROUP BY ALL
+),
+forms AS (
+    SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near,
+        CASE WHEN m.most >= 5 * w.n THEN m.name END AS form, CASE WHEN m.most >= 5 * w.n THEN m.most END AS form_n
+    FROM words w LEFT JOIN named m ON m.word = w.word
+),
+ways AS (
+    SELECT word, word AS root FROM forms
+    UNION ALL
+    SELECT w.word, f.form FROM ways w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL
+),
+roots AS (
+    SELECT w.word, w.root FROM ways w JOIN forms f ON f.word = w.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
+
+ORACLES = {"op3_chat": _CHAT, "op6_topk": _TOPK, "op11_spelling": _SPELLING, "op13_merkle": _MERKLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, extract, jaccard, language, merkle, packing, quality, topk, urls, vectors
+from driftline.llm import bpe, chat, extract, jaccard, language, merkle, packing, quality, spelling, topk, urls, vectors
 
 
 # Documents with a smaller chance of being good are rejected.
@@ -107,6 +107,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
@@ -129,5 +133,6 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
+    "op11_spelling": op11_spelling,
     "op13_merkle": op13_merkle,
 }
