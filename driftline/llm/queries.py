@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, extract, jaccard, language, merkle, packing, quality, spelling, topk, urls, vectors
+from driftline.llm import bpe, chat, extract, jaccard, language, lm, merkle, packing, quality, spelling, topk, urls, vectors
 
 
 # Documents with a smaller chance of being good are rejected.
@@ -111,6 +111,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.learn(docs.where(~lm.held_out("doc_id"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
@@ -134,5 +139,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_vectors": op10_vectors,
     "op11_spelling": op11_spelling,
+    "op12_lm": op12_lm,
     "op13_merkle": op13_merkle,
 }
