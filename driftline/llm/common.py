@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -10,13 +11,19 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Pieces longer than this are computed again each time, so that the cache's
 # memory follows its number of entries.
 LONGEST_CACHED = 48
 
-# Rows of one Arrow batch that are worked on at a time.
+# Rows of one Arrow batch that are worked on at a time, and bytes of their texts
+# if there is more than one.
 ROWS_AT_A_TIME = 512
+BYTES_AT_A_TIME = 1 << 22
+
+_MIXED_SPACE = re.compile(r"\s ")
+_WORD_THEN_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 def once(key: str, make: Callable[[], Any]) -> Any:
@@ -28,10 +35,20 @@ def once(key: str, make: Callable[[], Any]) -> Any:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` at most."""
+    """The same rows in batches of ``rows`` and ``BYTES_AT_A_TIME`` at most, or one row."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        ends = np.cumsum(size)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, int(np.searchsorted(ends, before + BYTES_AT_A_TIME, "right")))
+            stop = max(stop, start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 class PieceCache:
@@ -62,13 +79,14 @@ class PieceCache:
 
 
 def space_pieces(text: str) -> list[str]:
-    """Cut before every space. Joined, the pieces are the text.
+    """Cut before every space that follows no white space. Joined, the pieces are the text.
 
-    A text with two spaces in a row stays whole: only there do the words of a
-    byte-level pattern depend on what stands beyond a piece.
+    Words of a byte-level pattern hold white space only at their start, or
+    nothing else, so a cut never falls into a word, and a run of white space
+    stays together with what comes after it.
     """
-    if "  " in text:
-        return [text]
+    if _MIXED_SPACE.search(text):
+        return _WORD_THEN_SPACE.split(text)
     first, *rest = text.split(" ")
     return [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
 

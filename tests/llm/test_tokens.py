@@ -46,6 +46,36 @@ def test_encoder_equals_the_library(library):
     assert [encoding.encode_to_numpy(x, allowed_special="all").tolist() for x in texts] == want
 
 
+SPACES = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\u200b"]
+
+
+def test_strings_of_the_vocabulary_equal_the_library(library):
+    chance = random.Random(11)
+    tokens = [library.decode([i]) for i in range(library.get_vocab_size())]
+    texts = [" \xa0 \xa0x", " criminals \xa0 \xa0 y", " ", "\xa0 ", "a\n b", "\n \n a  b"]
+    for _ in range(30_000):
+        parts = [chance.choice(SPACES) if chance.random() < 0.4 else chance.choice(tokens) for _ in range(chance.randint(1, 8))]
+        texts.append("".join(parts))
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for start in range(0, len(points), 1000):
+        texts.append("".join(p + chance.choice(SPACES) + chance.choice(SPACES) for p in points[start : start + 1000]))
+    encoder = bpe.PrefixEncoder(tokenizer_path())
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_batches_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    from driftline.llm import common
+
+    texts = ["a" * 3_000_000, None, "b" * 3_000_000, "c" * 9_000_000, "", "d"] + ["e"] * 1000
+    parts = list(common.slices([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]))
+    assert sum((p.column(0).to_pylist() for p in parts), []) == texts
+    assert [p.num_rows for p in parts] == [2, 1, 1, 512, 490]
+
+
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
     monkeypatch.setattr(bpe, "KEPT_WORDS", 2)
