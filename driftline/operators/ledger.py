@@ -140,8 +140,10 @@ def compact(spark: SparkSession, root: str, name: str) -> int:
     """Write a ledger's rows as one table; returns how many folders it covers.
 
     One compaction at a time. The new table counts from the moment its mark is
-    written whole; the folders it covers are deleted after the next one, so
-    readers that listed them before still find them.
+    written whole. Its mark also names what earlier ones covered and is still
+    there, so nothing counts twice while that is deleted, or if it never is.
+    Newly covered folders are deleted after the next compaction, so readers
+    that listed them before still find them.
     """
     before, old = _compaction(spark, root, name)
     # An append that is not finished is left for the next compaction.
@@ -155,11 +157,13 @@ def compact(spark: SparkSession, root: str, name: str) -> int:
     rows = reader.parquet(*(f"{root}/{name}/{part}" for part in parts))
     rows.repartition(1 + len(parts) // 1000).write.parquet(f"{root}/{name}/{made}")
     number = 1 + len(_folders(spark, f"{root}/_compacted", f"{name}-"))
-    marks = [{"folder": made, "made": True}, *({"folder": folder, "made": False} for folder in later)]
+    gone = [folder for folder in present if folder in before]
+    marks = [{"folder": made, "made": True}, *({"folder": folder, "made": False} for folder in [*gone, *later])]
     rows_frame(spark, marks, "folder string, made boolean").coalesce(1).write.parquet(
         f"{root}/_compacted/{name}-{number:09d}"
     )
-    for folder in [*(f for f in present if f in before), *(f for f in _folders(spark, f"{root}/{name}", "table-") if f not in (made, old))]:
+    tables = _folders(spark, f"{root}/{name}", "table-")
+    for folder in [*gone, *(table for table in tables if table not in (made, old))]:
         delete_folder(spark, f"{root}/{name}/{folder}")
     return len(later)
 

@@ -463,6 +463,34 @@ def test_compacted_ledger_reads_the_same_from_few_files(spark, root):
     assert ledger.read_ledger(spark, root, "stream_start").count() == 0
 
 
+def test_compaction_that_breaks_off_doubles_nothing(spark, root, monkeypatch):
+    def put(*numbers):
+        for number in numbers:
+            ledger.append_rows(spark, root, "floor", [{"capture_instance": "a", "floor_lsn": at(number)}])
+
+    def seen():
+        return sorted(r.floor_lsn for r in ledger.read_ledger(spark, root, "floor").collect())
+
+    def broken(spark, path):
+        # What a reader sees while the old folders are still there.
+        assert seen() == [at(n) for n in range(8)]
+        raise RuntimeError("lost")
+
+    put(0, 1, 2)
+    assert ledger.compact(spark, root, "floor") == 3
+    put(3, 4, 5, 6, 7)
+    with monkeypatch.context() as patched:
+        patched.setattr(ledger, "delete_folder", broken)
+        with pytest.raises(RuntimeError):
+            ledger.compact(spark, root, "floor")
+    assert seen() == [at(n) for n in range(8)]
+    put(8)
+    assert ledger.compact(spark, root, "floor") == 1
+    assert seen() == [at(n) for n in range(9)]
+    # The folders that were left behind are gone, those of the last one wait.
+    assert len(ledger._folders(spark, f"{root}/floor", "append-")) == 1
+
+
 def test_staged_tables_go_with_their_block(spark):
     import os
 
