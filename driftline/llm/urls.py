@@ -9,10 +9,11 @@ threshold that was calibrated on urls the models had not seen.
 
 Counts cover all urls that a rule decides. A character and the longest context
 before it, one gram, tell all shorter contexts, so both models are one table of
-grams that grows with the urls; counts of every order are sums over it. Grams
-of the urls that are judged get their log-likelihood difference by joins, each
-distinct gram once, and urls the sum over their grams. Nothing is hashed into
-shared cells and no model is sent to the tasks.
+grams that grows with the urls; counts of every order are sums over it. Each
+distinct gram of the urls that no rule decides gets its log-likelihood
+difference once, where the grams of its context meet, and urls the sum over
+their grams. Nothing is hashed into shared cells and no model is sent to the
+tasks.
 
 A null url and one without ``://`` have an empty host and path, no rule, and a
 score of 0. Urls of any length are read whole. Null keys and repeated rows are
@@ -25,20 +26,20 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm.common import slices
-from driftline.operators.keyed import salted_lookup
 from driftline.session import stage
 
 ALLOW, BLOCK = "allow", "block"
 ORDER = 5
-# Cells of the in-memory form for a few urls.
-CELLS = 1 << 20
 # Weight of the shorter context in characters, and the number of characters.
 SHORTER = 2.0
 ALPHABET = 256.0
@@ -46,8 +47,8 @@ ALPHABET = 256.0
 CALIBRATION = 5
 BINS = 400
 START, STOP = 1, 2
-# Keys of up to so many characters are few and hot, so joins by them are salted.
-HOT_CHARACTERS = 3
+# Urls scored together.
+CHUNK = 8192
 
 
 @dataclass(frozen=True)
@@ -79,54 +80,6 @@ def rule_column(rules: Sequence[Rule], host: Column, path: Column, value) -> Col
     return decided
 
 
-def _codes(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded code points of all urls, where each predicted character stands, and its url."""
-    parts, at, owner, base = [], [], [], 0
-    for number, url in enumerate(urls):
-        codes = np.frombuffer(url.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        parts += [np.full(ORDER, START, np.uint32), codes, np.array([STOP], np.uint32)]
-        at.append(np.arange(base + ORDER, base + ORDER + len(codes) + 1))
-        owner.append(np.full(len(codes) + 1, number))
-        base += ORDER + len(codes) + 1
-    if not parts:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint32), empty, empty
-    return np.concatenate(parts), np.concatenate(at), np.concatenate(owner)
-
-
-def _cell(value: np.ndarray, cells: int) -> np.ndarray:
-    value = (value ^ (value >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((value ^ (value >> np.uint64(29))) % np.uint64(cells)).astype(np.int64)
-
-
-def _cells(codes: np.ndarray, at: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the cells of the context and of context and character."""
-    for order in range(ORDER + 1):
-        context = np.full(len(at), 0x51ED27 + order, dtype=np.uint64)
-        for back in range(order, 0, -1):
-            context = context * np.uint64(0x100000001B3) + codes[at - back]
-        gram = context * np.uint64(0x100000001B3) + codes[at] + np.uint64(0x7F4A7C15)
-        yield _cell(context, cells), _cell(gram, cells)
-
-
-def _log_likelihood(counts: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    chance = np.full(len(at), 1 / ALPHABET)
-    for context, gram in _cells(codes, at, len(counts)):
-        seen = np.minimum(counts[gram], counts[context])  # a shared cell must not exceed its context
-        chance = (seen + SHORTER * chance) / (counts[context] + SHORTER)
-    return np.log(chance)
-
-
-def _ratio(urls: Sequence[str], accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood difference per character of a few urls, from hashed cells in memory."""
-    codes, at, owner = _codes(urls)
-    difference = _log_likelihood(accepted, codes, at) - _log_likelihood(rejected, codes, at)
-    number = np.bincount(owner, minlength=len(urls))
-    total = np.bincount(owner, weights=difference, minlength=len(urls))
-    empty = np.array([not url for url in urls], dtype=bool)
-    return np.where(empty, 0.0, total / np.maximum(number, 1))
-
-
 @dataclass(frozen=True)
 class UrlModel:
     """``grams``: each gram's number in allowed and blocked urls, apart and set aside."""
@@ -168,65 +121,119 @@ def _count_grams(ruled: DataFrame) -> DataFrame:
     )
 
 
+def _context(order: int) -> Column:
+    """The ``order`` characters before the last one of a gram."""
+    return F.substring("gram", ORDER + 1 - order, order)
+
+
+def _seen(order: int) -> Column:
+    """The last character of a gram and the ``order`` before it."""
+    return F.substring("gram", ORDER + 1 - order, order + 1)
+
+
+def _chances(lower: dict[str, Column], seen: str, context: str) -> dict[str, Column]:
+    """Probability of a character in each kind of url, interpolated with that of the shorter context."""
+    return {
+        v: (F.coalesce(f"{seen}_{v}", F.lit(0)) + SHORTER * lower[v]) / (F.coalesce(f"{context}_{v}", F.lit(0)) + SHORTER)
+        for v in (ALLOW, BLOCK)
+    }
+
+
+def _pair_chances(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Probabilities of the last character of ``pairs`` (two characters) after the first."""
+
+    def sums(key: Column, name: str) -> DataFrame:
+        return counts.groupBy(key.alias(name)).agg(*(F.sum(v).alias(f"{name}_{v}") for v in (ALLOW, BLOCK)))
+
+    everything = counts.agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(f"all_{v}") for v in (ALLOW, BLOCK)))
+    rows = (
+        pairs.withColumn("before", F.substring("pair", 1, 1)).withColumn("last", F.substring("pair", 2, 1))
+        .join(sums(_seen(0), "last"), "last", "left").join(sums(_context(1), "before"), "before", "left")
+        .join(sums(_seen(1), "pair"), "pair", "left").crossJoin(F.broadcast(everything))
+    )
+    chances = _chances({v: F.lit(1 / ALPHABET) for v in (ALLOW, BLOCK)}, "last", "all")
+    chances = _chances(chances, "pair", "before")
+    return rows.select("pair", *(chances[v].alias(f"lower_{v}") for v in (ALLOW, BLOCK)))
+
+
 def _differences(wanted: DataFrame, grams: DataFrame, whole: bool) -> DataFrame:
-    """``difference``: log-likelihood allowed less blocked of each distinct gram in ``wanted``."""
+    """``difference``: log-likelihood allowed less blocked of each distinct gram in ``wanted``.
+
+    Grams with the same two characters before the last one meet in one task,
+    and all counts of longer contexts are sums there. Single characters and
+    pairs of them are few and come by joins.
+    """
     counts = grams.select(
         "gram", *((F.col(f"{v}_apart") + (F.col(f"{v}_aside") if whole else 0)).alias(v) for v in (ALLOW, BLOCK))
     )
-
-    def joined(df: DataFrame, name: str, start: int, size: int) -> DataFrame:
-        key = F.substring("gram", start, size)
-        sums = counts.groupBy(key.alias("key")).agg(*(F.sum(v).alias(f"{name}_{v}") for v in (ALLOW, BLOCK)))
-        keyed = df.withColumn("key", key)
-        if size <= HOT_CHARACTERS:
-            return salted_lookup(keyed, sums, ["key"], "left").drop("key")
-        return keyed.join(sums, "key", "left").drop("key")
-
-    chance = {v: F.lit(1 / ALPHABET) for v in (ALLOW, BLOCK)}
-    for order in range(ORDER + 1):
-        wanted = joined(joined(wanted, "context", ORDER + 1 - order, order), "seen", ORDER + 1 - order, order + 1)
-        wanted = wanted.select(
-            "gram",
-            *(
-                (
-                    (F.coalesce(f"seen_{v}", F.lit(0)) + SHORTER * (F.col(f"chance_{v}") if order else chance[v]))
-                    / (F.coalesce(f"context_{v}", F.lit(0)) + SHORTER)
-                ).alias(f"chance_{v}")
-                for v in (ALLOW, BLOCK)
-            ),
-        )
-    return wanted.select("gram", (F.log(f"chance_{ALLOW}") - F.log(f"chance_{BLOCK}")).alias("difference"))
+    pairs = stage(_pair_chances(wanted.select(_seen(1).alias("pair")).distinct(), counts), "pairs")
+    asked = wanted.select("gram", *(F.lit(0).cast("bigint").alias(v) for v in (ALLOW, BLOCK)), F.lit(True).alias("asked"))
+    every = counts.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("gram").agg(
+        *(F.sum(v).alias(v) for v in (ALLOW, BLOCK)), F.max("asked").alias("asked")
+    )
+    near = every.withColumn("near", _context(2)).repartition("near")
+    for order in range(2, ORDER + 1):
+        for name, key in (("context", _context(order)), ("seen", _seen(order))):
+            group = Window.partitionBy("near", "key")
+            near = near.withColumn("key", key).withColumns({f"{name}{order}_{v}": F.sum(v).over(group) for v in (ALLOW, BLOCK)})
+    rows = near.where("asked").withColumn("pair", _seen(1)).join(pairs, "pair")
+    chances = {v: F.col(f"lower_{v}") for v in (ALLOW, BLOCK)}
+    for order in range(2, ORDER + 1):
+        chances = _chances(chances, f"seen{order}", f"context{order}")
+    return rows.select("gram", (F.log(chances[ALLOW]) - F.log(chances[BLOCK])).alias("difference"))
 
 
 def _scored(df: DataFrame, grams: DataFrame, whole: bool) -> DataFrame:
-    """All columns and ``url_score``, the mean difference per character of ``after``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [_grams(url) for url in batch.column(2).to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+    """All columns and ``url_score``, the mean difference per character of ``after``.
+
+    Urls are dealt with in chunks. A chunk asks for each of its grams once, so
+    a gram comes at most once from each chunk and no gram or url is hot.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("__chunk", T.LongType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for number, batch in enumerate(slices(batches, CHUNK), first):
+            yield batch.append_column("__chunk", pa.array(np.full(batch.num_rows, number)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for chunk in np.unique(chunks):
+                urls = batch.column(1).filter(pa.array(chunks == chunk)).to_pylist()
+                found = list(set(chain.from_iterable(map(_grams, urls))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found, pa.string())], ["__chunk", "gram"])
+
+    names = df.columns
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        current = None
+        for batch in slices(batches, CHUNK):
+            gram, text = (batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("__gram", "after"))
+            difference = batch.column(batch.schema.get_field_index("__difference")).to_pylist()
+            rows, scores = [], []
+            for i, chunk in enumerate(batch.column(batch.schema.get_field_index("__chunk")).to_pylist()):
+                if chunk != current:
+                    known, current = {}, chunk
+                if gram[i] is not None:
+                    known[gram[i]] = difference[i]
+                else:
+                    rows.append(i)
+                    found = _grams(text[i])
+                    scores.append(sum(known[g] * n for g, n in found.items()) / max(1, len(text[i]) + 1) if text[i] else 0.0)
+            kept = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(owner), batch.column(1).take(owner),
-                    pa.array([gram for x in found for gram in x], pa.string()),
-                    pa.array([n for x in found for n in x.values()], pa.int64()),
-                ],
-                names=["k1", "k2", "gram", "n"],
+                [*(kept.column(kept.schema.get_field_index(name)) for name in names), pa.array(scores, pa.float64())], [*names, "url_score"]
             )
 
-    # A url is known by two 64-bit hashes of its text.
-    keyed = df.withColumn("k1", F.xxhash64("after")).withColumn("k2", F.xxhash64(F.lit(ORDER), "after"))
-    urls = keyed.where("after <> ''").groupBy("k1", "k2").agg(F.first("after").alias("after"))
-    facts = stage(urls.mapInArrow(run, "k1 bigint, k2 bigint, gram string, n bigint"), "url_grams")
-    differences = stage(_differences(facts.select("gram").distinct(), grams, whole), "differences")
-    # Few grams are in nearly every url.
-    scores = salted_lookup(facts, differences, ["gram"]).groupBy("k1", "k2").agg(
-        (F.sum(F.col("n") * F.col("difference")) / F.sum("n")).alias("url_score")
-    )
-    # Copies of a row are told apart by a number, so that those of one url spread.
-    copies = keyed.withColumn("__copy", F.monotonically_increasing_id())
-    return salted_lookup(copies, scores, ["k1", "k2"], "left").drop("k1", "k2", "__copy").withColumn(
-        "url_score", F.coalesce("url_score", F.lit(0.0))
+    chunked = stage(df.mapInArrow(deal, schema), "urls")
+    asked = chunked.where("after <> ''").select("__chunk", "after").mapInArrow(ask, "__chunk bigint, gram string")
+    differences = stage(_differences(asked.select("gram").distinct(), grams, whole), "differences")
+    answers = asked.join(differences, "gram").select("__chunk", F.col("gram").alias("__gram"), F.col("difference").alias("__difference"))
+    together = answers.unionByName(chunked, allowMissingColumns=True)
+    return together.repartition("__chunk").sortWithinPartitions("__chunk", F.col("__gram").isNull()).mapInArrow(
+        answer, T.StructType([*df.schema.fields, T.StructField("url_score", T.DoubleType())])
     )
 
 
@@ -260,16 +267,17 @@ def learn(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> UrlModel
 def judge(
     pages: DataFrame, rules: Sequence[Rule], model: UrlModel, key: str = "page_id", url: str = "url"
 ) -> DataFrame:
-    """Key, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` of every row."""
+    """Key, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` of every row; a rule leaves no score."""
     host, path, after = url_parts(F.col(url))
     parts = pages.select(
         F.col(key), host.alias("host"), path.alias("path"), after.alias("after"),
         rule_column(rules, host, path, lambda r: r.name).alias("rule"),
         rule_column(rules, host, path, lambda r: r.verdict).alias("verdict"),
     )
-    scored = _scored(parts, model.grams, whole=True)
+    open_ = _scored(parts.where("verdict IS NULL").drop("rule", "verdict"), model.grams, whole=True)
     by_score = F.when(F.col("url_score") >= model.threshold, ALLOW).otherwise(BLOCK)
-    return scored.select(
-        key, "host", "path", "rule", F.coalesce("verdict", by_score).alias("verdict"),
-        F.col("url_score").alias("score"),
+    ruled = parts.where("verdict IS NOT NULL").select(
+        key, "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score")
     )
+    nothing = F.lit(None).cast("string").alias("rule")
+    return ruled.union(open_.select(key, "host", "path", nothing, by_score, "url_score"))

@@ -2,7 +2,7 @@
 
 import math
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import dom, extract, queries, urls
@@ -45,9 +45,7 @@ def test_model_tells_kinds_of_urls_apart(spark):
     assert all(got[2000 + i] == "allow" and got[3000 + i] == "block" for i in range(50))
 
 
-def test_scores_equal_counts_by_hand(spark):
-    """Interpolated probabilities from plain dictionaries, without collisions."""
-    seen = ["a.com/ab", "b.com/ba", "a.com/ab"]
+def counts_by_hand(seen):
     counts = {}
     for url in seen:
         padded = "\x01" * urls.ORDER + url + "\x02"
@@ -56,46 +54,48 @@ def test_scores_equal_counts_by_hand(spark):
                 context = padded[at - order : at]
                 counts[order, context] = counts.get((order, context), 0) + 1
                 counts[order, context, padded[at]] = counts.get((order, context, padded[at]), 0) + 1
-    padded, total = "\x01" * urls.ORDER + "a.com/ba" + "\x02", 0.0
-    for at in range(urls.ORDER, len(padded)):
-        chance = 1 / urls.ALPHABET
-        for order in range(urls.ORDER + 1):
-            context = padded[at - order : at]
-            chance = (counts.get((order, context, padded[at]), 0) + urls.SHORTER * chance) / (counts.get((order, context), 0) + urls.SHORTER)
-        total += math.log(chance) - math.log(1 / urls.ALPHABET)
-    table = np.zeros(urls.CELLS, np.float32)
-    codes, at, _ = urls._codes(seen)
-    for pair in urls._cells(codes, at, urls.CELLS):
-        for cells in pair:
-            np.add.at(table, cells, 1)
-    got = urls._ratio(["a.com/ba", ""], table, np.zeros(urls.CELLS, np.float32))
-    assert abs(got[0] - total / 9) < 1e-4 and got[1] == 0
-
-
-def test_url_model_grows_with_the_urls(spark, monkeypatch):
-    """Scores stay those of exact counts, however few hashed cells there would be."""
+    return counts
+
+
+def score_by_hand(url, accepted, rejected):
+    """Mean log-likelihood difference from plain dictionaries."""
+    padded, total = "\x01" * urls.ORDER + url + "\x02", 0.0
+    for counts, sign in ((accepted, 1), (rejected, -1)):
+        for at in range(urls.ORDER, len(padded)):
+            chance = 1 / urls.ALPHABET
+            for order in range(urls.ORDER + 1):
+                context = padded[at - order : at]
+                chance = (counts.get((order, context, padded[at]), 0) + urls.SHORTER * chance) / (counts.get((order, context), 0) + urls.SHORTER)
+            total += sign * math.log(chance)
+    return total / (len(url) + 1) if url else 0.0
+
+
+@pytest.mark.parametrize("chunk", [8192, 2])
+def test_scores_equal_counts_by_hand(spark, monkeypatch, chunk):
+    monkeypatch.setattr(urls, "CHUNK", chunk)
     allowed = [f"a{i % 5}.com/n{i * 7919 % 1000}" for i in range(120)] + ["é.com/😀"]
     blocked = [f"b{i % 5}.net/es/w{i * 104729 % 1000}" for i in range(120)]
-    others = ["x.org/n123", "x.org/n123", "b1.org/es/w77", "", "é.org/😀"]
-    tables = []
-    for seen in (allowed, blocked):
-        counts = np.zeros(1 << 24, np.float32)
-        codes, at, _ = urls._codes(seen)
-        for pair in urls._cells(codes, at, len(counts)):
-            for cells in pair:
-                np.add.at(counts, cells, 1)
-        tables.append(counts)
+    others = ["x.org/n123", "x.org/n123", "b1.org/es/w77", "", "é.org/😀", "q" * 20_000]
+    tables = counts_by_hand(allowed), counts_by_hand(blocked)
     every = allowed + blocked + others
-    want = urls._ratio(every, *tables)
-    monkeypatch.setattr(urls, "CELLS", 64)
     df = pages(spark, [(i, f"http://{u}", None) for i, u in enumerate(every)])
     model = urls.learn(df, queries.URL_RULES)
-    got = {r.page_id: r.score for r in urls.judge(df, queries.URL_RULES, model).collect()}
-    assert len(got) == len(every) and max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-4
+    got = {r.page_id: r for r in urls.judge(df, queries.URL_RULES, model).collect()}
+    ruled = len(allowed + blocked)
+    assert len(got) == len(every) and all(got[i].score is None for i in range(ruled))
+    for i, url in enumerate(others, ruled):
+        want = score_by_hand(url, *tables)
+        assert abs(got[i].score - want) < 1e-9
+        assert got[i].verdict == ("allow" if want >= model.threshold else "block")
     grams = {("\x01" * 5 + u + "\x02")[i : i + 6] for u in allowed + blocked for i in range(len(u) + 1)}
     assert model.grams.count() == len(grams)
 
 
+def test_urls_without_rules(spark):
+    df = pages(spark, [(i, f"http://x{i}.org/a", None) for i in range(5)])
+    assert {r.verdict for r in urls.judge(df, queries.URL_RULES, urls.learn(df, queries.URL_RULES)).collect()} == {"allow"}
+
+
 def test_main_text_of_the_given_pages(spark, sf):
     import html
     import re
