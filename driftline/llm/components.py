@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.keyed import salted_lookup
 from driftline.session import stage
 
 
@@ -47,13 +48,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that joins with it can split hot nodes.
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = (
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a > b").union(now.join(least, "a").select("a", F.col("m").alias("b")).where("a > b")).distinct()
         )
         large = stage(large, "edges")
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(smallest.select("a", F.col("m").alias("b"))).where("a > b").distinct()
@@ -77,7 +79,7 @@ def in_blocks(members: DataFrame, group: str, node: str, weight: str, most: int)
     own = F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     return (
-        members.join(sizes, group).withColumn("__own", own).withColumn("__other", other)
+        salted_lookup(members, sizes, [group]).withColumn("__own", own).withColumn("__other", other)
         .withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other"))
         .withColumn("side", F.when(F.col("__own") == F.col("i"), 0).otherwise(1))
         .drop("__blocks", "__own", "__other")

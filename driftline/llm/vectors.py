@@ -1,17 +1,16 @@
-"""Near-duplicate vectors: all pairs of small labels, sorted projection passes of large ones.
-
-Equal vectors with equal labels are one class. All classes of a label are
-compared with each other where that costs less than enough passes would. In
-every pass of the other labels, each class gets the signs of its projections on
-random directions, less the label's mean, as one concatenated hash; classes are
-ordered by label and hash, and each is compared with a window of its
-successors. How many passes a label needs is measured on a sample of it: pairs
-planted at the least cosine, and how often a pass of the label's size brings
-one together; passes follow until a share of ``MISS`` is expected to be left.
-Verified pairs are united into components. A window can not hold a large
-component, so the last step compares all members of each component with each
-other, in blocks of fixed size: links inside a component are exact, whatever
-its size.
+"""Near-duplicate vectors by sorted projection passes.
+
+Equal vectors with equal labels are one class. The classes of a label are
+ordered by the signs of their projections on random directions, less the
+label's mean, as one concatenated hash, and cut into spans of neighbours. In
+every span several passes order its classes anew, by hashes of their own, and
+compare each with a bounded window of its successors; so a vector is shipped
+once for many passes. How many rounds of spans a label gets is measured on a
+sample of it, with pairs planted at the least cosine: rounds follow until a
+share of ``MISS`` of such pairs is expected to be left. Verified pairs are
+united into components. A window can not hold a large component, so the last
+step compares all members of each component with each other, in blocks of fixed
+size: links inside a component are exact, whatever its size.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, nor do those with a null label, nor vectors of different
@@ -32,25 +31,23 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import once, slices
 from driftline.llm.components import connected_components, in_blocks, local_components, runs
-from driftline.operators.chunks import running_total
+from driftline.llm.merkle import number
 from driftline.operators.keyed import salted_lookup
 from driftline.session import stage
 
 LEAST = 0.93
 BITS = 48
-WINDOW = 1024
+WINDOW = 128
 SEED = 2017
 # Share of pairs at the least cosine that passes may be expected to leave.
 MISS = 0.001
-# Classes of a label, or of a block of one, that are always compared with each other.
-ALL_PAIRS = 8192
-# What a row costs in a pass besides its window, in comparisons.
-OVERHEAD = 1200
-# Classes of a label, planted pairs and passes that its number of passes is measured on.
+# Classes of a label, planted pairs and passes that its number of rounds is
+# measured on, and the most rounds.
 SAMPLE, PLANTED, TRIALS = 8192, 256, 64
-# Hashes made at a time.
+MOST_ROUNDS = 4096
+# Hashes made at a time, which are also the passes over a span.
 TURNS = 16
-# Rows that a task sorts through at a time, and those of one block of a component.
+# Classes of a span, and those of one block of a component.
 SPAN = 8192
 BLOCK = 4096
 
@@ -115,55 +112,63 @@ def _hit_rates(unit: np.ndarray, members: int, least: float, window: int, bits:
     return rates[0] * (wanted / reaches[0]) ** power
 
 
-def _passes(rates: np.ndarray, most: int) -> int:
-    """Least number of passes up to ``most`` that leave ``MISS`` of the pairs, else 0."""
-    low, high = 0, most + 1
+def _rounds(spans: np.ndarray, windows: np.ndarray) -> int:
+    """Least number of rounds that leave ``MISS`` of the pairs.
+
+    ``spans`` and ``windows`` tell how often one order brings a pair into a
+    span and into a window. A window of a span holds at least those of its
+    members that the same window over the whole label would.
+    """
+    missed = 1 - spans * (1 - (1 - windows) ** TURNS)
+    low, high = 0, MOST_ROUNDS
     while high - low > 1:
         middle = (low + high) // 2
-        if ((1 - rates) ** middle).mean() <= MISS:
+        if (missed**middle).mean() <= MISS:
             high = middle
         else:
             low = middle
-    return high if high <= most else 0
+    return high
 
 
 def _plan(classes: DataFrame, sizes: DataFrame, least: float, window: int, bits: int, seed: int) -> DataFrame:
-    """``passes`` and ``center`` of each label and width that takes less work in passes."""
+    """``rounds`` and ``center`` of each label and width of two classes or more."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         unit = _unit(np.array(rows["v"].tolist(), dtype=np.float64))
         members = int(rows["members"].iloc[0])
-        most = members // (2 * (window + OVERHEAD))
-        passes = _passes(_hit_rates(unit, members, least, window, bits, seed), most)
+        rounds = 1
+        if members > window:
+            every = np.ones(min(len(unit), PLANTED))
+            # Of pairs a quarter of a span apart, three in four share one.
+            spans = every if members <= SPAN else 0.75 * _hit_rates(unit, members, least, SPAN // 4, bits, seed)
+            rounds = _rounds(np.minimum(spans, 1), np.minimum(_hit_rates(unit, members, least, window, bits, seed), 1))
         return pd.DataFrame(
-            {"kind": rows["kind"].iloc[:1], "width": rows["width"].iloc[:1], "passes": [passes], "center": [unit.mean(axis=0)]}
+            {"kind": rows["kind"].iloc[:1], "width": rows["width"].iloc[:1], "rounds": [rounds], "center": [unit.mean(axis=0)]}
         )
 
-    large = sizes.where(F.col("members") > ALL_PAIRS).select("kind", "width", "members")
-    sample = salted_lookup(classes.select("node", "kind", "width", "v"), large, ["kind", "width"]).where(
+    several = sizes.where(F.col("members") > 1)
+    sample = salted_lookup(classes.select("node", "kind", "width", "v"), several, ["kind", "width"]).where(
         F.pmod(F.xxhash64("node", F.lit(seed)), F.col("members")) < SAMPLE
     )
-    return sample.groupBy("kind", "width").applyInPandas(
-        run, "kind bigint, width int, passes int, center array<double>"
-    ).where("passes > 0")
+    return sample.groupBy("kind", "width").applyInPandas(run, "kind bigint, width int, rounds int, center array<double>")
 
 
 def _hashes(classes: DataFrame, bits: int, seed: int) -> DataFrame:
-    """node, kind, width, turn and hash of every class in every pass of its label."""
+    """node, kind, width, turn and hash of every class in every round of its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192):
-            widths, passes = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            widths, rounds = np.asarray(batch.column(2)), np.asarray(batch.column(3))
             for width in np.unique(widths).tolist():
                 rows = np.flatnonzero(widths == width)
                 part = batch.take(pa.array(rows))
                 away = _unit(_matrix(part.column(4), width)) - _matrix(part.column(5), width)
-                for turns in range(-(-int(passes[rows].max()) // TURNS)):
+                for turns in range(-(-int(rounds[rows].max()) // TURNS)):
                     key = f"directions {seed} {width} {turns} {bits}"
                     directions = once(key, lambda: _directions(seed, width, turns, bits))  # noqa: B023
                     hashes = _signs(away, directions, bits)
                     turn = np.arange(turns * TURNS, (turns + 1) * TURNS, dtype=np.int32)
-                    row, column = np.nonzero(turn[None, :] < passes[rows][:, None])
+                    row, column = np.nonzero(turn[None, :] < rounds[rows][:, None])
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(part.column(i).take(pa.array(row)) for i in range(3)),
@@ -173,7 +178,7 @@ def _hashes(classes: DataFrame, bits: int, seed: int) -> DataFrame:
                         names=["node", "kind", "width", "turn", "hash"],
                     )
 
-    return classes.select("node", "kind", "width", "passes", "v", "center").mapInArrow(
+    return classes.select("node", "kind", "width", "rounds", "v", "center").mapInArrow(
         run, "node bigint, kind bigint, width int, turn int, hash bigint"
     )
 
@@ -196,55 +201,32 @@ class _Spanning:
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[self.root[linked]])], names=["a", "b"])
 
 
-def _window_links(ordered: DataFrame, least: float, window: int) -> DataFrame:
-    """Spanning links (a, b) of the pairs found in the windows of every span."""
+def _window_links(spans: DataFrame, least: float, window: int, bits: int, seed: int) -> DataFrame:
+    """Spanning links (a, b) of the pairs found in the windows of all passes over every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for span in runs(batches, ["span"]):
-            order = span.sort_by("place")
-            node = np.asarray(order["node"])
-            kind, width = (np.asarray(order[x]) for x in ("kind", "width"))
-            lists = order["v"].combine_chunks()
+        for span in runs(batches, ["kind", "width", "turn", "span"]):
+            node, turn, width = np.asarray(span["node"]), int(span["turn"][0].as_py()), int(span["width"][0].as_py())
+            # Whatever order the rows came in, passes see the same one.
+            order = np.argsort(node)
+            node = node[order]
+            unit = _unit(_matrix(span["v"].combine_chunks().take(pa.array(order)), width))
+            # Rounds have directions of their own, apart from those that made the spans.
+            hashes = _signs(unit - unit.mean(axis=0), _directions(seed + 2, width, turn, bits), bits)
             found = _Spanning(len(node))
-            for w in np.unique(width).tolist():
-                rows = np.flatnonzero(width == w)
-                unit = _unit(_matrix(lists.take(pa.array(rows)), w))
+            for each in range(TURNS):
+                rows = np.argsort(hashes[:, each], kind="stable")
+                sorted_ = unit[rows]
                 for start in range(0, len(rows), 256):
-                    i, j = np.nonzero(unit[start : start + 256] @ unit[start : start + 256 + window].T >= least)
-                    later = i < j
-                    a, b = rows[start + i[later]], rows[start + j[later]]
-                    same = kind[a] == kind[b]
-                    found.add(a[same], b[same])
-            yield found.links(node)
-
-    return ordered.mapInArrow(run, "a bigint, b bigint")
-
-
-def _all_links(classes: DataFrame, least: float, block: int) -> DataFrame:
-    """Spanning links (a, b) of all pairs of each ``part``, compared in blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in runs(batches, ["part", "i", "j"]):
-            node, side = (np.asarray(pair[x]) for x in ("node", "side"))
-            lists = pair["v"].combine_chunks()
-            unit = _unit(_matrix(lists, len(lists[0])))
-            within = pair["i"][0] == pair["j"][0]
-            first = np.flatnonzero(side == 0)
-            second = first if within else np.flatnonzero(side == 1)
-            found = _Spanning(len(node))
-            for start in range(0, len(first), 256):
-                rows, others = first[start : start + 256], second[start:] if within else second
-                i, j = np.nonzero(unit[rows] @ unit[others].T >= least)
-                apart = rows[i] != others[j]
-                found.add(rows[i[apart]], others[j[apart]])
+                    near = sorted_[start : start + 256] @ sorted_[start : start + 256 + window].T >= least
+                    i, j = np.nonzero(near)
+                    inside = (i < j) & (j <= i + window)
+                    found.add(rows[start + i[inside]], rows[start + j[inside]])
+                if len(node) <= window:
+                    break  # one window holds all
             yield found.links(node)
 
-    wide = in_blocks(classes.withColumn("one", F.lit(1)), "part", "node", "one", block)
-    return (
-        wide.select("part", "i", "j", "side", "node", "v")
-        .repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-        .mapInArrow(run, "a bigint, b bigint")
-    )
+    return spans.mapInArrow(run, "a bigint, b bigint")
 
 
 def _component_links(members: DataFrame, least: float, block: int) -> DataFrame:
@@ -277,21 +259,19 @@ def _component_links(members: DataFrame, least: float, block: int) -> DataFrame:
     )
 
 
-def _in_spans(passed: DataFrame, classes: DataFrame, window: int, bits: int, seed: int) -> DataFrame:
-    """The classes of all passes in the order of their hashes, with span and place."""
-    places = running_total(
-        _hashes(passed, bits, seed).withColumn("one", F.lit(1).cast("bigint")),
-        ["turn", "kind", "width", "hash", "node"], "one",
-    ).select("node", "turn", F.col("size_before").alias("place"))
-    # The first rows of a span are also compared with the last ones of the span before.
-    span = F.floor(F.col("place") / SPAN)
-    spans = F.explode(
-        F.when((F.col("place") % SPAN < window) & (span > 0), F.array(span, span - 1)).otherwise(F.array(span))
-    )
+def _in_spans(planned: DataFrame, classes: DataFrame, window: int, bits: int, seed: int) -> DataFrame:
+    """The classes of every round in spans of neighbours, with their vectors."""
+    hashed = _hashes(planned, bits, seed).withColumn("part", F.concat_ws(" ", "turn", "kind", "width"))
+    placed = number(hashed, ["hash", "node"], "part")
+    spans = F.ceil(F.col("n") / SPAN)
+    span = F.floor(F.col("pos") * spans / F.col("n"))
+    # The first classes of a span are also compared with the last ones of the span before.
+    before = F.floor((F.col("pos") - window) * spans / F.col("n"))
+    both = F.explode(F.when((before < span) & (span > 0), F.array(span, span - 1)).otherwise(F.array(span)))
     return (
-        places.withColumn("span", spans)
-        .join(classes.select("node", "kind", "width", "v"), "node")
-        .repartition("span").sortWithinPartitions("span")
+        placed.select("node", "kind", "width", "turn", both.alias("span"))
+        .join(classes.select("node", "v"), "node")
+        .repartition("kind", "width", "turn", "span").sortWithinPartitions("kind", "width", "turn", "span")
     )
 
 
@@ -316,35 +296,26 @@ def near_vectors(
     classes = stage(
         classes.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "classes"
     )
-    sizes = stage(
-        classes.groupBy("kind", "width").agg(F.count("*").alias("members"))
-        .withColumn("part", F.monotonically_increasing_id()), "sizes"
-    )
+    sizes = stage(classes.groupBy("kind", "width").agg(F.count("*").alias("members")), "sizes")
     plan = stage(_plan(classes, sizes, least, window, bits, seed), "plan")
-    whole = sizes.join(plan, ["kind", "width"], "left_anti").select("kind", "width", "part")
-    found = _all_links(
-        salted_lookup(classes.select("node", "kind", "width", "v"), whole, ["kind", "width"]), least, ALL_PAIRS
-    )
-    if plan.head(1):
-        passed = salted_lookup(classes.select("node", "kind", "width", "v"), plan, ["kind", "width"])
-        found = found.union(_window_links(_in_spans(passed, classes, window, bits, seed), least, window))
+    planned = salted_lookup(classes.select("node", "kind", "width", "v"), plan, ["kind", "width"])
+    found = _window_links(_in_spans(planned, classes, window, bits, seed), least, window, bits, seed)
     components = connected_components(found)
     members = components.join(
-        classes.select("node", "copies", "v"), "node"
+        classes.select("node", "copies", "v", "id"), "node"
     ).withColumn("one", F.lit(1))
     members = stage(members, "members")
     links = _component_links(members, least, BLOCK)
-    names = members.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    found = (
-        members.select("node", "component").join(links, "node").join(names, "component")
-        .select("node", "links", "component_id")
-    )
+    names = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    # A component may hold most of the vectors.
+    found = salted_lookup(members.select("node", "component").join(links, "node"), names, ["component"])
     by_class = classes.select("k1", "k2", "node", "copies", "id").join(found, "node", "left").select(
         "k1", "k2",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
     )
-    return rows.select("id", "k1", "k2").join(by_class, ["k1", "k2"], "left").select(
+    # Written, so that the join can split vectors that most rows have.
+    return rows.select("id", "k1", "k2").join(stage(by_class, "linked"), ["k1", "k2"], "left").select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
