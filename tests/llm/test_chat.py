@@ -1,6 +1,7 @@
 """Chat formatting: exact round trips and the loss mask."""
 
 import random
+import time
 
 from driftline.llm import chat
 
@@ -49,6 +50,21 @@ def test_long_conversation_and_empty_table(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_time_follows_the_turns(spark):
+    """One conversation of very many turns, and one whose turns are all of one role."""
+    count = 100_000
+    rows = spark.range(2 * count).selectExpr(
+        "id % 2 AS conv_id", "id DIV 2 AS turn", "CASE WHEN id % 2 = 0 AND id DIV 2 % 3 > 0 THEN 'user' ELSE 'assistant' END AS role",
+        "concat('é', id DIV 2) AS text",
+    )
+    begin = time.time()
+    read = {r.conv_id: r for r in chat.read_chats(chat.format_chats(rows)).selectExpr(
+        "conv_id", "size(turns) AS turns", "array_join(loss_texts, '') AS loss").collect()}
+    assert time.time() - begin < 150
+    assert read[0].turns == read[1].turns == count
+    assert read[0].loss == "".join(f"é{i}" for i in range(0, count, 3)) and read[1].loss == "".join(f"é{i}" for i in range(count))
+
+
 def test_repeated_rows_are_turns(spark):
     rows = [(1, 0, "assistant", "same")] * 3
     row = chat.read_chats(chat.format_chats(spark.createDataFrame([(*r, "x", 1) for r in rows], ROWS))).first()
