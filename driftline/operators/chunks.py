@@ -11,6 +11,7 @@ from __future__ import annotations
 import posixpath
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.text import csv_rows, header_line
+from driftline.operators.closing import Open, Range, Rows
 from driftline.session import qualified_uri, stage
 
 # Fixed value: default size limit of a chunk.
 MAX_CHUNK_BYTES = 10_485_760
+# Ranges whose functions one task composes.
+GROUP = 64
 
 CHUNK_FILE_SCHEMA = (
     "part int, part_chunk int, row_count bigint, estimated_size bigint, "
@@ -114,6 +118,16 @@ def running_total(
     )
 
 
+def _joined_back(df: DataFrame, numbered: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` with their ``chunk_no``, found by the columns of the order."""
+    if set(df.columns) == set(numbered.columns) - {"chunk_no"}:
+        return numbered.select(*df.columns, "chunk_no")
+    keys = {name: f"__key{i}" for i, name in enumerate(dict.fromkeys(order_by))}
+    found = numbered.select(*(F.col(name).alias(key) for name, key in keys.items()), "chunk_no")
+    same = reduce(lambda a, b: a & b, (df[name].eqNullSafe(found[key]) for name, key in keys.items()))
+    return df.join(found, same).select(*df.columns, "chunk_no")
+
+
 def chunk_assign_offset(
     df: DataFrame,
     order_by: Sequence[str],
@@ -122,10 +136,16 @@ def chunk_assign_offset(
     partitions: int | None = None,
     copies: bool = False,
 ) -> DataFrame:
-    """Number chunks by ``1 + floor(size before the row / limit)``."""
-    return running_total(df, order_by, size_col, partitions, copies).select(
-        *df.columns, (F.floor(F.col("size_before") / max_bytes) + 1).cast("int").alias("chunk_no")
-    )
+    """Number chunks by ``1 + floor(size before the row / limit)``.
+
+    Order and size alone are ranged and staged; other columns are joined back
+    by the order, which has to identify a row. With ``copies`` it need not, and
+    all columns are staged.
+    """
+    narrow = df if copies else df.select(*dict.fromkeys([*order_by, size_col]))
+    total = running_total(narrow, order_by, size_col, partitions, copies)
+    numbered = total.withColumn("chunk_no", (F.floor(F.col("size_before") / max_bytes) + 1).cast("int")).drop("size_before")
+    return _joined_back(df, numbered, order_by)
 
 
 class _Chunker:
@@ -152,28 +172,74 @@ class _Chunker:
             start = last + 1
 
 
-def _greedy(size_col: str, split_col: str, max_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chunk, chunker = None, 1, _Chunker(max_bytes)
+def _state_columns(part: str) -> str:
+    return f"{part} bigint, __starts bigint, __open_split bigint, __open_size bigint"
+
+
+def _walk(rows: Iterator[tuple[int, bytes]], state: Open, starts: int) -> Iterator[tuple]:
+    """The state before each function of a run of them."""
+    for number, function in rows:
+        yield number, starts, state.split, state.size
+        more, state = Range.unpacked(function).step(state)
+        starts += more
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Functions of a group of ranges as one."""
+    group, whole = None, None
+    for batch in batches:
+        for number, function in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = Range.unpacked(function)
+            if number == group:
+                whole = whole.then(own)
+                continue
+            if whole is not None:
+                yield _told([(group, whole.packed())], ["__group", "__function"], [pa.int64(), pa.binary()])
+            group, whole = number, own
+    if whole is not None:
+        yield _told([(group, whole.packed())], ["__group", "__function"], [pa.int64(), pa.binary()])
+
+
+def _told(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _states(functions: DataFrame) -> DataFrame:
+    """What stands open before each range: a prefix scan over their functions, in groups.
+
+    Groups compose their functions; one task walks over the groups, of which
+    there are ``GROUP`` times fewer than tasks; each group walks over its own.
+    """
+    grouped = functions.withColumn("__group", F.floor(F.col("__part") / GROUP))
+    whole = stage(
+        grouped.select("__group", "__function", "__part").repartition("__group").sortWithinPartitions("__group", "__part")
+        .mapInArrow(_fold, "__group bigint, __function binary"), "groups",
+    )
+
+    def over_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((n, f) for batch in batches for n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        found = list(_walk(rows, Open(), 0))
+        if found:
+            yield _told(found, ["__group", "__starts", "__open_split", "__open_size"], [pa.int64()] * 4)
+
+    before = whole.repartition(1).sortWithinPartitions("__group").mapInArrow(over_groups, _state_columns("__group"))
+
+    def over_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, starts = None, Open(), 0
         for batch in batches:
-            names = batch.schema.names
-            sizes = np.asarray(batch.column(names.index(size_col)), dtype=np.int64)
-            splits = np.asarray(batch.column(names.index(split_col)), dtype=np.int64)
-            numbers = np.empty(len(sizes), dtype=np.int32)
-            edges = [0, *(np.flatnonzero(np.diff(splits)) + 1).tolist(), len(sizes)]
-            for begin, end in zip(edges[:-1], edges[1:]):
-                if begin == end:
-                    continue
-                if splits[begin] != split:
-                    split, chunk, chunker = splits[begin], 1, _Chunker(max_bytes)
-                for start, stop, closes in chunker.pieces(sizes[begin:end]):
-                    numbers[begin + start : begin + stop] = chunk
-                    chunk += closes
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers)], names=[*names, "__local"]
-            )
+            found = []
+            for group, part, function, first, split, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != current:
+                    current, state, starts = group, Open(split, size), first
+                found.append((part, starts, state.split, state.size))
+                more, state = Range.unpacked(function).step(state)
+                starts += more
+            yield _told(found, ["__part", "__starts", "__open_split", "__open_size"], [pa.int64()] * 4)
 
-    return run
+    return (
+        grouped.join(before, "__group").select("__group", "__part", "__function", "__starts", "__open_split", "__open_size")
+        .repartition("__group").sortWithinPartitions("__group", "__part").mapInArrow(over_ranges, _state_columns("__part"))
+    )
 
 
 def chunk_assign_greedy(
@@ -184,49 +250,82 @@ def chunk_assign_greedy(
     split: Column | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Number chunks by the exact close-and-reset rule inside each split.
-
-    ``split`` is a whole-number column that grows with the order; the last
-    chunk of each split may be short. Without it the splits are the balanced
-    ranges Spark samples. A row above the limit is flagged ``oversize_row``.
+    """Number chunks by the exact close-and-reset rule over the whole order.
+
+    ``split`` is a whole-number column that grows with the order; a chunk ends
+    with its split. The rows are ranged whatever the splits, so one split may
+    be the whole table: each range says as a function what it does with the
+    chunk that the ranges before it leave open, these are composed, and only
+    then rows get their numbers. Order and size alone are staged; other columns
+    are joined back by the order, which has to identify a row. A row above the
+    limit is flagged ``oversize_row``.
     """
-    fields = [*df.schema.fields, T.StructField("__split", T.LongType()), T.StructField("__local", T.IntegerType())]
-    schema = T.StructType(fields)
-    rule = _greedy(size_col, "__split", max_bytes)
-
-    def numbered(rows: DataFrame, shape: T.StructType) -> DataFrame:
-        return (
-            rows.repartition("__split").sortWithinPartitions("__split", *order_by)
-            .mapInArrow(rule, shape)
-        )
-
-    if split is None:
-        ranged = _ranged(df, order_by, partitions)
-        marked = ranged.withColumn("__split", F.spark_partition_id().cast("bigint"))
-        local = narrow = stage(marked.mapInArrow(rule, schema), "splits")
-    else:
-        marked = df.withColumn("__split", split.cast("bigint"))
-        local = numbered(marked, schema)
-        # Chunk counts come from a second, narrow pass: order, size and split.
-        columns = [*dict.fromkeys([*order_by, size_col, "__split"])]
-        narrow = marked.select(*columns)
-        narrow = numbered(
-            narrow, T.StructType([*narrow.schema.fields, T.StructField("__local", T.IntegerType())])
-        )
-    counts = narrow.groupBy("__split").agg(F.max("__local").cast("bigint").alias("__chunks"))
-    if split is None:
-        offsets = _offsets(counts, "__split", "__chunks")
-    else:
-        # Given splits may be as many as the data has: sum them up by range too.
-        offsets = running_total(counts, ["__split"], "__chunks").select(
-            "__split", F.col("size_before").alias("__offset")
-        )
-    return (
-        local.join(offsets, "__split")
-        .withColumn("chunk_no", (F.col("__offset") + F.col("__local")).cast("int"))
-        .withColumn("oversize_row", F.col(size_col) > max_bytes)
-        .select(*df.columns, "chunk_no", "oversize_row")
+    keys = [*dict.fromkeys(order_by)]
+    least = F.lit(-(1 << 63)).cast("bigint")
+    narrow = df.select(
+        *keys, F.col(size_col).cast("bigint").alias("__size"),
+        (F.lit(0).cast("bigint") if split is None else F.coalesce(split.cast("bigint"), least)).alias("__split"),
+    )
+    fields = [T.StructField(f.name, f.dataType) for f in narrow.schema.fields]
+    added = [T.StructField("__part", T.LongType()), T.StructField("__at", T.LongType()), T.StructField("__function", T.BinaryType())]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        sizes, splits, at = [], [], 0
+        schema = None
+        for batch in batches:
+            sizes.append(np.asarray(batch.column(len(keys)), dtype=np.int64))
+            splits.append(np.asarray(batch.column(len(keys) + 1), dtype=np.int64))
+            schema, count = batch.schema, batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(count, part)), pa.array(np.arange(at, at + count)), pa.nulls(count, pa.binary())],
+                names=[*schema.names, "__part", "__at", "__function"],
+            )
+            at += count
+        if at:
+            function = Rows(np.concatenate(sizes), np.concatenate(splits), max_bytes).function().packed()
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, field.type) for field in schema), pa.array([part]), pa.nulls(1, pa.int64()), pa.array([function], pa.binary())],
+                names=[*schema.names, "__part", "__at", "__function"],
+            )
+
+    ranged = _ranged(narrow, ["__split", *keys], partitions)
+    measured = stage(ranged.mapInArrow(measure, T.StructType([*fields, *added])), "ranges")
+    # One row per range: bounded by the number of shuffle partitions.
+    states = F.broadcast(_states(measured.where("__function IS NOT NULL").select("__part", "__function")))
+    rows = measured.where("__function IS NULL").drop("__function").join(states, "__part")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _ranges(batches):
+            column = {name: np.asarray(table.column(name).combine_chunks()) for name in ("__size", "__split", "__starts")}
+            before = Open(table.column("__open_split")[0].as_py(), table.column("__open_size")[0].as_py())
+            numbers = column["__starts"] + Rows(column["__size"], column["__split"], max_bytes).numbers(before)
+            for batch in table.select(keys).append_column("chunk_no", pa.array(numbers, pa.int32())).to_batches():
+                yield batch
+
+    numbered = rows.repartition("__part").sortWithinPartitions("__part", "__at").mapInArrow(
+        assign, T.StructType([*fields[: len(keys)], T.StructField("chunk_no", T.IntegerType())])
     )
+    return _joined_back(df, numbered, keys).withColumn("oversize_row", F.coalesce(F.col(size_col) > max_bytes, F.lit(False)))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``__part`` of a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        parts = np.asarray(batch.column(batch.schema.get_field_index("__part")))
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if stop == start:
+                continue
+            if held and parts[start] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = parts[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def chunk_stats(df: DataFrame, size_col: str = "row_size") -> DataFrame:

@@ -1,9 +1,13 @@
 import gzip
+import random
+from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import row_size
+from driftline.operators import closing
 from driftline.operators import (
     chunk_assign_greedy,
     chunk_assign_offset,
@@ -148,15 +152,41 @@ def test_greedy_rule_in_given_splits(spark, limit):
     assert got == wanted
 
 
-def test_greedy_rule_in_sampled_splits(spark):
-    rows = [(i, 50 + (i * 31) % 200) for i in range(1000)]
-    df = spark.createDataFrame(rows, "k int, size bigint")
-    whole = chunk_assign_greedy(df, ["k"], "size", 1024, partitions=1).orderBy("k").collect()
-    assert [r.chunk_no for r in whole] == close_and_reset([s for _, s in rows], 1024)
-    parts = chunk_assign_greedy(df, ["k"], "size", 1024, partitions=4)
-    stats = chunk_stats(parts, "size").orderBy("chunk_no").collect()
-    assert [r.chunk_no for r in stats] == list(range(1, len(stats) + 1))
-    assert sum(r.row_count for r in stats) == 1000
-    assert all(r.size < 1024 + 250 for r in stats)
-    numbers = [r.chunk_no for r in parts.orderBy("k").collect()]
-    assert numbers == sorted(numbers)
+@pytest.mark.parametrize("group", [64, 2])
+@pytest.mark.parametrize("limit", [1, 7, 1024, 10**9])
+def test_greedy_rule_over_the_whole_order(spark, monkeypatch, limit, group):
+    """Ranges hand on what they leave open; other columns and null keys come back."""
+    from driftline.operators import chunks
+
+    monkeypatch.setattr(chunks, "GROUP", group)
+    rows = [(i, None if i == 0 else f"k{i:05d}", [0, 0, 3, 50 + i * 31 % 200, 5000][i * 7 % 5], "x") for i in range(1500)]
+    df = spark.createDataFrame(rows, "n int, k string, size int, other string").repartition(6)
+    found = chunk_assign_greedy(df, ["k"], "size", limit, partitions=7).orderBy("n").collect()
+    assert [r.chunk_no for r in found] == close_and_reset([r[2] for r in rows], limit)
+    assert [tuple(r[:4]) for r in found] == rows and [r.oversize_row for r in found] == [r[2] > limit for r in rows]
+    assert chunk_assign_greedy(df.limit(0), ["k"], "size", limit).count() == 0
+
+
+def test_composed_ranges_follow_the_sequential_rule():
+    chance = random.Random(1)
+    for _ in range(500):
+        count, limit = chance.randint(1, 50), chance.choice([1, 2, 5, 10, 30, 100])
+        sizes = np.array([chance.choice([0, 1, 3, chance.randint(0, 40)]) for _ in range(count)])
+        splits = np.array(sorted(chance.choice([0, 0, 1, 2]) for _ in range(count)))
+        cuts = sorted({0, count, *(chance.randint(0, count) for _ in range(5))})
+        want, offset = [], 0
+        for split in dict.fromkeys(splits.tolist()):
+            local = close_and_reset(sizes[splits == split].tolist(), limit)
+            want += [offset + n for n in local]
+            offset += max(local)
+        parts = [closing.Rows(sizes[a:b], splits[a:b], limit) for a, b in zip(cuts, cuts[1:])]
+        state, before, got = closing.Open(), 0, []
+        for part in parts:
+            got += (before + part.numbers(state)).tolist()
+            starts, state = closing.Range.unpacked(part.function().packed()).step(state)
+            before += starts
+        assert got == want
+        whole = reduce(closing.Range.then, (part.function() for part in parts))
+        assert whole.step(closing.Open()) == (want[-1], state)
+
+

@@ -219,6 +219,22 @@ ORACLES = {
       offsets AS (SELECT split, sum(chunks) OVER (ORDER BY split) - chunks AS before FROM parts)
       SELECT o_orderkey, row_size, (before + local)::INTEGER AS chunk_no,
         row_size > {CHUNK} AS oversize_row FROM walk JOIN offsets USING (split)""",
+    "chunk_assign_whole": f"""WITH RECURSIVE sized AS (
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, {_LINE_SIZE}::BIGINT AS row_size
+        FROM lineitem),
+      placed AS (
+        SELECT *, row_number() OVER w AS place, sum(row_size) OVER w AS reached FROM sized
+        WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+      following AS (
+        SELECT a.place, b.place + 1 AS following
+        FROM (SELECT place, reached - row_size + {CHUNK} AS wanted FROM placed) a
+        ASOF JOIN (SELECT place, reached FROM placed) b ON a.wanted <= b.reached),
+      starts AS (
+        SELECT 1::BIGINT AS place, 1 AS chunk_no
+        UNION ALL SELECT f.following, s.chunk_no + 1 FROM starts s JOIN following f ON f.place = s.place)
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, row_size,
+        s.chunk_no::INTEGER AS chunk_no, row_size > {CHUNK} AS oversize_row
+      FROM placed p ASOF JOIN starts s ON p.place >= s.place""",
     "snapshot_chunk_write": _chunk_files("lineitem", _LINE_SIZE),
     "delta_chunk_write": f"WITH {ORDERS_CT} " + _chunk_files("orders_ct", _DELTA_SIZE),
     "key_check": """

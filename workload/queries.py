@@ -241,6 +241,14 @@ def chunk_assign_greedy(spark, sf):
     )
 
 
+def chunk_assign_whole(spark, sf):
+    """All line items as one split, in an order that tells them apart."""
+    df = feeds.table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    sized = df.select(*keys, "l_shipdate", row_size(df, df.columns).alias("row_size"))
+    return chunk_ops.chunk_assign_greedy(sized, keys, "row_size", SMALL_CHUNK)
+
+
 def _written(files: DataFrame, max_bytes: int, row_limit: int) -> DataFrame:
     """What holds for a set of chunk files however the rows were spread."""
     return files.agg(
@@ -859,6 +867,7 @@ QUERIES = {
     "row_size_delta": row_size_delta,
     "chunk_assign_offset": chunk_assign_offset,
     "chunk_assign_greedy": chunk_assign_greedy,
+    "chunk_assign_whole": chunk_assign_whole,
     "chunk_stats": minimum_slice,
     "snapshot_chunk_write": snapshot_chunk_write,
     "delta_chunk_write": delta_chunk_write,
