@@ -225,7 +225,7 @@ ORACLES = {
       placed AS (
         SELECT *, row_number() OVER w AS place, sum(row_size) OVER w AS reached FROM sized
         WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
-      following AS (
+      following AS MATERIALIZED (
         SELECT a.place, b.place + 1 AS following
         FROM (SELECT place, reached - row_size + {CHUNK} AS wanted FROM placed) a
         ASOF JOIN (SELECT place, reached FROM placed) b ON a.wanted <= b.reached),
