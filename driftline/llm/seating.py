@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 
@@ -58,9 +59,14 @@ class Contexts:
     def first_word(self) -> int:
         return 2 + len(self.classes)
 
-    def of(self, word: bytes) -> int:
-        number = self.words.get(word)
-        return self.classes.get(word[-2:], self.OTHER) if number is None else number
+    def own(self, words: Sequence[bytes]) -> np.ndarray:
+        """Numbers of words that are contexts of their own, -1 for others."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
+    def of(self, words: Sequence[bytes]) -> np.ndarray:
+        """Numbers of the contexts that words are for what follows them."""
+        own, endings = self.own(words), [word[-2:] for word in words]
+        return np.where(own >= 0, own, np.fromiter(map(self.classes.get, endings, repeat(self.OTHER)), np.int64, len(words)))
 
 
 def uniform(*parts: np.ndarray | int) -> np.ndarray:

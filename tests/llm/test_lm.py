@@ -72,12 +72,12 @@ def test_counts_and_base(spark, monkeypatch, segment, chunk):
 
 def test_probabilities_of_a_context_sum_to_one(spark):
     model, _ = run(spark, walk(2), own=100, classes=50)
-    table = model.rows.drop("hot", "seed").toArrow().combine_chunks()
-    look = lm.Lookup(table.to_batches()[0], model.contexts, model.floors, model.base)
-    rows = np.r_[np.arange(look.words.rows), -1]
-    assert len(rows) == model.distinct + 1 and len(model.contexts.words) > 20
+    buckets = [lm._bucket(tuple(row), model.contexts, len(model.floors)) for row in model.rows.select(*lm._names(lm._MODEL)).collect()]
+    looks = [lm.Lookup(bucket, model.contexts, model.floors, model.base) for bucket in buckets]
+    assert sum(look.words.rows for look in looks) == model.distinct and len(model.contexts.words) > 20
     for context in range(len(model.contexts.parent)):
-        assert look.probability(rows, np.full(len(rows), context)).sum() == pytest.approx(1)
+        known = sum(look.probability(np.arange(look.words.rows), np.full(look.words.rows, context)).sum() for look in looks)
+        assert known + looks[0].probability(np.array([-1]), np.array([context]))[0] == pytest.approx(1)
 
 
 def test_held_out_texts_are_likelier_than_their_base(spark):
@@ -90,6 +90,7 @@ def test_result_does_not_depend_on_spreading(spark, monkeypatch):
     rows = [*walk(4, texts=40), *ODD]
     _, one = run(spark, rows, 1)
     monkeypatch.setattr(lm, "TOKENS", 100)
+    monkeypatch.setattr(lm, "BUCKET", 100)
     _, many = run(spark, rows, 7)
     assert [r[:5] for r in one] == [r[:5] for r in many]
     assert np.allclose([r[6] for r in one], [r[6] for r in many], rtol=1e-5)
