@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from driftline.functions.lsn import ZERO_LSN, canonical_lsn, lsn_increment
+from driftline.functions.lsn import ZERO_LSN, canonical_lsn, next_lsn
 from driftline.operators import ledger
 from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
 from driftline.plans.flows import (
@@ -22,6 +22,10 @@ from driftline.plans.flows import (
 )
 from driftline.plans.routing import COMPLETE, GAP_CODE
 from driftline.sources.changes import DELIVERY_ORDER, label_changes
+from driftline.streaming.dedup import REMEMBER, dedup_stream
+
+# Fixed value: how a stream's run was triggered.
+STREAM = "STREAM"
 
 
 class DeltaStream:
@@ -62,22 +66,30 @@ def stream_delta(
     floor_lsn: str | None = None,
     max_files: int | None = None,
     trigger: dict | None = None,
+    source: str | None = None,
+    remember: str = REMEMBER,
 ) -> DeltaStream:
-    """Publish new change files of one table as datasets.
+    """Publish new change files of one table as datasets, every event once.
 
     By default takes what is there and ends; a later start continues after it.
     A micro-batch is one dataset whose id follows from the stream and the
-    batch number: after a crash the repeated batch finds it committed. Changes
-    that the table had processed before the stream's first start are passed
-    over, and each commit moves the table's state. With ``floor_lsn`` (lowest
-    position still available) the start fails when history between the last
-    dataset and the floor is missing. Wait for the end or stop it through what
-    is returned: that closes the run.
+    batch number: after a crash the repeated batch finds it committed. Events
+    that come again within ``remember`` of their arrival are known to the
+    stream's own state. Passed over are also changes that the table had
+    processed before the stream's first start, and those up to where delta runs
+    have got to by the time of each micro-batch. Each commit moves the table's
+    state. With ``source`` the stream is a run of that source: a later run of
+    it ends the stream, and starting the stream supersedes an open run.
+
+    With ``floor_lsn`` (lowest position still available) the start fails when
+    history between what was processed and the floor is missing; the floors
+    that purges record are looked at in each micro-batch. Wait for the end or
+    stop it through what is returned: that closes the run.
     """
     table_schema, table_name = split_name(table)
     if floor_lsn:
         _check_gap(spark, root, table, canonical_lsn(floor_lsn))
-    run = start_run(spark, f"stream {table}", root, "DELTA", "SCHEDULED", now)
+    run = start_run(spark, source or f"stream {table}", root, "DELTA", STREAM, now)
     plan = {"table_schema": table_schema, "table_name": table_name}
     start = _start(spark, root, table, checkpoint)
     totals = {"tables_total": 1, "tables_succeeded": 1, "rows": 0, "bytes": 0}
@@ -89,11 +101,14 @@ def stream_delta(
         if done:
             _move(session, root, table, done["to_lsn"], now)
             return
-        new = batch.where(F.col("_lsn") > start)
+        new = batch.where(F.col("_lsn") > max(start, _covered(session, root, table)))
         # Reads the position column only.
         ends = new.agg(F.min("_lsn").alias("low"), F.max("_lsn").alias("high")).first()
         if ends.low is None:
             return
+        floor = _floor(session, root, table)
+        if floor and ends.low >= floor:
+            _check_gap(session, root, table, floor)
         dataset = new_dataset(run, plan, ends.low, ends.high, identity)
         files = write_chunks(
             label_changes(new),
@@ -121,7 +136,7 @@ def stream_delta(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     query = (
-        reader.parquet(ct_path)
+        dedup_stream(reader.parquet(ct_path), remember)
         .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -131,8 +146,7 @@ def stream_delta(
 
 
 def _state(spark: SparkSession, root: str, table: str) -> dict | None:
-    named = F.lower(F.concat_ws(".", "table_schema", "table_name")) == ".".join(split_name(table)).lower()
-    rows = ledger.current_states(spark, root).where(named).collect()
+    rows = ledger.current_states(spark, root).where(_of_table(table)).collect()
     return rows[0].asDict() if rows else None
 
 
@@ -168,15 +182,28 @@ def _move(spark: SparkSession, root: str, table: str, lsn: str, now: datetime) -
     ledger.append_rows(spark, root, "table_state", [state])
 
 
-def _check_gap(spark: SparkSession, root: str, table: str, floor_lsn: str) -> None:
-    missing = (
-        ledger.current_datasets(spark, root)
-        .where(F.col("status") == "COMMITTED")
-        .where(F.lower(F.concat_ws(".", "table_schema", "table_name")) == table.lower())
-        .agg(F.max("to_lsn").alias("last"))
-        .where(lsn_increment(F.col("last")) < floor_lsn)
-    )
-    if missing.count():
-        raise ledger.DatasetError(GAP_CODE, f"history of {table} before {floor_lsn} is gone")
+def _of_table(table: str):
+    return F.lower(F.concat_ws(".", "table_schema", "table_name")) == ".".join(split_name(table)).lower()
+
 
+def _covered(spark: SparkSession, root: str, table: str) -> str:
+    """Where delta runs other than streams have published all changes up to."""
+    runs = ledger.current_runs(spark, root).where(F.col("trigger") != STREAM).select("batch_id")
+    done = ledger.current_datasets(spark, root).where((F.col("status") == "COMMITTED") & _of_table(table))
+    return done.join(runs, "batch_id", "left_semi").agg(F.max("to_lsn")).first()[0] or ZERO_LSN
 
+
+def _floor(spark: SparkSession, root: str, table: str) -> str | None:
+    """The floor that purges recorded for the table's capture instance."""
+    instance = (_state(spark, root, table) or {}).get("capture_instance") or capture_instance(table)
+    known = ledger.recorded_floors(spark, root).where(F.col("capture_instance") == instance)
+    return known.agg(F.max("floor_lsn")).first()[0]
+
+
+def _check_gap(spark: SparkSession, root: str, table: str, floor_lsn: str) -> None:
+    """Changes between what the table has processed and the floor are gone."""
+    done = ledger.current_datasets(spark, root).where((F.col("status") == "COMMITTED") & _of_table(table))
+    known = [done.agg(F.max("to_lsn")).first()[0], (_state(spark, root, table) or {}).get("last_processed_lsn")]
+    processed = max(filter(None, known), default=None)
+    if processed and next_lsn(processed) < floor_lsn:
+        raise ledger.DatasetError(GAP_CODE, f"history of {table} before {floor_lsn} is gone")

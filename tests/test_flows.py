@@ -269,6 +269,65 @@ def test_stream_resumes_and_repeats_nothing(spark, root):
     stream(spark, files, ct.schema, root, checkpoint, floor_lsn=at(15))
 
 
+def test_stream_and_delta_runs_publish_each_event_once(spark, root):
+    """Files that come again across two starts, with a delta run of the same source in between."""
+    files, checkpoint = new_folder(spark, "ct"), new_folder(spark, "cp")
+    schema = spark.createDataFrame([], CT).schema
+
+    def arrive(changes):
+        spark.createDataFrame(changes, CT).coalesce(1).write.mode("append").parquet(files)
+
+    def start():
+        stream(spark, files, schema, root, checkpoint, source="srv/db", max_files=1)
+
+    arrive(FIRST)
+    arrive(FIRST[:1] + FIRST)
+    start()
+    assert go(spark, source(spark, LATER[:3]), root)["rows"] == 1
+    arrive(LATER)
+    last = change(15, 2, 9, "z")
+    arrive([*LATER, last])
+    arrive([last, *FIRST])
+    start()
+    start()
+    every = delivered(spark, root, source(spark, []))
+    assert sorted(key for _, key, _ in every) == sorted(c[1] for c in [*LATER, last])
+    assert go(spark, source(spark, [*LATER, last]), root)["rows"] == 0
+    runs = {(r.source, r.trigger) for r in ledger.current_runs(spark, root).collect()}
+    assert runs == {("srv/db", "STREAM"), ("srv/db", "MANUAL")}
+
+
+def test_a_later_run_of_the_source_fences_the_stream(spark, root, monkeypatch):
+    from driftline.streaming import delta
+
+    files = new_folder(spark, "ct")
+    spark.createDataFrame(FIRST, CT).write.parquet(files)
+    write = delta.write_chunks
+
+    def taken_over(*args, **options):
+        start_run(spark, "srv/db", root, "DELTA", "MANUAL", START)
+        return write(*args, **options)
+
+    monkeypatch.setattr(delta, "write_chunks", taken_over)
+    with pytest.raises(Exception, match="superseded"):
+        stream(spark, files, spark.createDataFrame([], CT).schema, root, new_folder(spark, "cp"), source="srv/db")
+    assert delivered(spark, root, source(spark, [])) == []
+
+
+def test_stream_sees_gaps_from_the_state_and_in_each_batch(spark, root):
+    files, checkpoint = new_folder(spark, "ct"), new_folder(spark, "cp")
+    register_tables(spark, source(spark, FIRST), root, START)
+    go(spark, source(spark, FIRST), root, "SNAPSHOT")
+    spark.createDataFrame([change(20, 2, 5, "x")], CT).write.parquet(files)
+    schema = spark.createDataFrame([], CT).schema
+    with pytest.raises(ledger.DatasetError):  # a snapshot only, its position is in the state
+        stream(spark, files, schema, root, checkpoint, floor_lsn=at(15))
+    ledger.append_rows(spark, root, "floor", [{"capture_instance": "dbo_orders", "floor_lsn": at(15)}])
+    with pytest.raises(Exception, match="history"):
+        stream(spark, files, schema, root, checkpoint)
+    assert delivered(spark, root, source(spark, [])) == []
+
+
 def test_stream_batch_committed_before_a_crash_is_not_repeated(spark, root):
     """The checkpoint is lost after the dataset was committed, as in a crash in between."""
     import shutil

@@ -395,6 +395,8 @@ ORACLES = {
       WHERE _lsn BETWEEN {LOW} AND {HIGH}""",
     "committed_dataset_read": "SELECT * FROM customer",
     "stream_delta": f"WITH {ORDERS_CT} SELECT {_DELTA_OUT} FROM orders_ct",
+    "stream_then_delta": f"WITH {ORDERS_CT} SELECT {_DELTA_OUT} FROM orders_ct",
+    "event_dedup_stream": f"WITH {ORDERS_CT} SELECT * FROM orders_ct",
 }
 
 _DATASET_ROW = """{epoch}::BIGINT AS epoch, '{kind}' AS batch_type, '{run}' AS run_status,

@@ -21,6 +21,7 @@ from driftline.operators import keyed, ledger, logs, reports
 from driftline.plans import flows, routing
 from driftline.session import new_folder
 from driftline.sources import catalog, changes, tables
+from driftline.streaming import dedup_stream
 from driftline.streaming import log_stream as filter_log_stream
 from driftline.streaming import stream_delta as start_stream_delta
 from workload import feeds
@@ -832,6 +833,40 @@ def stream_delta(spark, sf):
     return ledger.read_committed(spark, root, "dbo.orders", schema, service=True).drop("_chunk_file")
 
 
+def stream_then_delta(spark, sf):
+    """Stream, delta run, and the stream again over files that repeat all that was published."""
+    root, checkpoint, files = _root(spark), new_folder(spark, "streams"), new_folder(spark, "changes")
+    ct = feeds.orders_ct(spark, sf)
+
+    def stream():
+        start_stream_delta(
+            spark, files, ct.schema, root, "dbo.orders", _columns(spark, sf, "orders"), checkpoint, NOW,
+            source="server/sales",
+        ).awaitTermination()
+
+    ct.where(F.col("_lsn") <= LOW_LSN).write.parquet(files)
+    stream()
+    orders = feeds.table(spark, sf, "orders")
+    until = ct.where(F.col("_lsn") <= HIGH_LSN)
+    _run(spark, flows.Source("server/sales", {"dbo.orders": orders}, {"dbo.orders": until}, KEYS), root, "DELTA")
+    ct.write.mode("append").parquet(files)
+    stream()
+    return ledger.read_committed(spark, root, "dbo.orders", orders.schema, service=True).drop("_chunk_file")
+
+
+def event_dedup_stream(spark, sf):
+    """The order changes as files that each come twice, every event once."""
+    files, out = new_folder(spark, "changes"), new_folder(spark, "events")
+    ct = feeds.orders_ct(spark, sf)
+    for _ in range(2):
+        ct.write.mode("append").parquet(files)
+    arriving = spark.readStream.schema(ct.schema).option("maxFilesPerTrigger", 3).parquet(files)
+    dedup_stream(arriving).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", new_folder(spark, "streams")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     "snapshot_scan": snapshot_scan,
     "snapshot_window_scan": snapshot_window_scan,
@@ -909,4 +944,6 @@ QUERIES = {
     "delta_tables": delta_tables,
     "rebootstrap": rebootstrap,
     "stream_delta": stream_delta,
+    "stream_then_delta": stream_then_delta,
+    "event_dedup_stream": event_dedup_stream,
 }
