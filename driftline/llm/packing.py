@@ -2,10 +2,11 @@
 
 A document is its token ids and one end id. One longer than a sequence is cut
 into full pieces, the remainder first; every other document is one piece. Full
-pieces are sequences of their own. The others are dealt by hash into buckets,
-and each bucket is packed online by best-fit, long pieces first: a fixed number
-of open bins, a bitset whose bit f is set while an open bin has f tokens free, and the fullest
-bin closed when a new one has to open.
+pieces are sequences of their own and stay where they are. The others are dealt
+by hash into buckets, and each bucket is packed online by best-fit: pieces
+arrive in waves, by hash, and the long ones of a wave first; a fixed number of
+bins is open, a bitset has bit f set while an open bin has f tokens free, and
+the fullest bin closes when a new one has to open.
 
 Null text counts as empty: one piece that holds the end id. Null keys and
 repeated rows are kept; each row is packed by itself. An empty table gives an
@@ -26,15 +27,16 @@ from pyspark.sql import functions as F
 
 from driftline.llm.bpe import WORDS, byte_characters
 from driftline.llm.common import once, slices
+from driftline.session import stage
 
 LENGTH = 1024
 END_ID = 2
-# Bins open at a time in one bucket, and the documents a bucket should hold.
-# Long pieces arrive first, so a bin that has to close early is one that the
-# later, shorter pieces would have filled; the bins outnumber what a bucket
-# of usual documents opens.
-OPEN_BINS = 8192
-BUCKET_DOCUMENTS = 12_000
+# Bins open at a time in one bucket, pieces that arrive together, and the pieces
+# a bucket should hold. A wave opens about half as many bins as it has pieces,
+# so those that its short pieces could still fill stay open until they arrive.
+OPEN_BINS = 1024
+WAVE = 2048
+BUCKET_PIECES = 12_000
 
 
 def _encoding(path: str):
@@ -158,43 +160,44 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
 
 def pack(
     pieces: DataFrame, buckets: int, key: str = "doc_id", length: int = LENGTH,
-    open_bins: int = OPEN_BINS,
+    open_bins: int = OPEN_BINS, wave: int = WAVE,
 ) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` up to ``length``.
+    """Add ``sequence_id`` and ``offset`` to staged pieces with a ``length`` up to ``length``.
 
-    Sequence ids are unique, not dense. The buckets' contents and order follow
-    from the rows alone, so a task that is run again packs alike.
+    Sequence ids are unique, not dense; those of full pieces are negative.
+    Pieces have a ``__row`` number, which spreads repeated rows.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["__bucket"].iloc[0])
-        rows = rows.sort_values(
-            ["length", "__order", "ids_crc32", "piece"], ascending=[False, True, True, True]
-        )
-        full = rows["length"].to_numpy() >= length
-        bins = np.zeros(len(rows), dtype=np.int64)
-        offsets = np.zeros(len(rows), dtype=np.int64)
-        rest_bins, rest_offsets = best_fit(rows["length"][~full].tolist(), length, open_bins)
-        bins[~full], offsets[~full] = rest_bins, rest_offsets
-        used = max(rest_bins, default=-1) + 1
-        bins[full] = used + np.arange(int(full.sum()))
-        rows["sequence_id"] = bins * buckets + bucket
-        rows["offset"] = offsets
-        return rows.drop(columns=["__bucket", "__order"])
-
-    order = F.xxhash64(F.col(key), "piece", "ids_crc32")
-    dealt = pieces.withColumn("__order", order).withColumn(
+        rows = rows.sort_values(["__order", "__row"])
+        rows["__wave"] = np.arange(len(rows)) // wave
+        rows = rows.sort_values(["__wave", "length", "__order", "__row"], ascending=[True, False, True, True])
+        bins, offsets = best_fit(rows["length"].tolist(), length, open_bins)
+        rows["sequence_id"] = np.array(bins, dtype=np.int64) * buckets + bucket
+        rows["offset"] = np.array(offsets, dtype=np.int64)
+        return rows.drop(columns=["__bucket", "__order", "__wave", "__row"])
+
+    order = F.xxhash64("piece", "ids_crc32", "__row")
+    dealt = pieces.where(F.col("length") < length).withColumn("__order", order).withColumn(
         "__bucket", F.pmod("__order", F.lit(buckets)).cast("int")
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("__bucket").applyInPandas(run, f"{schema}, sequence_id bigint, `offset` bigint")
+    columns = [f for f in pieces.schema if f.name != "__row"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    packed = dealt.groupBy("__bucket").applyInPandas(run, f"{schema}, sequence_id bigint, `offset` bigint")
+    full = pieces.where(F.col("length") >= length).select(
+        *(f"`{f.name}`" for f in columns), (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    return packed.unionByName(full)
 
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
-    length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS,
-    bucket_documents: int = BUCKET_DOCUMENTS,
+    length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS, wave: int = WAVE,
+    bucket_pieces: int = BUCKET_PIECES,
 ) -> DataFrame:
     """Tokenise, cut and pack documents into sequences of ``length`` tokens at most."""
-    buckets = max(1, -(-docs.select(key).count() // bucket_documents))
-    return pack(token_pieces(docs, tokenizer, key, text, length, end_id), buckets, key, length, open_bins)
+    pieces = token_pieces(docs, tokenizer, key, text, length, end_id)
+    pieces = stage(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    buckets = max(1, -(-pieces.where(F.col("length") < length).count() // bucket_pieces))
+    return pack(pieces, buckets, key, length, open_bins, wave)

@@ -37,14 +37,15 @@ STRIP = 512
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component, x as double; null if the vector takes no part."""
-    limit = float(2**31 - 1)
+    """floor(scale * x) of every component, x as double; null if the vector takes no part.
+
+    Whole numbers beyond 64 bits, which no score can be told for, become the
+    largest ones.
+    """
     usable = vector.isNotNull() & (F.size(vector) > 0) & F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    scaled = F.transform(
-        vector, lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(x.cast("double") * scale))).cast("int")
-    )
+    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     return F.when(usable, scaled)
 
 
@@ -66,7 +67,9 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors.astype(np.float64), k
+        self.whole = vectors
         self.levels = _levels(self.vectors)
+        self.sizes = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
         self.owner = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.int64)
         self.candidate = np.zeros(0, np.int64)
@@ -75,11 +78,13 @@ class _Best:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         exact = vectors.astype(np.float64)
+        sizes, other_sizes = self.sizes, np.sqrt(np.einsum("ij,ij->i", exact, exact))
         queries, candidates = np.arange(len(self.ids)), np.arange(len(ids))
         alive = np.ones((len(self.ids), len(ids)), dtype=bool)
         for own, other in zip(self.levels, _levels(exact), strict=True):
             bound = own[queries] @ other[candidates].T
-            bound += 1e-6 * (1 + np.abs(bound))
+            # Rounding follows the terms, not their sum.
+            bound += 1e-9 * (1 + sizes[queries, None] * other_sizes[candidates])
             alive &= bound >= self.least[queries, None]
             rows, columns = alive.any(axis=1), alive.any(axis=0)
             alive, queries, candidates = alive[rows][:, columns], queries[rows], candidates[columns]
@@ -93,7 +98,8 @@ class _Best:
             else:
                 score = np.einsum("ij,ij->i", self.vectors[at], exact[to]).astype(np.int64)
         else:
-            score = (self.vectors[at].astype(np.int64) * exact[to].astype(np.int64)).sum(axis=1)
+            # Whole numbers, exact as long as the score fits; NumPy keeps the low 64 bits.
+            score = np.einsum("ij,ij->i", self.whole[at], vectors[to])
         keep = (score >= self.least[at]) & (self.ids[at] != ids[to])
         owner = np.concatenate([self.owner, at[keep]])
         score = np.concatenate([self.score, score[keep]])
@@ -108,7 +114,7 @@ class _Best:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.int32).reshape(-1, width)
+    return np.asarray(column.flatten(), dtype=np.int64).reshape(-1, width)
 
 
 def top_k(

@@ -28,6 +28,7 @@ def test_top_k_equals_brute_force(spark):
     rows += [(700 + i, rows[i % 3][1], 0) for i in range(20)]  # ties
     rows += [(800 + i, (np.array(rows[0][1]) * 1e6).tolist(), 0) for i in range(3)]
     rows += [(900, None, 0), (950, [float("nan")] * 64, 0), (951, [1.0, None], 0), (952, [], 0), (None, rows[0][1], 0),
+             *((1100 + i, [8e6 * (-1) ** i, 0.004 * i, 7e6 * (-1) ** (i // 2), 0.0], 0) for i in range(9)),  # beyond 32 bits
              (1000, [0.5, 0.25], 0), (1001, [1.0, 1.0], 0), (1050, [2.0] * 3, 0), (953, [float("inf")] * 64, 0)]
     got = topk.top_k(table(spark, rows), F.col("vec_id") % 50 == 0, 5, query_block=7, candidate_block=100)
     found = {}
