@@ -9,7 +9,7 @@ hold the classes with its tokens there. Classes alone in a bucket drop out. Smal
 first compared with one leader: classes near it are linked to it, and those so
 near that all their partners were linked as well leave; the others are split
 on. Runs are repeated until a pair at the threshold is found with the target
-recall.
+recall, as often as the depth that buckets reach asks for.
 
 The links so far are candidates. They are united into components, and the
 members of each component are compared with each other on their whole sets, in
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import slices
 from driftline.llm.components import connected_components, in_blocks, local_components, runs
+from driftline.operators.keyed import latest_per_key, salted_lookup
 from driftline.session import stage
 
 WORDS = 5
@@ -47,7 +48,8 @@ TOKENS = 64
 SMALL = 1000
 # Levels after which what is left of a bucket is one set of candidates.
 DEEPEST = 10
-# Levels that a pair usually passes, for the number of runs.
+# Levels that a pair usually passes, for the number of runs that all classes
+# make. Those that go deeper make as many more as their depth needs.
 USUAL_DEPTH = 2
 # Share of the nodes below the roots that sample two tokens; the others sample
 # one. A bucket of classes that share less than 1 / (1 + TWICE) of their tokens
@@ -57,8 +59,9 @@ TWICE = 0.5
 # standard deviations of the estimate: of a candidate pair, of a class that is
 # linked to a leader, and of one that may leave with it.
 NEAR, LINKED, LEAVES = 0.55, 0.35, 0.70
-# Characters of text in one block of a component.
+# Characters of text in one block of a component, and what a row counts besides its text.
 BLOCK_CHARACTERS = 6_000_000
+ROW_CHARACTERS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = 4096
@@ -173,8 +176,8 @@ def _sampled(paths: np.ndarray, tokens: int, twice: float) -> Iterator[tuple[np.
     yield again, ((first + 1 + other) % tokens)[again]
 
 
-def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
-    """(node, path) of the buckets that each row goes on to; from ``roots`` runs at the start.
+def _split(members: DataFrame, tokens: int, roots: range = range(0)) -> DataFrame:
+    """(node, path) of the buckets that each row goes on to; from the runs ``roots`` at the start.
 
     Below the roots the few rows left take their tokens along.
     """
@@ -184,7 +187,7 @@ def _split(members: DataFrame, tokens: int, roots: int = 0) -> DataFrame:
             matrix = _token_matrix(batch.column(1), tokens)
             node = np.asarray(batch.column(0))
             starts = (
-                [_mix(np.full(len(node), 977 + r, dtype=np.uint64)) for r in range(roots)]
+                [_mix(np.full(len(node), 977 + r, dtype=np.uint64)) for r in roots]
                 if roots else [np.asarray(batch.column(2)).view(np.uint64)]
             )
             for path in starts:
@@ -258,23 +261,47 @@ def _compare_leader(led: DataFrame, tokens: int) -> DataFrame:
     )
 
 
-def run_count(least: float, recall: float) -> int:
-    """Runs after which a pair at the threshold was found with the target recall."""
+def run_count(least: float, recall: float, depth: int = USUAL_DEPTH) -> int:
+    """Runs after which a pair at the threshold was found, ``depth`` levels down, with the target recall."""
     root = 1 - (1 - least) ** 2  # at least one of the sampled tokens is equal
     below = 1 - (1 - least) * (1 - TWICE * least)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - root * below ** (USUAL_DEPTH - 1))))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - root * below ** (depth - 1))))
 
 
 def candidate_links(
     classes: DataFrame, least: float = LEAST, recall: float = RECALL, tokens: int = TOKENS,
     small: int = SMALL, deepest: int = DEEPEST,
 ) -> DataFrame:
-    """Links (a, b) that connect every candidate pair of classes (node, tokens)."""
+    """Links (a, b) that connect every candidate pair of classes (node, tokens).
+
+    All classes make the runs that a usual depth needs. Classes whose buckets
+    are still large beyond it make further runs, for the depth that was reached.
+    """
+    runs_made = run_count(least, recall)
+    found, depth, deep = _descend(classes, range(runs_made), least, tokens, small, deepest)
+    needed = run_count(least, recall, depth)
+    if deep and needed > runs_made:
+        nodes = deep[0]
+        for more in deep[1:]:
+            nodes = nodes.union(more)
+        again = stage(classes.join(nodes.distinct(), "node", "left_semi"), "deep")
+        found += _descend(again, range(runs_made, needed), least, tokens, small, deepest)[0]
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    return links
+
+
+def _descend(
+    classes: DataFrame, roots: range, least: float, tokens: int, small: int, deepest: int
+) -> tuple[list[DataFrame], int, list[DataFrame]]:
+    """Links of the runs ``roots``, the levels they took, and the nodes that went below the usual ones."""
     scale = least / LEAST
-    found = []
-    buckets = _split(classes, tokens, roots=run_count(least, recall))
+    found, deep = [], []
+    buckets = _split(classes, tokens, roots)
     for level in range(1, deepest + 1):
-        sizes = buckets.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        # Written, so that the join can split buckets that many classes share.
+        sizes = stage(buckets.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         met = buckets.join(sizes, "path")
         met = met.join(classes, "node") if level == 1 else met
         shared = stage(met.select("node", "path", "n", "tokens"), f"level-{level}")
@@ -282,19 +309,18 @@ def candidate_links(
         large = shared.where(F.col("n") > small)
         if large.isEmpty():
             break
+        if level == USUAL_DEPTH:
+            deep.append(large.select("node"))
         leaders = large.groupBy("path").agg(F.min_by(F.struct("node", "tokens"), F.xxhash64("node")).alias("l")).select(
             "path", F.col("l.node").alias("leader"), F.col("l.tokens").alias("leader_tokens")
         )
-        compared = stage(_compare_leader(large.join(leaders, "path"), tokens), "compared")
+        compared = stage(_compare_leader(large.join(stage(leaders, "leaders"), "path"), tokens), "compared")
         linked = compared.where(
             (F.col("equal") >= LINKED * scale) | F.lit(level == deepest)
         ).select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
         found.append(linked)
         buckets = _split(compared.where(F.col("equal") < LEAVES * scale), tokens)
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return links
+    return found, level, deep
 
 
 def _exact(pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -381,7 +407,8 @@ def jaccard_join(
         )
         .select("node", "text").dropDuplicates(["node"])
     )
-    wide = in_blocks(members.select("node", "component", "copies", "letters"), "component", "node", "letters", BLOCK_CHARACTERS)
+    weighed = members.select("node", "component", "copies", (F.col("letters") + ROW_CHARACTERS).alias("weight"))
+    wide = in_blocks(weighed, "component", "node", "weight", BLOCK_CHARACTERS)
     pairs = (
         wide.join(texts, "node").select("component", "i", "j", "side", "node", "copies", "text")
         .repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -390,7 +417,7 @@ def jaccard_join(
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     names = joined.join(classes.select("node", "name"), "node").groupBy("component").agg(F.min("name").alias("first"))
-    by_node = joined.join(names, "component").select("node", "first")
+    by_node = salted_lookup(joined, names, ["component"]).select("node", "first")
     found = (
         classes.select("k1", "k2", "node", "name", "copies")
         .join(links, "node", "left").join(by_node, "node", "left")
@@ -419,16 +446,21 @@ def keep_first(
     found = jaccard_join(docs, key, text, least, recall)
     judged = stage(found.select(F.col(key).alias("id"), "mark", "kept", "n_links"), "judged")
     dropped = judged.where(~F.col("kept")).select("id", "mark")
-    marked = docs.withColumn("__mark", text_mark(F.col(text)))
+    column = "__mark"
+    while column in docs.columns:
+        column += "_"
+    marked = docs.withColumn(column, text_mark(F.col(text)))
 
     def same(marks: DataFrame) -> Column:
-        return marked[key].eqNullSafe(marks["id"]) & marked["__mark"].eqNullSafe(marks["mark"])
+        return marked[key].eqNullSafe(marks["id"]) & marked[column].eqNullSafe(marks["mark"])
 
-    # Equal keys with equal texts are one name, so repetitions are thinned apart;
-    # those of empty sets link with nothing and all stay.
+    # Equal keys with equal texts are one name, so repetitions are thinned apart,
+    # to the last by their other columns; those of empty sets link with nothing
+    # and all stay.
     repeated = judged.where("kept AND n_links > 0").groupBy("id", "mark").count().where("count > 1").select("id", "mark")
     if repeated.isEmpty():
-        return marked.join(dropped, same(dropped), "left_anti").drop("__mark")
+        return marked.join(dropped, same(dropped), "left_anti").drop(column)
     others = dropped.union(repeated)
-    once = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, "__mark"])
-    return marked.join(others, same(others), "left_anti").union(once).drop("__mark")
+    alike = marked.join(repeated, same(repeated), "left_semi")
+    once = latest_per_key(alike, [key, column], [])
+    return marked.join(others, same(others), "left_anti").union(once).drop(column)

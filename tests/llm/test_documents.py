@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.llm.components import connected_components
 from driftline.llm import jaccard, language, quality, queries
 from driftline.session import stage
 
@@ -117,6 +118,31 @@ def test_one_of_each_group_stays(spark):
     assert [r.doc_id for r in jaccard.keep_first(same).collect()] == [1]
 
 
+def test_rows_that_stay_keep_their_columns(spark):
+    """Whatever the columns are called; of rows with equal key and text always the same one."""
+    rows = [(1, "a b c d e f", i % 7, f"s{i}") for i in range(30)] + [(2, "A b c d e f", 0, "z"), (3, None, 1, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, __mark int, id string").repartition(4)
+        kept = jaccard.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 6, "s6"), (3, None, 1, None)]
+
+
+def test_deeper_buckets_take_more_runs(spark):
+    counts = [jaccard.run_count(0.8, 0.999, depth) for depth in range(1, 11)]
+    assert counts == sorted(counts) and counts[1] == jaccard.run_count(0.8, 0.999) == 4 and counts[-1] > 15
+    keys = jaccard.token_keys()
+    base = np.arange(200, dtype=np.uint64)
+    sets = [np.concatenate([base[:160], 1000 * (i // 2 + 1) + np.arange(40, dtype=np.uint64) + 4 * (i % 2)]) for i in range(600)]
+    nodes = [(i, bytearray(jaccard.minhash(jaccard._mix(x.astype(np.uint64)), keys).tobytes())) for i, x in enumerate(sets)]
+    classes = spark.createDataFrame(nodes, "node bigint, tokens binary")
+    found, depth, deep = jaccard._descend(classes, range(4), 0.8, 64, 3, 10)
+    assert depth > jaccard.USUAL_DEPTH and deep
+    links = jaccard.candidate_links(classes, small=3)
+    root = {r.node: r.component for r in connected_components(links).collect()}
+    assert all(root[2 * i] == root[2 * i + 1] for i in range(300))
+
+
 def test_hash_of_a_set_ignores_case_and_white_space():
     of = jaccard.Shingler()
     assert np.array_equal(of("A b  c\nd e F"), of("a B c d e f"))
