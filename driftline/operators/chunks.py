@@ -11,6 +11,7 @@ from __future__ import annotations
 import posixpath
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -30,7 +31,7 @@ MAX_CHUNK_BYTES = 10_485_760
 GROUP = 64
 
 CHUNK_FILE_SCHEMA = (
-    "part int, part_chunk int, row_count bigint, estimated_size bigint, "
+    "job int, part int, part_chunk int, row_count bigint, estimated_size bigint, "
     "compressed_size bigint, oversize_rows bigint, path string"
 )
 
@@ -345,23 +346,33 @@ def _text_bytes(column: pa.Array, start: int, end: int) -> memoryview:
     return memoryview(b"") if data is None else memoryview(data)[int(first) : int(last)]
 
 
-def _write_files(folder: str, header: str, max_bytes: int):
+@dataclass
+class ChunkJob:
+    """Rows to write as chunks into a folder; without ``order_by`` they stay where the scan put them."""
+
+    df: DataFrame
+    folder: str
+    columns: Sequence[str]
+    service: bool = False
+    order_by: Sequence[str] | None = None
+
+
+def _write_files(targets: Sequence[tuple[str, str]], max_bytes: int):
     """Stream lines into one gzip file per chunk; one output row per file.
 
-    File names carry the task attempt: what a lost or repeated attempt left
-    behind is in no manifest, so nobody reads it.
+    ``targets`` are folder and header of each job; another job's line ends the
+    chunk. File names carry the task attempt: what a lost or repeated attempt
+    left behind is in no manifest, so nobody reads it.
     """
-    head = (header + "\n").encode("utf-8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
-        filesystem, base = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         chunker = _Chunker(max_bytes)
-        sink = packer = None
-        name, chunk, rows, size, oversize, written = "", 0, 0, 0, 0, 0
+        filesystem = sink = packer = current = None
+        base, name, chunk, rows, size, oversize, written = "", "", 0, 0, 0, 0, 0
         done: list[tuple] = []
 
         def put(data) -> None:
@@ -377,26 +388,36 @@ def _write_files(folder: str, header: str, max_bytes: int):
             sink.write(tail)
             sink.close()
             sink = None
-            done.append((part, chunk, rows, size, written, oversize, posixpath.join(folder, name)))
+            done.append((current, part, chunk, rows, size, written, oversize, posixpath.join(targets[current][0], name)))
 
         for batch in batches:
-            lines, column = batch.column(0), batch.column(1)
-            sizes = np.asarray(column, dtype=np.int64)
-            for start, end, closes in chunker.pieces(sizes):
-                if sink is None:
-                    chunk, rows, size, oversize, written = chunk + 1, 0, 0, 0, 0
-                    name = f"part-{part:06d}-{chunk:06d}-{attempt}.csv.gz"
-                    if chunk == 1:
-                        filesystem.create_dir(base, recursive=True)
-                    sink = filesystem.open_output_stream(posixpath.join(base, name), compression=None)
-                    packer = zlib.compressobj(level=6, wbits=31)
-                    put(head)
-                put(_text_bytes(lines, start, end))
-                rows += end - start
-                size += int(sizes[start:end].sum())
-                oversize += int((sizes[start:end] > max_bytes).sum())
-                if closes:
-                    close()
+            jobs, lines, column = batch.column(0), batch.column(1), batch.column(2)
+            sizes, numbers = np.asarray(column, dtype=np.int64), np.asarray(jobs)
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for begin, stop in zip(edges[:-1], edges[1:], strict=True):
+                if begin == stop:
+                    continue
+                if numbers[begin] != current:
+                    if sink is not None:
+                        close()
+                    current, chunk, chunker = int(numbers[begin]), 0, _Chunker(max_bytes)
+                    filesystem, base = pafs.FileSystem.from_uri(targets[current][0])
+                for start, end, closes in chunker.pieces(sizes[begin:stop]):
+                    start, end = begin + start, begin + end
+                    if sink is None:
+                        chunk, rows, size, oversize, written = chunk + 1, 0, 0, 0, 0
+                        name = f"part-{part:06d}-{chunk:06d}-{attempt}.csv.gz"
+                        if chunk == 1:
+                            filesystem.create_dir(base, recursive=True)
+                        sink = filesystem.open_output_stream(posixpath.join(base, name), compression=None)
+                        packer = zlib.compressobj(level=6, wbits=31)
+                        put((targets[current][1] + "\n").encode("utf-8"))
+                    put(_text_bytes(lines, start, end))
+                    rows += end - start
+                    size += int(sizes[start:end].sum())
+                    oversize += int((sizes[start:end] > max_bytes).sum())
+                    if closes:
+                        close()
             if done:
                 yield _file_rows(done)
                 done = []
@@ -408,12 +429,54 @@ def _write_files(folder: str, header: str, max_bytes: int):
 
 
 def _file_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string()]
+    types = [*[pa.int32()] * 3, *[pa.int64()] * 4, pa.string()]
     names = [item.split()[0] for item in CHUNK_FILE_SCHEMA.split(", ")]
     columns = [pa.array(values, type=kind) for values, kind in zip(zip(*rows), types)]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def write_many(jobs: Sequence[ChunkJob], max_bytes: int = MAX_CHUNK_BYTES, partitions: int | None = None) -> DataFrame:
+    """Write the rows of several jobs as numbered gzip CSV chunks, in one Spark job.
+
+    Jobs with an order have the same one; their lines are range-partitioned
+    once, by job and order, so a large job gets many ranges and small ones
+    share one. Each task applies the close-and-reset rule to the rows it has of
+    each job. Result: ``job`` (its place in ``jobs``), ``chunk_no`` from 1,
+    ``row_count``, ``estimated_size``, ``compressed_size``, ``oversize_rows``,
+    ``path``; no row for empty jobs.
+    """
+    spark = jobs[0].df.sparkSession
+    targets = [(qualified_uri(spark, job.folder), header_line(job.columns, job.service)) for job in jobs]
+    told = ["job", F.concat(F.col("line"), F.lit("\n")).alias("line"), "size"]
+    plain, ordered = [], []
+    for number, job in enumerate(jobs):
+        keep = [*(job.order_by or ())]
+        lines = csv_rows(job.df, job.columns, job.service, keep, size_name="size").withColumn("job", F.lit(number))
+        if job.order_by:
+            ordered.append(lines.select(*(F.col(name).alias(f"__order{i}") for i, name in enumerate(keep)), *told))
+        else:
+            plain.append(lines.select(*told))
+    if ordered:
+        order = ["job", *(name for name in ordered[0].columns if name.startswith("__order"))]
+        plain.append(_ranged(reduce(DataFrame.unionByName, ordered), order, partitions).select("job", "line", "size"))
+    lines = reduce(DataFrame.unionByName, plain)
+    # Staged at once: the files are written exactly when this table is.
+    files = stage(lines.mapInArrow(_write_files(targets, max_bytes), CHUNK_FILE_SCHEMA), "chunks")
+    # One row per job and writing task.
+    counts = files.groupBy("job", "part").agg(F.max("part_chunk").alias("__chunks"))
+    before = Window.partitionBy("job").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("job", "part", F.coalesce(F.sum("__chunks").over(before), F.lit(0)).alias("__offset"))
+    return files.join(offsets, ["job", "part"]).select(
+        "job",
+        (F.col("__offset") + F.col("part_chunk")).cast("int").alias("chunk_no"),
+        "row_count",
+        "estimated_size",
+        "compressed_size",
+        "oversize_rows",
+        "path",
+    )
+
+
 def write_chunks(
     df: DataFrame,
     folder: str,
@@ -431,23 +494,4 @@ def write_chunks(
     own rows. Result: ``chunk_no`` from 1, ``row_count``, ``estimated_size``,
     ``compressed_size``, ``oversize_rows``, ``path``; no row for empty input.
     """
-    folder = qualified_uri(df.sparkSession, folder)
-    if order_by:
-        df = _ranged(df, order_by, partitions)
-    lines = csv_rows(df, columns, service, size_name="size").select(
-        F.concat(F.col("line"), F.lit("\n")).alias("line"), "size"
-    )
-    write = _write_files(folder, header_line(columns, service), max_bytes)
-    # Staged at once: the files are written exactly when this table is.
-    files = stage(lines.mapInArrow(write, CHUNK_FILE_SCHEMA), "chunks")
-    counts = files.groupBy("part").agg(F.max("part_chunk").alias("__chunks"))
-    # One row per writing task, so small enough to compare in one place.
-    offsets = _offsets(counts, "part", "__chunks")
-    return files.join(offsets, "part").select(
-        (F.col("__offset") + F.col("part_chunk")).cast("int").alias("chunk_no"),
-        "row_count",
-        "estimated_size",
-        "compressed_size",
-        "oversize_rows",
-        "path",
-    )
+    return write_many([ChunkJob(df, folder, columns, service, order_by)], max_bytes, partitions).drop("job")

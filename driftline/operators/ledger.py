@@ -318,6 +318,58 @@ def publish(
     return row
 
 
+def committed_rows(spark: SparkSession, root: str, identities: Sequence[str]) -> dict[str, dict]:
+    """The newest row of each of these datasets whose newest row is a COMMITTED one."""
+    if not identities:
+        return {}
+    newest = latest_per_key(
+        read_ledger(spark, root, "dataset_history").where(F.col("dataset_id").isin(list(identities))), ["dataset_id"], "version"
+    )
+    return {row.dataset_id: row.asDict() for row in newest.where("status = 'COMMITTED'").collect()}
+
+
+def publish_many(spark: SparkSession, root: str, run: dict, datasets: Sequence[dict], files: DataFrame) -> list[dict]:
+    """Make the chunks of several datasets visible; ``files`` names them by place in ``datasets``, as ``job``.
+
+    As :func:`publish`, but chunk rows and COMMITTED rows of all are appended
+    together, so the cost does not follow the number of datasets. Datasets with
+    a row above the chunk limit are left out and come back as ABORTED rows,
+    which are not recorded here.
+    """
+    if is_superseded(spark, root, run):
+        raise LeaseConflict(f"run {run['batch_id']} was superseded")
+    # One row per dataset.
+    totals = {
+        row.job: row for row in files.groupBy("job").agg(
+            F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("chunk_count"),
+            F.sum("compressed_size").alias("bytes_sent"), F.sum("oversize_rows").alias("oversize_rows"),
+        ).collect()
+    }
+    rows = []
+    for number, dataset in enumerate(datasets):
+        found = totals.get(number)
+        if found and found.oversize_rows:
+            message = f"{found.oversize_rows} rows exceed the chunk limit"
+            rows.append({**dataset, "status": "ABORTED", "error_code": "ROW_TOO_LARGE", "error_message": message})
+            continue
+        rows.append({
+            **dataset, "status": "COMMITTED", "row_count": found.row_count if found else 0,
+            "chunk_count": found.chunk_count if found else 0, "bytes_sent": found.bytes_sent if found else 0, "version": 2,
+        })
+    good = [(number, row) for number, row in enumerate(rows) if row["status"] == "COMMITTED"]
+    names = rows_frame(
+        spark, [{"job": number, "dataset_id": row["dataset_id"], "attempt": row["attempt"]} for number, row in good],
+        "job int, dataset_id string, attempt string",
+    )
+    append(files.join(F.broadcast(names), "job"), root, "chunk_manifest")
+    append_rows(spark, root, "dataset_history", [row for _, row in good])
+    if is_superseded(spark, root, run):
+        taken_back = {"status": "ABORTED", "error_code": "LEASE_CONFLICT", "version": 3}
+        append_rows(spark, root, "dataset_history", [{**row, **taken_back} for _, row in good])
+        raise LeaseConflict(f"run {run['batch_id']} was superseded")
+    return rows
+
+
 def committed_chunks(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
     """Chunk rows of committed datasets only."""
     datasets = current_datasets(spark, root).where(F.col("status") == "COMMITTED")

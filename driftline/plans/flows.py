@@ -1,7 +1,8 @@
 """Snapshot and delta runs over all tables of a source.
 
-The plan for all tables is one query. Each dataset is then one Spark job;
-several tables run at the same time. Progress moves after publication only.
+The plan for all tables is one query, and one Spark job writes the chunks of
+all their datasets. Progress moves after publication only. Should the common
+job fail, tables run one by one, so that only those at fault fail.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from driftline.functions.lsn import ZERO_LSN, canonical_lsn, next_lsn
 from driftline.functions.times import local_time
 from driftline.operators import ledger
-from driftline.operators.chunks import MAX_CHUNK_BYTES, write_chunks
+from driftline.operators.chunks import MAX_CHUNK_BYTES, ChunkJob, write_many
 from driftline.plans.routing import COMPLETE, GAP_CODE, PENDING, plan_tables, state_transition
 from driftline.sources.catalog import (
     SMALL_TABLE_ROWS,
@@ -112,27 +113,27 @@ class Source:
                 for row in mine.collect():
                     floor = canonical_lsn(row.floor_lsn)
                     floors[row.capture_instance] = max(floor, floors.get(row.capture_instance, floor))
-        parts = []
+        parts, told = [], []
         for table, instance in instances.items():
             if find(self.changes, table) is None:
                 continue
             ct = self.captured(table, instance)
-            start = wanted.get(instance, ZERO_LSN)
             if instance in floors:
-                found = spark.range(1).select(F.lit(floors[instance]).alias("_lsn"))
-            else:
-                before = ct.select("_lsn").where(F.col("_lsn") <= start).limit(1)
-                after = ct.where(F.col("_lsn") > start).agg(F.min("_lsn").alias("_lsn"))
-                found = before.unionByName(after)
+                told.append({"capture_instance": instance, "low_lsn": floors[instance]})
+                continue
+            start = wanted.get(instance, ZERO_LSN)
+            before = ct.select("_lsn").where(F.col("_lsn") <= start).limit(1)
+            after = ct.where(F.col("_lsn") > start).agg(F.min("_lsn").alias("_lsn"))
+            found = before.unionByName(after)
             empty = ZERO_LSN if start <= next_lsn(ZERO_LSN) else None
             parts.append(
                 found.agg(F.coalesce(F.min("_lsn"), F.lit(empty)).alias("low_lsn")).select(
                     F.lit(instance).alias("capture_instance"), "low_lsn"
                 )
             )
-        if not parts:
-            return spark.createDataFrame([], "capture_instance string, low_lsn string")
-        return reduce(DataFrame.unionByName, parts)
+        # Floors are known without a look at the changes.
+        local = ledger.rows_frame(spark, told, "capture_instance string, low_lsn string")
+        return reduce(DataFrame.unionByName, parts, local)
 
 
 def utc_now() -> datetime:
@@ -277,6 +278,31 @@ def table_of(source: Source, plan: dict) -> DataFrame:
     return df
 
 
+def _snapshot_job(source: Source, plan: dict, run: dict, root: str) -> tuple[dict, ChunkJob]:
+    """The dataset of a whole table and what to write for it."""
+    df = table_of(source, plan)
+    window = find(source.windows, full_name(plan))
+    if window:
+        df = snapshot_window_scan(df, *window)
+    key = ledger.dataset_id(full_name(plan), f"snapshot {run['batch_id']}", plan["to_lsn"])
+    dataset = new_dataset(run, plan, None, None, key)
+    return dataset, ChunkJob(df, data_folder(root, dataset), df.columns)
+
+
+def _delta_job(
+    source: Source, plan: dict, run: dict, root: str, simple_ops: bool = False
+) -> tuple[dict, ChunkJob]:
+    """The dataset of a table's changes in ``[from_lsn, to_lsn]`` and what to write for it."""
+    low, high = plan["from_lsn"], plan["to_lsn"]
+    columns = table_of(source, plan).columns
+    changes = change_scan(source.captured(full_name(plan), plan["capture_instance"]), low, high)
+    if "_ts" not in changes.columns:
+        changes = changes.withColumn("_ts", local_time(run["started_at"]))
+    dataset = new_dataset(run, plan, low, high, ledger.dataset_id(full_name(plan), low, high))
+    job = ChunkJob(label_changes(changes, simple_ops), data_folder(root, dataset), columns, True, DELIVERY_ORDER)
+    return dataset, job
+
+
 def snapshot_dataset(
     spark: SparkSession,
     source: Source,
@@ -291,14 +317,8 @@ def snapshot_dataset(
     was read before, so a change made meanwhile comes again with the next
     delta; none is lost.
     """
-    df = table_of(source, plan)
-    window = find(source.windows, full_name(plan))
-    if window:
-        df = snapshot_window_scan(df, *window)
-    key = ledger.dataset_id(full_name(plan), f"snapshot {run['batch_id']}", plan["to_lsn"])
-    dataset = new_dataset(run, plan, None, None, key)
-    files = write_chunks(df, data_folder(root, dataset), df.columns, max_bytes)
-    return ledger.publish(spark, root, run, dataset, files)
+    dataset, job = _snapshot_job(source, plan, run, root)
+    return ledger.publish(spark, root, run, dataset, write_many([job], max_bytes))
 
 
 def delta_dataset(
@@ -311,26 +331,12 @@ def delta_dataset(
     simple_ops: bool = False,
 ) -> dict:
     """Write the changes of one table in ``[from_lsn, to_lsn]`` and publish them."""
-    table = full_name(plan)
-    low, high = plan["from_lsn"], plan["to_lsn"]
-    key = ledger.dataset_id(table, low, high)
+    key = ledger.dataset_id(full_name(plan), plan["from_lsn"], plan["to_lsn"])
     earlier = ledger.committed_row(spark, root, key)
     if earlier:
         return earlier
-    columns = table_of(source, plan).columns
-    changes = change_scan(source.captured(table, plan["capture_instance"]), low, high)
-    if "_ts" not in changes.columns:
-        changes = changes.withColumn("_ts", local_time(run["started_at"]))
-    dataset = new_dataset(run, plan, low, high, key)
-    files = write_chunks(
-        label_changes(changes, simple_ops),
-        data_folder(root, dataset),
-        columns,
-        max_bytes,
-        service=True,
-        order_by=DELIVERY_ORDER,
-    )
-    return ledger.publish(spark, root, run, dataset, files)
+    dataset, job = _delta_job(source, plan, run, root, simple_ops)
+    return ledger.publish(spark, root, run, dataset, write_many([job], max_bytes))
 
 
 def _event(run: dict, plan: dict, code: str, message: str, now: datetime, terminal: bool) -> dict:
@@ -360,7 +366,7 @@ def _closed(run: dict, plan: dict, status: str, code: str | None, message: str)
 
 
 class _TableJob:
-    """Runs one table and records dataset, events and state in that order."""
+    """Loads one table by itself and records dataset, events and state in that order."""
 
     def __init__(self, spark, source, root, run, clock, max_bytes, stop: Event):
         self.spark, self.source, self.root, self.run = spark, source, root, run
@@ -394,32 +400,8 @@ class _TableJob:
 
     def _execute(self, plan: dict) -> dict:
         action = plan["action"]
-        if action == "SKIP":
-            row = _closed(self.run, plan, "SKIPPED", None, "No new changes available")
-            self._record(row)
-            return row
-        if action == "GAP":
-            message = (
-                f"Change history of {full_name(plan)} starts at {plan['low_lsn']}, "
-                f"expected {plan['from_lsn']}; the table will be loaded whole again"
-            )
-            row = _closed(self.run, plan, "ABORTED", GAP_CODE, message)
-            self._record(row)
-            self._events(_event(self.run, plan, GAP_CODE, message, self.clock(), True))
-            self._move(plan, "GAP", None, message)
-            return row
-        if action in ("BLOCK", "ERROR"):
-            code = "TABLE_BLOCKED" if action == "BLOCK" else "DELTA_FAILED"
-            return self._fail(plan, code, f"{full_name(plan)}: {plan['reason']}")
-        if action == "SNAPSHOT":
-            if plan["bootstrap_status"] == "REBOOTSTRAP":
-                message = f"{full_name(plan)} is loaded whole again after a history gap"
-                self._events(_event(self.run, plan, GAP_CODE, message, self.clock(), True))
-            row = snapshot_dataset(
-                self.spark, self.source, plan, self.run, self.root, self.max_bytes
-            )
-        else:
-            row = delta_dataset(self.spark, self.source, plan, self.run, self.root, self.max_bytes)
+        make = snapshot_dataset if action == "SNAPSHOT" else delta_dataset
+        row = make(self.spark, self.source, plan, self.run, self.root, self.max_bytes)
         self._move(plan, action, plan["to_lsn"], None)
         return row
 
@@ -439,7 +421,114 @@ class _TableJob:
     def _move(self, plan: dict, outcome: str, lsn: str | None, message: str | None) -> None:
         if ledger.is_superseded(self.spark, self.root, self.run):
             raise ledger.LeaseConflict(f"run {self.run['batch_id']} was superseded")
-        happened = {
+        _move_states(self.spark, self.root, [(plan, outcome, lsn, message)], self.clock())
+
+
+class _AllTables:
+    """Runs all tables together: one write, one publication, one move of all states."""
+
+    def __init__(self, spark, source, root, run, clock, max_bytes):
+        self.spark, self.source, self.root, self.run = spark, source, root, run
+        self.clock, self.max_bytes = clock, max_bytes
+        self.conflict = False
+        self.rows: list[dict] = []
+        self.events: list[dict] = []
+        self.moves: list[tuple[dict, str, str | None, str | None]] = []
+        # Tables with a dataset to write, and those that were published.
+        self.work: list[tuple[dict, dict, ChunkJob]] = []
+        self.done: list[dict] = []
+
+    def __call__(self, plans: Sequence[dict], one_by_one: Callable[[list[dict]], list[dict | None]]) -> list[dict]:
+        known = ledger.committed_rows(self.spark, self.root, [
+            ledger.dataset_id(full_name(p), p["from_lsn"], p["to_lsn"]) for p in plans if p["action"] == "DELTA"
+        ])
+        for plan in plans:
+            self._prepare(plan, known)
+        alone: list[dict | None] = []
+        try:
+            if self.work:
+                try:
+                    files = write_many([job for _, _, job in self.work], self.max_bytes)
+                except Exception:
+                    alone = one_by_one([plan for plan, _, _ in self.work])
+                else:
+                    self._publish(files)
+            if self.moves and ledger.is_superseded(self.spark, self.root, self.run):
+                raise ledger.LeaseConflict(f"run {self.run['batch_id']} was superseded")
+        except ledger.LeaseConflict as error:
+            self.conflict = True
+            closed = [_closed(self.run, plan, "ABORTED", "LEASE_CONFLICT", str(error)) for plan, _, _ in self.work]
+            self._append("dataset_history", [*self.rows, *closed])
+            return [row for row in self.rows if row["status"] == "SKIPPED"]
+        self._append("dataset_history", self.rows)
+        self._append("error_event", self.events)
+        self._move()
+        return [*self.rows, *self.done, *(row for row in alone if row)]
+
+    def _prepare(self, plan: dict, known: Mapping[str, dict]) -> None:
+        action, name = plan["action"], full_name(plan)
+        if action == "SKIP":
+            self.rows.append(_closed(self.run, plan, "SKIPPED", None, "No new changes available"))
+        elif action == "GAP":
+            message = (
+                f"Change history of {name} starts at {plan['low_lsn']}, "
+                f"expected {plan['from_lsn']}; the table will be loaded whole again"
+            )
+            self.rows.append(_closed(self.run, plan, "ABORTED", GAP_CODE, message))
+            self.events.append(_event(self.run, plan, GAP_CODE, message, self.clock(), True))
+            self.moves.append((plan, "GAP", None, message))
+        elif action in ("BLOCK", "ERROR"):
+            self._fail(plan, "TABLE_BLOCKED" if action == "BLOCK" else "DELTA_FAILED", f"{name}: {plan['reason']}")
+        else:
+            earlier = known.get(ledger.dataset_id(name, plan["from_lsn"], plan["to_lsn"])) if action == "DELTA" else None
+            if earlier:
+                self.done.append(earlier)
+                self.moves.append((plan, action, plan["to_lsn"], None))
+                return
+            make = _snapshot_job if action == "SNAPSHOT" else _delta_job
+            try:
+                dataset, job = make(self.source, plan, self.run, self.root)
+            except Exception as error:  # one table failing leaves the others running
+                self._broken(plan, error)
+                return
+            if plan["bootstrap_status"] == "REBOOTSTRAP":
+                message = f"{name} is loaded whole again after a history gap"
+                self.events.append(_event(self.run, plan, GAP_CODE, message, self.clock(), True))
+            self.work.append((plan, dataset, job))
+
+    def _publish(self, files: DataFrame) -> None:
+        rows = ledger.publish_many(self.spark, self.root, self.run, [dataset for _, dataset, _ in self.work], files)
+        for (plan, _, _), row in zip(self.work, rows, strict=True):
+            if row["status"] == "COMMITTED":
+                self.done.append(row)
+                self.moves.append((plan, plan["action"], plan["to_lsn"], None))
+            else:
+                self._broken(plan, ledger.DatasetError(row["error_code"], row["error_message"]))
+
+    def _broken(self, plan: dict, error: Exception) -> None:
+        code = getattr(error, "code", None) or ("DELTA_FAILED" if plan["action"] == "DELTA" else "SNAPSHOT_FAILED")
+        self._fail(plan, code, f"{code} for table {full_name(plan)}: {_brief(error)}")
+
+    def _fail(self, plan: dict, code: str, message: str) -> None:
+        self.rows.append(_closed(self.run, plan, "ABORTED", code, message))
+        self.events.append(_event(self.run, plan, code, message, self.clock(), False))
+        self.moves.append((plan, "ERROR", None, message))
+
+    def _append(self, name: str, rows: list[dict]) -> None:
+        if rows:
+            ledger.append_rows(self.spark, self.root, name, rows)
+
+    def _move(self) -> None:
+        if self.moves:
+            _move_states(self.spark, self.root, self.moves, self.clock())
+
+
+def _move_states(
+    spark: SparkSession, root: str, moves: Sequence[tuple[dict, str, str | None, str | None]], now: datetime
+) -> None:
+    """Record what happened to tables: (plan, outcome, position, message) of each."""
+    happened = [
+        {
             "table_schema": plan["table_schema"],
             "table_name": plan["table_name"],
             "outcome": outcome,
@@ -447,14 +536,12 @@ class _TableJob:
             "outcome_hash": plan.get("manifest_hash"),
             "outcome_message": message,
         }
-        outcomes = ledger.rows_frame(
-            self.spark, [happened], ", ".join(f"{name} string" for name in happened)
-        )
-        current = ledger.rows_frame(self.spark, [plan], ledger.LEDGERS["table_state"])
-        accepted, _ = state_transition(
-            current, outcomes, local_time(self.clock())
-        )
-        ledger.append(accepted, self.root, "table_state")
+        for plan, outcome, lsn, message in moves
+    ]
+    outcomes = ledger.rows_frame(spark, happened, ", ".join(f"{name} string" for name in happened[0]))
+    current = ledger.rows_frame(spark, [plan for plan, *_ in moves], ledger.LEDGERS["table_state"])
+    accepted, _ = state_transition(current, outcomes, local_time(now))
+    ledger.append(accepted, root, "table_state")
 
 
 def _brief(error: Exception) -> str:
@@ -498,7 +585,10 @@ def run(
     max_bytes: int = MAX_CHUNK_BYTES,
     parallel_tables: int = 4,
 ) -> dict:
-    """Run a SNAPSHOT or DELTA over all tracked tables; returns the run's ledger row."""
+    """Run a SNAPSHOT or DELTA over all tracked tables; returns the run's ledger row.
+
+    ``parallel_tables`` counts where the common job fails and tables run one by one.
+    """
     current = start_run(spark, source.name, root, kind, trigger, clock())
     try:
         finished = _run_tables(spark, source, root, kind, current, clock, max_bytes, parallel_tables)
@@ -553,11 +643,15 @@ def _run_tables(
         for plan in wanted:
             plan["manifest_hash"] = hashes[full_name(plan)]
     job = _TableJob(spark, source, root, current, clock, max_bytes, Event())
-    with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:
-        results = list(pool.map(job, plans))
-    done = [r for r in results if r is not None]
+
+    def one_by_one(wanted: list[dict]) -> list[dict | None]:
+        with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:
+            return list(pool.map(job, wanted))
+
+    together = _AllTables(spark, source, root, current, clock, max_bytes)
+    done = together(plans, one_by_one)
     good = [r for r in done if r["status"] in ("COMMITTED", "SKIPPED")]
-    if job.conflict:
+    if job.conflict or together.conflict:
         status = "ABORTED"
     else:
         status = "SUCCEEDED" if len(good) == len(plans) else "FAILED"

@@ -1,5 +1,6 @@
 """Runs over several tables on one set of ledgers."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -522,6 +523,62 @@ def test_compacted_ledger_reads_the_same_from_few_files(spark, root):
     assert ledger.read_ledger(spark, root, "stream_start").count() == 0
 
 
+def jobs_of(spark, action):
+    """Spark jobs that an action starts."""
+    group = f"counted-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        result = action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), result
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def many(spark, count):
+    """A source of ``count`` tables, each with changes of its own."""
+    rows = spark.createDataFrame([(1, "a"), (2, 'q"x'), (3, None)], "Id int, Name string")
+    tables, changes = {}, {}
+    for n in range(count):
+        tables[f"dbo.t{n:02d}"] = rows.withColumn("Id", F.col("Id") + n)
+        ct = spark.createDataFrame([(f"dbo_t{n:02d}", *c[1:]) for c in LATER], CT)
+        changes[f"dbo.t{n:02d}"] = ct.withColumn("Id", F.col("Id") + n)
+    floor = spark.createDataFrame([(name.replace(".", "_"), at(1)) for name in tables], "capture_instance string, floor_lsn string")
+    return Source("srv/many", tables, changes, {name: ["Id"] for name in tables}, floor)
+
+
+@pytest.mark.parametrize("kind", ["SNAPSHOT", "DELTA"])
+def test_the_number_of_jobs_does_not_follow_the_tables(spark, root, kind):
+    counted = {}
+    for count in (2, 12):
+        src, own = many(spark, count), f"{root}/{count}"
+        register_tables(spark, src, own, START, verify_keys=False)
+        if kind == "DELTA":
+            go(spark, replace(src, changes={n: ct.where(F.col("_lsn") <= at(10)) for n, ct in src.changes.items()}), own, "SNAPSHOT")
+        counted[count], finished = jobs_of(spark, lambda: go(spark, src, own, kind))  # noqa: B023
+        assert finished["status"] == "SUCCEEDED" and finished["rows"] == count * (3 if kind == "SNAPSHOT" else 5)
+        for n in (0, count - 1):
+            name = f"dbo.t{n:02d}"
+            ids = [r.dataset_id for r in ledger.current_datasets(spark, own).where(
+                f"table_name = 't{n:02d}' AND (from_lsn IS NULL) = {kind == 'SNAPSHOT'}").collect()]
+            read = ledger.read_committed(spark, own, name, src.tables[name].schema, service=kind == "DELTA", dataset_ids=ids)
+            assert sorted(r.Id - n for r in read.collect()) == ([1, 2, 3] if kind == "SNAPSHOT" else [1, 1, 2, 2, 3])
+        states = ledger.current_states(spark, own).collect()
+        assert {s.last_processed_lsn for s in states} == {at(14)} and len(states) == count
+    # Partitions and with them AQE's stages may differ a little.
+    assert counted[12] <= counted[2] + 4
+
+
+def test_one_table_at_fault_leaves_the_others(spark, root):
+    """The common job fails with a table that can not be read; the others are loaded."""
+    src = many(spark, 3)
+    broken = src.tables["dbo.t01"].withColumn("Name", F.raise_error(F.lit("no such page")).cast("string"))
+    register_tables(spark, src, root, START, verify_keys=False)
+    finished = go(spark, replace(src, tables={**src.tables, "dbo.t01": broken}), root, "SNAPSHOT")
+    assert finished["status"] == "FAILED" and finished["tables_succeeded"] == 2 and finished["rows"] == 6
+    rows = {r.table_name: (r.status, r.error_code) for r in ledger.current_datasets(spark, root).collect()}
+    assert rows == {"t00": ("COMMITTED", None), "t01": ("ABORTED", "SNAPSHOT_FAILED"), "t02": ("COMMITTED", None)}
+
+
 def test_compaction_that_breaks_off_doubles_nothing(spark, root, monkeypatch):
     def put(*numbers):
         for number in numbers:
