@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.text import csv_rows, header_line
-from driftline.operators.closing import Open, Range, Rows
+from driftline.operators.closing import BLOCK, Open, Range, Rows
 from driftline.session import qualified_uri, stage
 
 # Fixed value: default size limit of a chunk.
@@ -270,63 +270,86 @@ def chunk_assign_greedy(
     fields = [T.StructField(f.name, f.dataType) for f in narrow.schema.fields]
     added = [T.StructField("__part", T.LongType()), T.StructField("__at", T.LongType()), T.StructField("__function", T.BinaryType())]
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        sizes, splits, at = [], [], 0
-        schema = None
-        for batch in batches:
-            sizes.append(np.asarray(batch.column(len(keys)), dtype=np.int64))
-            splits.append(np.asarray(batch.column(len(keys) + 1), dtype=np.int64))
-            schema, count = batch.schema, batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(count, part)), pa.array(np.arange(at, at + count)), pa.nulls(count, pa.binary())],
-                names=[*schema.names, "__part", "__at", "__function"],
-            )
-            at += count
-        if at:
-            function = Rows(np.concatenate(sizes), np.concatenate(splits), max_bytes).function().packed()
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(1, field.type) for field in schema), pa.array([part]), pa.nulls(1, pa.int64()), pa.array([function], pa.binary())],
-                names=[*schema.names, "__part", "__at", "__function"],
-            )
-
     ranged = _ranged(narrow, ["__split", *keys], partitions)
-    measured = stage(ranged.mapInArrow(measure, T.StructType([*fields, *added])), "ranges")
+    measured = stage(ranged.mapInArrow(_measure(max_bytes), T.StructType([*fields, *added])), "ranges")
     # One row per range: bounded by the number of shuffle partitions.
     states = F.broadcast(_states(measured.where("__function IS NOT NULL").select("__part", "__function")))
     rows = measured.where("__function IS NULL").drop("__function").join(states, "__part")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _ranges(batches):
-            column = {name: np.asarray(table.column(name).combine_chunks()) for name in ("__size", "__split", "__starts")}
-            before = Open(table.column("__open_split")[0].as_py(), table.column("__open_size")[0].as_py())
-            numbers = column["__starts"] + Rows(column["__size"], column["__split"], max_bytes).numbers(before)
-            for batch in table.select(keys).append_column("chunk_no", pa.array(numbers, pa.int32())).to_batches():
-                yield batch
-
     numbered = rows.repartition("__part").sortWithinPartitions("__part", "__at").mapInArrow(
-        assign, T.StructType([*fields[: len(keys)], T.StructField("chunk_no", T.IntegerType())])
+        _assign(keys, max_bytes), T.StructType([*fields[: len(keys)], T.StructField("chunk_no", T.IntegerType())])
     )
     return _joined_back(df, numbered, keys).withColumn("oversize_row", F.coalesce(F.col(size_col) > max_bytes, F.lit(False)))
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each ``__part`` of a sorted stream."""
-    held: list[pa.RecordBatch] = []
-    current = None
+def _measure(max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Place each row in its range, then tell the function of the range; its last columns are size and split.
+
+    Blocks of rows become functions of their own, so no range is held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        whole, held, rows, at = None, [], 0, 0
+        schema = None
+
+        def composed() -> Range:
+            sizes, splits = (np.concatenate(values) for values in zip(*held, strict=True))
+            own = Rows(sizes, splits, max_bytes).function()
+            return own if whole is None else whole.then(own)
+
+        for wide in batches:
+            for start in range(0, wide.num_rows, BLOCK):
+                batch = wide.slice(start, BLOCK)
+                schema, count = batch.schema, batch.num_rows
+                held.append(tuple(np.array(batch.column(i), dtype=np.int64) for i in (len(schema) - 2, len(schema) - 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(np.full(count, part)), pa.array(np.arange(at, at + count)), pa.nulls(count, pa.binary())],
+                    names=[*schema.names, "__part", "__at", "__function"],
+                )
+                at, rows = at + count, rows + count
+                if rows >= BLOCK:
+                    whole, held, rows = composed(), [], 0
+        if held:
+            whole = composed()
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, field.type) for field in schema), pa.array([part]), pa.nulls(1, pa.int64()), pa.array([whole.packed()], pa.binary())],
+                names=[*schema.names, "__part", "__at", "__function"],
+            )
+
+    return run
+
+
+def _assign(keys: Sequence[str], max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number the rows of a stream sorted by range and place, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, started = None, Open(), 0
+        for piece in _pieces(batches):
+            if piece["__part"][0].as_py() != current:
+                current, started, split, size = (
+                    piece[name][0].as_py() for name in ("__part", "__starts", "__open_split", "__open_size")
+                )
+                state = Open(split, size)
+            rows = Rows(*(np.asarray(piece[name], dtype=np.int64) for name in ("__size", "__split")), max_bytes)
+            numbers, state = rows.follow(state)
+            yield pa.RecordBatch.from_arrays(
+                [*(piece[name] for name in keys), pa.array(started + numbers, pa.int32())], names=[*keys, "chunk_no"]
+            )
+            started += int(numbers[-1])
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one ``__part`` each, in order, no more than a block."""
     for batch in batches:
-        parts = np.asarray(batch.column(batch.schema.get_field_index("__part")))
-        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        parts = np.asarray(batch["__part"])
+        edges = np.flatnonzero(np.diff(parts)) + 1
+        cuts = np.unique(np.r_[edges, np.arange(0, len(parts), BLOCK), len(parts)]).tolist()
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            if stop == start:
-                continue
-            if held and parts[start] != current:
-                yield pa.Table.from_batches(held)
-                held = []
-            current = parts[start]
-            held.append(batch.slice(start, stop - start))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield batch.slice(start, stop - start)
 
 
 def chunk_stats(df: DataFrame, size_col: str = "row_size") -> DataFrame:

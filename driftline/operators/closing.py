@@ -13,6 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+# Rows that are held at once; functions of such blocks compose to that of a range.
+BLOCK = 1 << 16
+
 
 @dataclass
 class Open:
@@ -129,6 +132,15 @@ class Rows:
             at = following[at]
         return np.cumsum(starts)
 
+    def follow(self, before: Open) -> tuple[np.ndarray, Open]:
+        """The numbers, and what the rows leave open."""
+        numbers = self.numbers(before)
+        if numbers[-1]:
+            size = int(self.sum[-1] - self.sum[np.searchsorted(numbers, numbers[-1])])
+        else:
+            size = before.size + int(self.sum[-1])
+        return numbers, Open(int(self.splits[-1]), size) if size < self.limit else Open()
+
     def function(self) -> Range:
         """Counts of starts by pointer jumping over all rows at once."""
         count = self.count

@@ -1,8 +1,10 @@
 import gzip
 import random
+import tracemalloc
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,36 @@ def test_composed_ranges_follow_the_sequential_rule():
         assert whole.step(closing.Open()) == (want[-1], state)
 
 
+def test_ranges_are_measured_and_numbered_in_bounded_memory(monkeypatch):
+    """A range of 600,000 rows takes no more than some blocks of them."""
+    from types import SimpleNamespace
+
+    from driftline.operators import chunks
+
+    monkeypatch.setattr(chunks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    count, limit = 600_000, 65_536
+    sizes = 50 + np.arange(count) * 31 % 200
+    told = []
+
+    def rows(extra=()):
+        for start in range(0, count, 10_000):
+            stop = start + 10_000
+            columns = {"k": np.arange(start, stop), "__size": sizes[start:stop], "__split": np.zeros(10_000, np.int64)}
+            columns |= {name: np.full(10_000, value) for name, value in extra}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    tracemalloc.start()
+    for batch in chunks._measure(limit)(rows()):
+        if batch["__function"][0].is_valid:
+            told.append(closing.Range.unpacked(batch["__function"][0].as_py()))
+    before = (("__part", 3), ("__starts", 5), ("__open_split", 0), ("__open_size", 60_000))
+    wanted, place = close_and_reset([60_000, *sizes.tolist()], limit), 0
+    for batch in chunks._assign(["k"], limit)(rows(before)):
+        assert (np.asarray(batch["chunk_no"]) - 4 == wanted[place + 1 : place + 1 + batch.num_rows]).all()
+        place += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert place == count and peak < 60e6
+    starts, state = told[0].step(closing.Open(0, 60_000))
+    assert len(told) == 1 and starts == wanted[-1] - 1
+    assert state.size == sum(sizes[np.array(wanted[1:]) == wanted[-1]])
