@@ -11,11 +11,14 @@ from driftline.functions.labels import duration_text
 from driftline.functions.times import millis_between
 from driftline.operators.chunks import running_total
 from driftline.operators.keyed import salted_lookup
+from driftline.session import stage
 
 # List lengths of the reports and the inactivity limit.
 RECENT_RUNS = 10
 RUN_LIST = 50
 INACTIVITY_MINUTES = 10
+# Fixed value: datasets of a run up to which one task makes its pages.
+WHOLE_RUN = 10_000
 
 # Codes of the events that stop a whole run.
 LEASE_CONFLICT = "LEASE_CONFLICT"
@@ -87,42 +90,66 @@ def run_details(runs: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def run_details_nested(
-    runs: DataFrame, datasets: DataFrame, columns: Sequence[str], page_rows: int = 1000
+    runs: DataFrame, datasets: DataFrame, columns: Sequence[str], page_rows: int = 1000, whole_run: int = WHOLE_RUN
 ) -> DataFrame:
     """Datasets of each run as lists, in pages of ``page_rows`` in dataset order.
 
     One shape for all runs: ``page`` counts from 0 to ``pages`` - 1, every page
     but the last is full, and a run without datasets has one empty page. No
-    list grows without bound, and no run is numbered in one task.
+    list grows without bound: runs of up to ``whole_run`` datasets are cut into
+    pages where their rows meet, larger ones are numbered over ranges.
     """
-    wanted = datasets.select("batch_id", *dict.fromkeys(["dataset_id", *columns])).withColumn(
-        "__one", F.lit(1).cast("bigint")
+    wanted = datasets.select("batch_id", *dict.fromkeys(["dataset_id", *columns]))
+    counts = wanted.groupBy("batch_id").agg(F.count(F.lit(1)).alias("__n"))
+    # At most one row per ``whole_run`` datasets.
+    large = stage(counts.where((F.col("__n") > whole_run) & F.col("batch_id").isNotNull()).select("batch_id"), "large-runs")
+    if large.isEmpty():
+        return _whole_pages(runs, wanted, columns, page_rows)
+    rest = _whole_pages(
+        runs.join(large, "batch_id", "left_anti"), wanted.join(large, "batch_id", "left_anti"), columns, page_rows
+    )
+    ranged = _ranged_pages(wanted.join(large, "batch_id", "left_semi"), columns, page_rows)
+    return rest.unionByName(runs.join(ranged, "batch_id"))
+
+
+def _entries(columns: Sequence[str]) -> Column:
+    """Datasets in order, each with the wanted columns as ``__d``."""
+    return F.sort_array(F.collect_list(F.struct("dataset_id", F.struct(*columns).alias("__d"))))
+
+
+def _whole_pages(runs: DataFrame, wanted: DataFrame, columns: Sequence[str], page_rows: int) -> DataFrame:
+    """Pages of runs of which each is one list: one shuffle by run."""
+    lists = wanted.groupBy("batch_id").agg(_entries(columns).alias("__all"))
+    kind = lists.schema["__all"].dataType
+    found = runs.join(lists, "batch_id", "left").withColumn("__all", F.coalesce("__all", F.array().cast(kind)))
+    pages = F.greatest(F.lit(1), F.ceil(F.size("__all") / page_rows)).cast("bigint")
+    cut = F.transform(
+        F.sequence(F.lit(0), (pages - 1).cast("int")),
+        lambda page: F.transform(F.slice("__all", page * page_rows + 1, page_rows), lambda entry: entry["__d"]),
+    )
+    return found.select(*runs.columns, pages.alias("pages"), F.posexplode(cut).alias("page", "datasets")).select(
+        *runs.columns, F.col("page").cast("bigint").alias("page"), "pages", "datasets"
+    )
+
+
+def _ranged_pages(wanted: DataFrame, columns: Sequence[str], page_rows: int) -> DataFrame:
+    """Pages of runs of any size, numbered over ranges: no run in one task."""
+    placed = running_total(
+        wanted.withColumn("__one", F.lit(1).cast("bigint")), ["batch_id", "dataset_id"], "__one"
     )
-    placed = running_total(wanted, ["batch_id", "dataset_id"], "__one")
     starts = placed.groupBy("batch_id").agg(
         F.min("size_before").alias("__start"), F.ceil(F.count(F.lit(1)) / page_rows).cast("bigint").alias("pages")
     )
     page = F.floor((F.col("size_before") - F.col("__start")) / page_rows)
-    lists = (
+    return (
         salted_lookup(placed, starts, ["batch_id"])
         .withColumn("page", page)
         .groupBy("batch_id", "page")
         .agg(
             F.first("pages").alias("pages"),
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("dataset_id", F.struct(*columns).alias("__d")))),
-                lambda entry: entry["__d"],
-            ).alias("datasets"),
+            F.transform(_entries(columns), lambda entry: entry["__d"]).alias("datasets"),
         )
     )
-    filled = runs.join(lists, "batch_id")
-    empty = runs.join(starts, "batch_id", "left_anti").select(
-        "*",
-        F.lit(0).cast("bigint").alias("page"),
-        F.lit(1).cast("bigint").alias("pages"),
-        F.array().cast(lists.schema["datasets"].dataType).alias("datasets"),
-    )
-    return filled.unionByName(empty)
 
 
 def run_status(runs: DataFrame, datasets: DataFrame, events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import duration_text, level_rank, local_time
+from driftline.operators import reports
 from driftline.operators import (
     inactive_runs,
     lag_report,
@@ -185,3 +186,23 @@ def test_log_fields(spark):
     assert (one.batch_id, one.table, one.dataset_id) == ("b", "dbo.t", None)
     assert one.properties == {"Rows": "5", "Nested": '{"a":1}'}
     assert (two.correlation_id, two.dataset_id, two.properties) == ("c", "d", None)
+
+
+def test_only_large_runs_are_paged_over_ranges(spark, monkeypatch):
+    """Pages are the same whichever way; runs of usual size are neither ranged nor salted."""
+    runs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "batch_id string, n int")
+    rows = [("a", f"s{i:02d}", i) for i in range(7)] + [("b", "s0", 0), ("d", "s1", 1), ("d", "s0", 0), ("x", "s", 9)]
+    sets = spark.createDataFrame(rows, "batch_id string, dataset_id string, row_count int").repartition(3)
+
+    def pages(whole_run):
+        found = reports.run_details_nested(runs, sets, ["row_count"], 2, whole_run)
+        return found.columns, sorted((r.batch_id, r.n, r.page, r.pages, [d[0] for d in r.datasets]) for r in found.collect())
+
+    wanted = ["batch_id", "n", "page", "pages", "datasets"], [
+        ("a", 1, 0, 4, [0, 1]), ("a", 1, 1, 4, [2, 3]), ("a", 1, 2, 4, [4, 5]), ("a", 1, 3, 4, [6]),
+        ("b", 2, 0, 1, [0]), ("c", 3, 0, 1, []), ("d", 4, 0, 1, [0, 1]),
+    ]
+    assert pages(0) == pages(1) == pages(3) == wanted
+    monkeypatch.setattr(reports, "running_total", None)
+    assert pages(7) == wanted
+    assert reports.run_details_nested(runs, sets, ["row_count"], 2).count() == 7
