@@ -62,6 +62,9 @@ NEAR, LINKED, LEAVES = 0.55, 0.35, 0.70
 # Characters of text in one block of a component, and what a row counts besides its text.
 BLOCK_CHARACTERS = 6_000_000
 ROW_CHARACTERS = 1000
+# Rows of a block whose links are told at once, and shingles counted at once: where
+# all are near, their pairs would take hundreds of megabytes.
+STRIP, COLUMNS = 64, 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = 4096
@@ -349,24 +352,26 @@ def _exact(pairs: DataFrame, words: int, least: float) -> DataFrame:
             for start in range(0, len(first), 1024):
                 rows = first[start : start + 1024]
                 common = np.zeros((len(rows), len(second)), dtype=np.float32)
-                for low in range(0, width, 1024):
-                    a, b = np.searchsorted(column, [low, low + 1024])
-                    part = np.zeros((len(node), min(1024, width - low)), dtype=np.float32)
+                for low in range(0, width, COLUMNS):
+                    a, b = np.searchsorted(column, [low, low + COLUMNS])
+                    part = np.zeros((len(node), min(COLUMNS, width - low)), dtype=np.float32)
                     part[owner[a:b], column[a:b] - low] = 1
                     common += part[rows] @ part[second].T
-                near = common / np.maximum(size[rows, None] + size[second] - common, 1) >= least
-                if within:
-                    near[np.arange(len(rows)), start + np.arange(len(rows))] = False
-                links[rows] += near @ copies[second]
-                if not within:
-                    links[second] += copies[rows] @ near
-                # One link a row and one a column keep what the strip connects only
-                # together with the components found in it.
-                x, y = np.nonzero(near)
-                local = local_components(len(node), rows[x], second[y])
-                joined = np.flatnonzero(local != np.arange(len(node)))
-                left.append(joined)
-                right.append(local[joined])
+                for top in range(0, len(rows), STRIP):
+                    some, own = rows[top : top + STRIP], common[top : top + STRIP]
+                    near = own / np.maximum(size[some, None] + size[second] - own, 1) >= least
+                    if within:
+                        near[np.arange(len(some)), start + top + np.arange(len(some))] = False
+                    links[some] += near @ copies[second]
+                    if not within:
+                        links[second] += copies[some] @ near
+                    # One link a row and one a column keep what the strip connects only
+                    # together with the components found in it.
+                    x, y = np.nonzero(near)
+                    local = local_components(len(node), some[x], second[y])
+                    joined = np.flatnonzero(local != np.arange(len(node)))
+                    left.append(joined)
+                    right.append(local[joined])
             root = local_components(len(node), np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node), pa.array(links), pa.array(node[root])], names=["node", "links", "root"]

@@ -160,3 +160,30 @@ def test_components(spark, edges):
             low = 90 if a >= 90 else 0 if len(edges) == 40 else 1
             want[a] = want[b] = low
     assert got == want
+
+
+def test_a_block_of_near_copies_is_compared_in_bounded_memory():
+    """All pairs of 3,000 near copies are links; they are never held at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from driftline.llm import jaccard
+
+    count = 3000
+    body = " ".join(f"w{i}" for i in range(60))
+    block = pa.RecordBatch.from_pydict({
+        "component": np.zeros(count, np.int64), "i": np.zeros(count, np.int64), "j": np.zeros(count, np.int64),
+        "side": np.zeros(count, np.int64), "node": np.arange(count) + 7, "copies": np.ones(count, np.int64),
+        "text": [f"{body} n{i}" for i in range(count)],
+    })
+    run = jaccard._exact(SimpleNamespace(mapInArrow=lambda run, schema: run), jaccard.WORDS, jaccard.LEAST)
+    tracemalloc.start()
+    found = list(run(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == count
+    assert all(set(b["links"].to_pylist()) == {count - 1} and set(b["root"].to_pylist()) == {7} for b in found)
+    assert peak < 60e6, peak
