@@ -37,7 +37,8 @@ def _floating_text(column: Column, digits: int) -> Column:
     """
     text = column.cast("string")
     rewritten = F.transform(F.array(text), lambda t: _exponent_text(t, digits))[0]
-    plain = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    # Java writes no other zeros at the end of a fraction.
+    plain = F.when(F.endswith(text, F.lit(".0")), F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(text)
     return F.when(F.contains(text, F.lit("E")), rewritten).otherwise(plain)
 
 

@@ -621,3 +621,20 @@ def test_staged_tables_go_with_their_block(spark):
         assert running_total(df, ["id"], "size").agg({"size_before": "max"}).first()[0] == 48 * 49 // 2
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+def test_flow_queries_write_their_change_tables_once(spark, sf, monkeypatch):
+    """Each of the four runs reads what was written; none derives the changes again."""
+    from workload import feeds, queries
+
+    made, sources = [], []
+    derive = feeds.lineitem_ct
+    monkeypatch.setattr(feeds, "lineitem_ct", lambda *of: made.append(of) or derive(*of))
+    monkeypatch.setattr(queries.flows, "register_tables", lambda *of: None)
+    monkeypatch.setattr(queries, "_run", lambda spark, source, root, kind: sources.append(source))
+    monkeypatch.setattr(queries, "_dataset_rows", lambda spark, root: None)
+    queries.rebootstrap(spark, sf)
+    assert len(made) == 1 and len(sources) == 4
+    read = {file for source in sources for file in source.changes["dbo.lineitem"].inputFiles()}
+    assert read and not any(file.endswith("/lineitem.parquet") for file in read)
+    assert sources[1].changes["dbo.orders"].count() == feeds.orders_ct(spark, sf).where(f"_lsn >= '{queries.HIGH_LSN}'").count()

@@ -19,7 +19,7 @@ from driftline.functions import (
 from driftline.operators import chunks as chunk_ops
 from driftline.operators import keyed, ledger, logs, reports
 from driftline.plans import flows, routing
-from driftline.session import new_folder
+from driftline.session import new_folder, stage
 from driftline.sources import catalog, changes, tables
 from driftline.streaming import dedup_stream
 from driftline.streaming import log_stream as filter_log_stream
@@ -600,13 +600,23 @@ def log_stream(spark, sf):
 # Flows
 
 
-def _source(spark, sf, until: str | None = None, since: str | None = None, floor=None):
-    """All tables with the order and customer changes of a range of positions."""
+def _changes(spark, sf) -> dict[str, DataFrame]:
+    """The change tables, written once as a source keeps them: flows read them many times."""
     cts = {
         "dbo.orders": feeds.orders_ct(spark, sf),
         "dbo.customer": feeds.customer_ct(spark, sf),
         "dbo.lineitem": feeds.lineitem_ct(spark, sf),
     }
+    return {name: stage(ct, "changes") for name, ct in cts.items()}
+
+
+def _source(spark, sf, until: str | None = None, since: str | None = None, floor=None, stored=None):
+    """All tables with the order, customer and line changes of a range of positions."""
+    cts = stored or {
+        "dbo.orders": feeds.orders_ct(spark, sf),
+        "dbo.customer": feeds.customer_ct(spark, sf),
+        "dbo.lineitem": feeds.lineitem_ct(spark, sf),
+    }
     if until:
         cts = {name: ct.where(F.col("_lsn") <= until) for name, ct in cts.items()}
     if since:
@@ -712,11 +722,11 @@ def snapshot_tables(spark, sf):
 
 def delta_tables(spark, sf):
     """First load at a position, then two delta runs: changes, and nothing new."""
-    root = _root(spark)
-    early = _source(spark, sf, until=HIGH_LSN)
+    root, stored = _root(spark), _changes(spark, sf)
+    early = _source(spark, sf, until=HIGH_LSN, stored=stored)
     flows.register_tables(spark, early, root, START)
     _run(spark, early, root, "SNAPSHOT")
-    late = _source(spark, sf)
+    late = _source(spark, sf, stored=stored)
     _run(spark, late, root, "DELTA")
     _run(spark, late, root, "DELTA")
     return _dataset_rows(spark, root)
@@ -728,12 +738,12 @@ def rebootstrap(spark, sf):
     The customer changes are all old, so nothing of them is left: without a
     floor it is not known whether any were missed, which is an error.
     """
-    root = _root(spark)
+    root, stored = _root(spark), _changes(spark, sf)
     steps = [
-        (_source(spark, sf, until=LOW_LSN), "SNAPSHOT"),
-        (_source(spark, sf, since=HIGH_LSN), "DELTA"),
-        (_source(spark, sf, since=HIGH_LSN), "DELTA"),
-        (_source(spark, sf, since=HIGH_LSN), "DELTA"),
+        (_source(spark, sf, until=LOW_LSN, stored=stored), "SNAPSHOT"),
+        (_source(spark, sf, since=HIGH_LSN, stored=stored), "DELTA"),
+        (_source(spark, sf, since=HIGH_LSN, stored=stored), "DELTA"),
+        (_source(spark, sf, since=HIGH_LSN, stored=stored), "DELTA"),
     ]
     for source, kind in steps:
         if kind == "SNAPSHOT":
@@ -744,17 +754,17 @@ def rebootstrap(spark, sf):
 
 def delta_resume(spark, sf):
     """A run that dies between publication and the move of the state; the next one goes on after it."""
-    root = _root(spark)
-    early = _source(spark, sf, until=HIGH_LSN)
+    root, stored = _root(spark), _changes(spark, sf)
+    early = _source(spark, sf, until=HIGH_LSN, stored=stored)
     flows.register_tables(spark, early, root, START)
-    _run(spark, _source(spark, sf, until=LOW_LSN), root, "SNAPSHOT")
+    _run(spark, _source(spark, sf, until=LOW_LSN, stored=stored), root, "SNAPSHOT")
     states = ledger.rows_frame(
         spark, [r.asDict() for r in ledger.current_states(spark, root).collect()], ledger.LEDGERS["table_state"]
     )
     _run(spark, early, root, "DELTA")
     # The states as they were before the second run, as newest version.
     ledger.append(states.withColumn("version", F.lit(99).cast("bigint")), root, "table_state")
-    _run(spark, _source(spark, sf), root, "DELTA")
+    _run(spark, _source(spark, sf, stored=stored), root, "DELTA")
     sets = ledger.current_datasets(spark, root).where("status = 'COMMITTED' AND from_lsn IS NOT NULL")
     return sets.groupBy("table_name").agg(F.sum("row_count").alias("published"))
 
@@ -836,7 +846,7 @@ def stream_delta(spark, sf):
 def stream_then_delta(spark, sf):
     """Stream, delta run, and the stream again over files that repeat all that was published."""
     root, checkpoint, files = _root(spark), new_folder(spark, "streams"), new_folder(spark, "changes")
-    ct = feeds.orders_ct(spark, sf)
+    ct = stage(feeds.orders_ct(spark, sf), "changes")
 
     def stream():
         start_stream_delta(
